@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import meterglass
+
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` splits UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Upper-case ASCII letters to lower case, for ``bytes.translate``.
@@ -47,10 +52,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per context, wherever they were started."""
+    root = Path(meterglass.__file__).parent
+    files = sorted(p for p in root.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+    name = f"{root.name}-{digest}.zip"
+    if not any(Path(f).name == name for f in spark.sparkContext.listFiles):
+        target = Path(tempfile.mkdtemp(prefix="meterglass-")) / name
+        with zipfile.ZipFile(target, "w") as z:
+            for p in files:
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def anew(df: DataFrame, key: str) -> DataFrame:
+    """``df`` without the knowledge that it is partitioned by the integer column ``key``.
+
+    Spark splits the hot key of a join only where both sides come straight from a shuffle; the result
+    of an aggregation by that key would not be shuffled again.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def per_text(returns: str):
     """An Arrow UDF over whole texts, called once per row.
 
@@ -59,6 +87,7 @@ def per_text(returns: str):
     """
 
     def wrap(f):
+        ship_package(SparkSession.active())
         return F.arrow_udf(f, returns).asNondeterministic()
 
     return wrap

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import cut_lineage
+from meterglass.llm.common import anew, cut_lineage
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(pairs: DataFrame) -> DataFrame:
     """Every (u, v) as an edge from v to the least of u and all its v, and u to that least as well."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = pairs.join(anew(least, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return moved.union(own).filter("a != b").distinct()
 
@@ -51,5 +51,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _star_large(edges: DataFrame) -> DataFrame:
     pairs = _both_ways(edges)
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    up = pairs.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    up = pairs.filter("v > u").join(anew(least, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return up.filter("a != b").distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import whole_text
+from meterglass.llm.common import anew, whole_text
 
 
 KEY = ["n_bytes", "prefix", "digest"]
@@ -27,8 +27,8 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     """The (n_bytes, prefix) that two rows or more have, looked for only among shared lengths."""
     keys = rows.select("n_bytes", "prefix")
     lengths = keys.groupBy("n_bytes").count().filter("count > 1").select("n_bytes")
-    met = keys.join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").count()
-    return met.filter("count > 1").select("n_bytes", "prefix")
+    met = keys.join(anew(lengths, "n_bytes"), "n_bytes", "left_semi").groupBy("n_bytes", "prefix").count()
+    return anew(met.filter("count > 1").select("n_bytes", "prefix"), "prefix")
 
 
 def exact_groups(docs: DataFrame, prefix_chars: int = 256, with_digest: bool = False) -> DataFrame:
@@ -55,7 +55,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, with_digest: bool = F
         .groupBy(*KEY)
         .agg(F.sum("copies").alias("size"), F.max("doc_id").alias("best"))
     )
-    rows = rows.join(groups, KEY, "left").select(
+    rows = rows.join(anew(groups, "prefix"), KEY, "left").select(
         "doc_id",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("best")).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
@@ -82,5 +82,5 @@ def drop_exact(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
     met = rows.join(partners, ["n_bytes", "prefix"], "left_semi")
     met = met.select("row", "doc_id", "n_bytes", "prefix", F.sha2("text", 256).alias("digest"))
     best = met.groupBy(*KEY).agg(F.max("doc_id").alias("best"))
-    stay = met.join(best, KEY).filter(F.col("doc_id").eqNullSafe(F.col("best"))).dropDuplicates(KEY)
+    stay = met.join(anew(best, "prefix"), KEY).filter(F.col("doc_id").eqNullSafe(F.col("best"))).dropDuplicates(KEY)
     return alone.unionByName(stay.select("row")).select("row.*")

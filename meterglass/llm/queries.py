@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, quality_model, substring_dedup
 from meterglass.llm.common import documents
 from meterglass.llm.exact_dedup import exact_groups
-from meterglass.llm.quality_rules import BASE, POLICIES, apply_policy, ledger
+from meterglass.llm.quality_rules import POLICIES, apply_policy, ledger
 from meterglass.llm.simhash import near_groups
 
 
@@ -15,13 +19,77 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(documents(spark, sf_dir)), POLICIES["web"])
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]})
+    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(record).alias("record"))
+    turns = chat_format.turns_of_frame(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    turns = turns.unionByName(chat_format.turns_of_records(planted))
+    rows = chat_format.read_back(chat_format.format_turns(turns))
+    said_all = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return rows.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said_all, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), with_digest=True)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.profiles(docs))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_substring_dedup,
+        op3_source_mixing,
+        op4_license_scan,
+        op5_bpe,
+        op6_chat_format,
+        op7_exact_dedup,
+        op8_quality_classifier,
+        op9_language_id,
+        op10_simhash_near_dedup,
+    )
+}

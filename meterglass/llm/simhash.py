@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import FOLD, cut_lineage, per_text, whole_text
+from meterglass.llm.common import FOLD, anew, cut_lineage, per_text, ship_package, whole_text
 from meterglass.llm.components import connected_components
 
 THRESHOLD = 2
@@ -51,15 +51,20 @@ def fingerprint(words: list[bytes], shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def text_key() -> Column:
+    """A hash of id and text, by which a row is found again."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", whole_text())
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (long) of every whole text; null counts as empty, without words it is 0."""
+    """doc_id, key and fp (longs) of every whole text; null counts as empty, without words it is 0."""
 
     @per_text("bigint")
     def run(texts: pa.Array) -> pa.Array:
         words = (t.as_py().translate(FOLD).split() for t in texts.cast(pa.binary()))
         return pa.array((fingerprint(w, shingle) for w in words), pa.int64())
 
-    return docs.select("doc_id", run(whole_text()).alias("fp"))
+    return docs.select("doc_id", text_key().alias("key"), run(whole_text()).alias("fp"))
 
 
 @cache
@@ -202,6 +207,7 @@ def links(points: DataFrame, crowd: int = 4096) -> DataFrame:
     def compare(batches):
         yield from compare_anchors(batches, crowd)
 
+    ship_package(points.sparkSession)
     met = (
         points.select("fp")
         .mapInArrow(replicate, "key long, fp long")
@@ -218,6 +224,18 @@ def links(points: DataFrame, crowd: int = 4096) -> DataFrame:
     return met.filter("not crowded").select("a", "b").union(near)
 
 
+def _named(docs: DataFrame, shingle: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, key, fp) and each fingerprint's component with the document it is named after."""
+    own = cut_lineage(fingerprints(docs, shingle))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    points = cut_lineage(own.groupBy("fp").agg(F.min(name).alias("least")))
+    roots = connected_components(links(points, crowd))
+    points = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    points = points.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = points.groupBy("root").agg(F.min("least").alias("name"))
+    return own, points.join(anew(names, "root"), "root").select("fp", "name")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFrame:
     """One row per document: doc_id, fp, component_id.
 
@@ -226,11 +244,14 @@ def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFra
     doc_id never is a component's name unless all its ids are null. Repeated rows give repeated
     rows; an empty table gives none.
     """
-    own = cut_lineage(fingerprints(docs, shingle))
-    points = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(points, crowd))
-    points = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    points = points.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = points.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = points.join(names, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    own, named = _named(docs, shingle, crowd)
+    return own.join(named, "fp").select("doc_id", "fp", F.col("name.doc_id").alias("component_id"))
+
+
+def drop_near(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFrame:
+    """``docs``, all columns, with the one document of each component that it is named after."""
+    _, named = _named(docs, shingle, crowd)
+    stay = named.select(F.col("name.key").alias("key"), F.col("name.doc_id").alias("keep_id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), text_key().alias("key")).join(stay, "key")
+    return rows.filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["key"]).select("row.*")
