@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
-#: What may follow "<" or "[" in a control string, as a pattern.
-CONTROL_REST = r"(?:(?<=<)(?:\||/?s>|/?<SYS>>|/SYS>>)|(?<=\[)/?INST\])"
+#: What follows "<" or "[" in a control string, of this template or of others.
+CONTROL_REST = r"(?=\||/?s>|/?<SYS>>|/SYS>>|/?INST\])"
 
 
 @dataclass(frozen=True)
@@ -132,14 +132,14 @@ def turns_of_records(df: DataFrame, record: str = "record", id_column: str = "co
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL_REST, r"\\$0")
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.regexp_replace(doubled, r"(?<=[<\[])" + CONTROL_REST, r"\\")
 
 
 def unescape(text: Column) -> Column:
-    """Undoes ``escape``: a lone backslash stands only after "<" or "[", before a control string's rest."""
-    rest = CONTROL_REST.replace("(?<=<)", r"(?<=<)\\").replace(r"(?<=\[)", r"(?<=\[)\\")
-    # The look-behind stands before the backslash that is taken out.
-    return F.replace(F.regexp_replace(text, r"(?<=[<\[])\\(?=\||/?s>|/?<SYS>>|/SYS>>|/?INST\])", ""), F.lit("\\\\"), F.lit("\\")) if rest else text
+    """Undoes ``escape``: a lone backslash stands only between "<" or "[" and a control string's rest."""
+    bare = F.regexp_replace(text, r"(?<=[<\[])\\" + CONTROL_REST, "")
+    return F.replace(bare, F.lit("\\\\"), F.lit("\\"))
 
 
 def format_turns(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, quality_model, substring_dedup
 from meterglass.llm.common import documents
 from meterglass.llm.exact_dedup import exact_groups
+from meterglass.llm.oracles import ORACLES
 from meterglass.llm.quality_rules import POLICIES, apply_policy, ledger
 from meterglass.llm.simhash import near_groups
 
@@ -93,3 +94,5 @@ QUERIES = {
         op10_simhash_near_dedup,
     )
 }
+
+__all__ = ["ORACLES", "QUERIES"]

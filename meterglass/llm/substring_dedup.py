@@ -25,6 +25,9 @@ REACH = 20
 WINDOW = 16
 MAX_CHUNK = 1024
 MIN_BYTES = 40
+#: Spans of fewer bytes are phrases or single lines, not passages. What a unit finds of a passage of
+#: 50 words is longer: at most 60 bytes are lost at either end, where chunks reach beyond it.
+MIN_SPAN = 100
 PAD = 64
 SLICE = 1 << 22
 
@@ -133,13 +136,13 @@ def units(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, mark long, start int, end int, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """doc_id, mark, start, end, first_doc_id, first: a row per repeated span, in bytes of the text.
 
     A span is repeated if its units are found in two documents or more; ``first`` spans stay, for
     they lie in the document of the smallest doc_id, the others repeat what first_doc_id has. What
-    repeats within one document only is left alone. Texts that are null, empty or shorter than a
-    unit have no spans. Rows that repeat id and text are one document; a null id comes first.
+    repeats within one document only is left alone, as are spans of fewer than ``min_span`` bytes and
+    so texts that are null, empty or short. Rows that repeat id and text are one document; a null id comes first.
     """
     found = units(docs)
     twice = found.groupBy("h1").count().filter("count > 1").select("h1")
@@ -163,11 +166,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     return (
         rows.groupBy("doc_id", "mark", "first", "span")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+        .filter(F.col("end") - F.col("start") >= min_span)
         .select("doc_id", "mark", "start", "end", "first_doc_id", "first")
     )
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """``docs``, all columns, with the spans that another document keeps cut out of ``text``."""
 
     @per_text("bigint")
@@ -185,7 +189,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pa.array(out, pa.string())
 
-    gone = repeats(docs).filter("not first").groupBy("doc_id", "mark")
+    gone = repeats(docs, min_span).filter("not first").groupBy("doc_id", "mark")
     gone = gone.agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark_of(whole_text()).alias("mark"))
     same = F.col("r.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.mark") == F.col("g.mark"))
