@@ -1,0 +1,141 @@
+"""Operators on cases that the tables do not hold."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterglass.operators import community, filters, metrics, reports
+from meterglass.schema import MESSAGES, TOKENS
+from meterglass.streaming.daily import daily_stream, merge_stream, read_messages
+
+
+def days(spark, values, entity="u"):
+    return spark.createDataFrame([(e, datetime.date.fromisoformat(d)) for e, d in values], f"{entity} string, date date")
+
+
+def test_streaks_over_gaps_years_and_repeats(spark):
+    given = [("a", d) for d in ("2024-12-30", "2024-12-31", "2025-01-01", "2025-01-01", "2025-01-03")] + [("b", "2024-01-01")]
+    df = days(spark, given)
+    assert {r["u"]: r["longest_streak"] for r in metrics.longest_streak(df, "u").collect()} == {"a": 3, "b": 1}
+    current = lambda day, **k: {r["u"]: r["current_streak"] for r in metrics.current_streak(df, "u", day, **k).collect()}
+    assert current("2025-01-04") == {"a": 1, "b": 0}
+    assert current("2025-01-05") == {"a": 0, "b": 0}
+    assert current("2025-01-03", lenient=True) == {"a": 4, "b": 0}
+
+
+@pytest.mark.parametrize("rule, expected", [("at_least", [0, 1, 2, 3, 4, 4]), ("strict", [0, 1, 1, 2, 3, 4]), ("ceil", [0, 1, 1, 2, 3, 4])])
+def test_intensity_rules(spark, rule, expected):
+    df = spark.createDataFrame([(float(x),) for x in (0, 1, 25, 50, 75, 100)], "cost double")
+    assert [r["intensity"] for r in reports.with_intensity(df, rule).orderBy("cost").collect()] == expected
+
+
+def test_saturating_sums(spark):
+    row = ("claude", "m", "p", "s", 0, datetime.date(2024, 1, 1), 2**63 - 1, 1, 1, 1, 1, 0.0, None)
+    df = spark.createDataFrame([row, row], MESSAGES)
+    assert reports.daily(df, saturate=True).first()["input"] == 2**63 - 1
+    assert reports.daily(df, saturate=True).first()["output"] == 2
+
+
+def test_order_by_cost_puts_nan_last(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", float("nan")), ("c", 3.0)], "k string, cost double")
+    assert [r["k"] for r in df.orderBy(*reports.by_cost()).collect()] == ["c", "a", "b"]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], MESSAGES)
+    assert reports.model_report(none).count() == 0 == reports.daily_contributions(none).count()
+    one = reports.summary(reports.day_totals(none), none).first()
+    assert (one["total_tokens"], one["active_days"], one["average_per_day"], one["sources"]) == (0, 0, 0.0, [])
+    assert metrics.favourite_model(none).first()["favourite_model"] == "N/A"
+    assert metrics.longest_session(none).first()["label"] == "N/A"
+    assert metrics.peak_hour(none, F.lit(1)).count() == 0
+    assert metrics.best_day(reports.day_totals(none)).first()["date"] is None
+
+
+def test_shortcuts():
+    day = datetime.date(2024, 3, 10)
+    assert filters.shortcut(day, today=True, week=True) == {"since": day, "until": day}
+    assert filters.shortcut(day, week=True)["since"] == datetime.date(2024, 3, 4)
+    assert filters.shortcut(day, month=True)["since"] == datetime.date(2024, 3, 1) and filters.shortcut(day) == {}
+
+
+def test_no_source_is_none_and_all_is_none_named(spark):
+    df = spark.createDataFrame([("amp",), ("codex",)], "source string")
+    assert filters.by_sources(df, None).count() == 2 and filters.by_sources(df, []).count() == 0
+
+
+def test_merge_keeps_replaces_and_deletes(spark):
+    kind = "user_id int, date string, source string, tokens int"
+    old = [(1, "d1", s, n) for s, n in (("claude", 1000), ("cursor", 500), ("codex", 700))] + [(1, "d2", "claude", 5), (2, "d1", "claude", 9)]
+    new = [(1, "d1", "claude", 1200), (1, "d1", "amp", 3), (1, "d3", "amp", 4)]
+    listed = [(1, "claude"), (1, "cursor")]
+    merged = community.merge_sources(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), spark.createDataFrame(listed, "user_id int, source string"))
+    assert sorted(map(tuple, merged.select("user_id", "date", "source", "tokens").collect())) == [
+        (1, "d1", "claude", 1200), (1, "d1", "codex", 700), (1, "d2", "claude", 5), (1, "d3", "amp", 4), (2, "d1", "claude", 9),
+    ]
+
+
+def submission(spark, tokens=(100, 200), stated=300, cost=(1.0, 2.0), dates=("2024-01-01", "2024-01-02"), source="claude", active=2, end="2024-01-31"):
+    d = [datetime.date.fromisoformat(x) for x in dates]
+    rows = [(1, x, t, c, 1) for x, t, c in zip(d, tokens, cost)]
+    meta = spark.createDataFrame([(1, datetime.date(2024, 1, 1), datetime.date.fromisoformat(end), stated, 3.0, active)], "submission_id int, start date, end date, total_tokens bigint, total_cost double, active_days bigint")
+    day = spark.createDataFrame(rows, "submission_id int, date date, tokens bigint, cost double, intensity int")
+    part = spark.createDataFrame([(1, x, source, t, 0, 0, 0, 0) for _, x, t, *_ in rows], "submission_id int, date date, source string, " + ", ".join(f"{t} bigint" for t in TOKENS))
+    year = spark.createDataFrame([(1, 2024, sum(tokens))], "submission_id int, year int, total_tokens bigint")
+    return {(r["rule"], r["severity"]) for r in community.validate(meta, day, part, year, "2024-06-01").collect()}
+
+
+def test_validation(spark):
+    assert submission(spark) == set()
+    assert submission(spark, tokens=(-1, 301)) >= {("V1", "error")}
+    assert submission(spark, source="droid") == {("V1", "error")}
+    assert submission(spark, end="2025-01-01") == {("V2", "error")}
+    assert submission(spark, stated=500) == {("V3", "error")} and submission(spark, stated=399) == set()
+    assert submission(spark, cost=(1.0, 5.0)) == {("V4", "warning")}
+    assert submission(spark, active=1) == {("V5", "warning")}
+    assert submission(spark, dates=("2023-12-31", "2024-01-02")) == {("V7", "warning")}
+    assert ("V8", "error") in submission(spark, dates=("2024-01-02", "2024-01-02"))
+
+
+def test_leaderboard_pages(spark):
+    subs = spark.createDataFrame([(i, i % 40, 10 * (i % 7), "1.5", 1, i) for i in range(200)], "id int, user_id int, total_tokens bigint, total_cost string, submit_count int, created_at int")
+    users = spark.createDataFrame([(i, f"u{i}") for i in range(40)], "user_id int, username string")
+    pages = [[(r["rank"], r["user_id"]) for r in community.leaderboard(subs, users, p, 15).orderBy("rank").collect()] for p in (1, 2, 3, 4)]
+    totals = {u: sum(10 * (i % 7) for i in range(200) if i % 40 == u) for u in range(40)}
+    order = sorted(totals, key=lambda u: (-totals[u], u))
+    assert [x for p in pages for x in p] == list(enumerate(order, 1))
+    ranks = {r["user_id"]: r["rank"] for r in community.ranks(subs).collect()}
+    assert ranks == {u: 1 + sum(t > totals[u] for t in totals.values()) for u in totals}
+    assert community.user_rank(subs, 3).first()["rank"] == ranks[3]
+
+
+def test_bands(spark):
+    bars = spark.createDataFrame([("d", "a", 6, 0, 6), ("d", "b", 4, 6, 10)], "date string, model_id string, tokens bigint, bar_start bigint, bar_end bigint")
+    assert {r["band"]: r["model_id"] for r in metrics.band_model(bars, 5).collect()} == {0: "a", 1: "a", 2: "a", 3: "b", 4: "b"}
+
+
+def test_daily_stream_and_merge(spark, tmp_path):
+    row = lambda ms, n: ("claude", "m", "p", "s", ms, datetime.date(1970, 1, 1), n, 0, 0, 0, 0, 1.0, None)
+    day = 86_400_000
+    for n, rows in enumerate(([row(1, 5), row(2, 6)], [row(10 * day, 1)], [row(3, 100), row(20 * day, 2)])):
+        spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        del n
+    stream = daily_stream(read_messages(spark, str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("days").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(str(r["date"]), r["tokens"], r["messages"]) for r in spark.table("days").orderBy("date").collect()] == [("1970-01-01", 111, 3), ("1970-01-11", 1, 1), ("1970-01-21", 2, 1)]
+
+    saved = {}
+    kind = "user_id int, date string, source string, tokens int"
+    spark.createDataFrame([(1, "d", "amp", 5)], kind).write.parquet(str(tmp_path / "sub"))
+
+    def save(df, batch_id):
+        saved[batch_id] = sorted(map(tuple, df.collect()))
+
+    incoming = spark.readStream.schema(kind).parquet(str(tmp_path / "sub"))
+    base = lambda: spark.createDataFrame([(1, "d", "amp", 1), (1, "d", "codex", 2)], kind)
+    merge = lambda old, new: community.merge_sources(old, new, new).select("user_id", "date", "source", "tokens")
+    merge_stream(incoming, base, merge, save, str(tmp_path / "c2")).awaitTermination()
+    assert saved == {0: [(1, "d", "amp", 5), (1, "d", "codex", 2)]}
