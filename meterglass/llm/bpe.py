@@ -32,6 +32,8 @@ from meterglass.llm.common import per_text, ship_package, whole_text
 #: The word pattern and the end-of-word mark of the vocabulary's own definition.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\p{Z}\p{L}\p{N}]+")
 SUFFIX = "</w>"
+#: The rank of a pair that is never merged.
+NO_MERGE = 1 << 60
 #: Bytes of text that a worker handles at once.
 SLICE = 1 << 22
 
@@ -73,19 +75,16 @@ class Vocabulary:
             return [self.special[word]]
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += SUFFIX
-        while len(parts) > 1:
-            rank, pair = min((self.ranks.get(p, 1 << 60), p) for p in zip(parts, parts[1:]))
-            if rank == 1 << 60:
-                break
-            joined, i = [], 0
-            while i < len(parts):
-                if tuple(parts[i : i + 2]) == pair:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
+        ranks = [self.ranks.get(p, NO_MERGE) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NO_MERGE:
+            # The first place; others of the same pair follow, as what a merge makes ranks later.
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.ranks.get((parts[i - 1], parts[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = self.ranks.get((parts[i], parts[i + 1]), NO_MERGE)
         return [self.ids[p] for p in parts]
 
 
