@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import per_text, ship_package, whole_text
+from meterglass.llm.common import cut_lineage, per_text, ship_package, whole_text
 
 #: The word pattern and the end-of-word mark of the vocabulary's own definition.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\p{Z}\p{L}\p{N}]+")
@@ -255,7 +255,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[b
 
 
 def frequent_words(docs: DataFrame, vocab_name: str, size: int) -> list[str]:
-    """The ``size`` most frequent words of all whole texts, ties by the word."""
+    """The most frequent words of all whole texts: whole classes of counts, ``size`` words at most."""
 
     def count(batches):
         vocab = vocabulary(vocab_name)
@@ -267,11 +267,21 @@ def frequent_words(docs: DataFrame, vocab_name: str, size: int) -> list[str]:
 
     ship_package(docs.sparkSession)
     words = docs.select(whole_text().alias("text")).mapInArrow(count, "word string, n long")
-    words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-def build_lexicon(docs: DataFrame, path: str, size: int = 32_768) -> str:
+    words = cut_lineage(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    # Words fall into classes by the logarithm of their count, at most some hundreds; the rarest
+    # class that still fits whole is the last one taken.
+    grade = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    classes = words.groupBy(grade.alias("grade")).agg(F.count("*").alias("n")).collect()
+    taken, last = 0, None
+    for c in sorted(classes, key=lambda c: -c["grade"]):
+        taken += c["n"]
+        if taken > size:
+            break
+        last = c["grade"]
+    return [] if last is None else [r["word"] for r in words.filter(grade >= last).select("word").collect()]
+
+
+def build_lexicon(docs: DataFrame, path: str, size: int = 131_072) -> str:
     """Compile the frequent words and send the file to all executors; the name to open it by.
 
     ``size`` bounds what comes to the driver. The name holds the content's digest, so a lexicon is
@@ -317,7 +327,7 @@ def decoder(vocab_name: str):
     return run
 
 
-def encode(docs: DataFrame, path: str, lexicon_size: int = 32_768) -> DataFrame:
+def encode(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame:
     """doc_id and ids (packed little-endian unsigned 32-bit) of every whole text.
 
     ``path`` is the driver's; the file is sent to the executors. A null text is empty and an empty
