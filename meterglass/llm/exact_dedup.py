@@ -8,7 +8,7 @@ group, a join whose hot keys Spark splits at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.llm.common import anew, whole_text
@@ -17,18 +17,20 @@ from meterglass.llm.common import anew, whole_text
 KEY = ["n_bytes", "prefix", "digest"]
 
 
-def sized(rows: DataFrame, prefix_chars: int) -> DataFrame:
-    """``rows`` and the first two keys of their ``text``."""
-    prefix = F.xxhash64(F.substring("text", 1, prefix_chars))
-    return rows.withColumns({"n_bytes": F.octet_length("text"), "prefix": prefix})
+def sized(rows: DataFrame, prefix_chars: int, text: Column) -> DataFrame:
+    """``rows`` and the first two keys of their text."""
+    return rows.withColumns({"n_bytes": F.octet_length(text), "prefix": F.xxhash64(F.substring(text, 1, prefix_chars))})
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """The (n_bytes, prefix) that two rows or more have, looked for only among shared lengths."""
-    keys = rows.select("n_bytes", "prefix")
-    lengths = keys.groupBy("n_bytes").count().filter("count > 1").select("n_bytes")
-    met = keys.join(anew(lengths, "n_bytes"), "n_bytes", "left_semi").groupBy("n_bytes", "prefix").count()
-    return anew(met.filter("count > 1").select("n_bytes", "prefix"), "prefix")
+    """The (n_bytes, prefix) that two rows or more have, looked for only among shared lengths.
+
+    Copies become one row with a count before lengths meet.
+    """
+    met = rows.groupBy("n_bytes", "prefix").count()
+    lengths = met.groupBy("n_bytes").agg(F.sum("count").alias("n")).filter("n > 1").select("n_bytes")
+    met = met.join(anew(lengths, "n_bytes"), "n_bytes", "left_semi").filter("count > 1")
+    return anew(met.select("n_bytes", "prefix"), "prefix")
 
 
 def exact_groups(docs: DataFrame, prefix_chars: int = 256, with_digest: bool = False) -> DataFrame:
@@ -38,7 +40,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, with_digest: bool = F
     doc_id stays; a null id is smaller than any other. Rows that repeat both id and text tie: one of
     them stays. An empty table gives no rows; further columns of ``docs`` are left alone.
     """
-    rows = sized(docs.select("doc_id", whole_text().alias("text")), prefix_chars)
+    rows = sized(docs.select("doc_id", whole_text().alias("text")), prefix_chars, F.col("text"))
     partners = shared_prefixes(rows).withColumn("partner", F.lit(True))
     full = F.sha2("text", 256)
     rows = rows.join(partners, ["n_bytes", "prefix"], "left").select(
@@ -73,14 +75,12 @@ def drop_exact(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
     All columns come back in their order. Every text crosses the network once, to meet the shared
     prefixes (both branches reuse that exchange); only those that still have a partner go further.
     """
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", whole_text().alias("text")
-    )
-    rows = sized(packed, prefix_chars)
-    partners = shared_prefixes(rows.select("n_bytes", "prefix"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = sized(rows, prefix_chars, text)
+    partners = shared_prefixes(rows)
     alone = rows.join(partners, ["n_bytes", "prefix"], "left_anti").select("row")
-    met = rows.join(partners, ["n_bytes", "prefix"], "left_semi")
-    met = met.select("row", "doc_id", "n_bytes", "prefix", F.sha2("text", 256).alias("digest"))
-    best = met.groupBy(*KEY).agg(F.max("doc_id").alias("best"))
-    stay = met.join(anew(best, "prefix"), KEY).filter(F.col("doc_id").eqNullSafe(F.col("best"))).dropDuplicates(KEY)
-    return alone.unionByName(stay.select("row")).select("row.*")
+    met = rows.join(partners, ["n_bytes", "prefix"], "left_semi").withColumn("digest", F.sha2(text, 256))
+    best = met.groupBy(*KEY).agg(F.max("row.doc_id").alias("best"))
+    stay = met.join(anew(best, "prefix"), KEY).filter(F.col("row.doc_id").eqNullSafe(F.col("best")))
+    return alone.unionByName(stay.dropDuplicates(KEY).select("row")).select("row.*")
