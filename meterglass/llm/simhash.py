@@ -249,9 +249,17 @@ def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFra
 
 
 def drop_near(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFrame:
-    """``docs``, all columns, with the one document of each component that it is named after."""
-    _, named = _named(docs, shingle, crowd)
+    """``docs``, all columns, with the one document of each component that it is named after.
+
+    Every text crosses the network once, to meet the names; only rows that repeat id and text go
+    further, where one of them is taken.
+    """
+    own, named = _named(docs, shingle, crowd)
+    repeated = own.groupBy("key").agg((F.count("*") > 1).alias("repeated"))
     stay = named.select(F.col("name.key").alias("key"), F.col("name.doc_id").alias("keep_id")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), text_key().alias("key")).join(stay, "key")
-    return rows.filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["key"]).select("row.*")
+    stay = cut_lineage(stay.join(anew(repeated, "key"), "key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, text_key().alias("key")).join(stay, "key")
+    rows = rows.filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
+    one = rows.filter("repeated").dropDuplicates(["key"])
+    return rows.filter("not repeated").select("row").unionByName(one.select("row")).select("row.*")
