@@ -34,13 +34,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3) == 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meterglass-"))
-    return named or sc.getCheckpointDir()
+def set_checkpoint_folder(spark: SparkSession) -> None:
+    """Use the folder that the session names in spark.checkpoint.dir; a temporary one where it names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="meterglass-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,7 +46,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The rows survive the loss of any executor, and plans that read them twice do not redo the work.
     """
-    shared_folder(df.sparkSession)
+    set_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
