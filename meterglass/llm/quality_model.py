@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -119,23 +120,27 @@ def labelled(docs: DataFrame, labels: DataFrame, t: Training) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
     """feature, weight; without labelled rows it is empty and every score is one half."""
 
-    def shard(batches):
+    def shards_of(batches):
         def rows():
             for batch in batches:
+                labels, shards = batch.column("label").to_pylist(), batch.column("shard").to_pylist()
                 for at, texts in batches_of(batch.column("text")):
                     found, owner = features(texts)
                     order = np.argsort(owner, kind="stable")
                     parts = np.split(found[order], np.searchsorted(owner[order], np.arange(1, len(texts))))
-                    yield from zip(parts, batch.column("label").take(pa.array(at)).to_pylist())
+                    yield from ((shards[i], f, labels[i]) for i, f in zip(at, parts))
 
-        at, w = ftrl_pass(rows(), t)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["feature", "weight"])
+        # A partition may hold several shards or none; each is a pass of its own.
+        for _, own in groupby(rows(), key=lambda r: r[0]):
+            at, w = ftrl_pass(((f, label) for _, f, label in own), t)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["feature", "weight"])
 
     ship_package(docs.sparkSession)
     rows = labelled(docs, labels, t).withColumn("h", F.xxhash64("doc_id", "text", "label"))
-    rows = rows.repartition(t.shards, "h").sortWithinPartitions("h").select("text", "label")
-    shards = rows.mapInArrow(shard, "feature long, weight double")
-    return shards.groupBy("feature").agg((F.sum("weight") / t.shards).alias("weight"))
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(t.shards)).cast("int"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "h").select("text", "label", "shard")
+    models = rows.mapInArrow(shards_of, "feature long, weight double")
+    return models.groupBy("feature").agg((F.sum("weight") / t.shards).alias("weight"))
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:

@@ -153,6 +153,8 @@ def test_encoding_is_the_librarys(spark, size):
         ids = reference.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids, repr(texts[r["doc_id"]])
         assert r["decoded"] == reference.decode(ids, skip_special_tokens=False)
+    again = bpe.round_trip(odd_documents(spark, rows), VOCABULARY, size).collect()
+    assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in again) == sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got)
 
 
 def test_encoding_of_odd_rows(spark):
@@ -260,6 +262,10 @@ def test_classifier_learns_from_its_part_only(spark):
     turned = spark.createDataFrame([(i, 1 - q if held_out(i) else q) for i, q in labels], "doc_id bigint, quality int")
     again = {r["doc_id"]: r["score"] for r in quality_model.classify(docs, turned).collect()}
     assert all(abs(again[i] - got[i]["score"]) < 1e-9 for i, _ in labels), "held-out labels change nothing"
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spread = {r["doc_id"]: r["score"] for r in quality_model.classify(docs, marks).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(abs(spread[i] - got[i]["score"]) < 1e-9 for i, _ in labels), "the number of partitions changes nothing"
     untrained = quality_model.classify(docs, marks.filter("false")).collect()
     assert {r["score"] for r in untrained} == {0.5}
     assert quality_model.classify(empty_documents(spark), marks).count() == 0
