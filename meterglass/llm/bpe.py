@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import cut_lineage, per_text, ship_package, whole_text
+from meterglass.llm.common import cut_lineage, per_text, ship_package, struct_of, whole_text
 
 #: The word pattern and the end-of-word mark of the vocabulary's own definition.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\p{Z}\p{L}\p{N}]+")
@@ -35,7 +35,7 @@ SUFFIX = "</w>"
 #: The rank of a pair that is never merged.
 NO_MERGE = 1 << 60
 #: Bytes of text that a worker handles at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -307,22 +307,32 @@ def encoder(vocab_name: str, lexicon_name: str):
 
     @per_text("binary")
     def run(texts: pa.Array) -> pa.Array:
-        vocab, lex, memo = vocabulary(vocab_name), lexicon(lexicon_name), MEMO
-        return pa.array([x for part in slices(texts) for x in encode_texts(part, vocab, lex, memo)], pa.binary())
+        return encode_array(texts, vocabulary(vocab_name), lexicon(lexicon_name))
 
     return run
 
 
-def decoder(vocab_name: str):
-    """A column function from packed ids to text: the tokens with a space between, special ones too.
+def encode_array(texts: pa.Array, vocab: Vocabulary, lex: Lexicon) -> pa.Array:
+    """Packed ids of an array of texts, slice by slice."""
+    parts = [pa.array(encode_texts(part, vocab, lex, MEMO), pa.binary()) for part in slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+def decode_ids(ids: pa.Array, vocab: Vocabulary) -> pa.Array:
+    """The tokens of packed ids with a space between, special ones too.
 
     The vocabulary names no decoder, so its library joins tokens like that as well.
     """
+    tokens = np.array(vocab.tokens, object)
+    return pa.array((" ".join(tokens[np.frombuffer(x.as_py(), "<u4")]) for x in ids), pa.string())
+
+
+def decoder(vocab_name: str):
+    """A column function from packed ids to text."""
 
     @per_text("string")
     def run(ids: pa.Array) -> pa.Array:
-        tokens = np.array(vocabulary(vocab_name).tokens, object)
-        return pa.array([" ".join(tokens[np.frombuffer(x.as_py(), "<u4")]) for x in ids], pa.string())
+        return decode_ids(ids, vocabulary(vocab_name))
 
     return run
 
@@ -342,3 +352,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the column decoded, the text that ``ids`` give."""
     name = ship(encoded.sparkSession, path)
     return encoded.withColumn("decoded", decoder(name)(F.col("ids")))
+
+
+def round_trip(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame:
+    """doc_id, ids and decoded in one pass of one worker per task: ``decode`` of ``encode``."""
+    vocab_name, lexicon_name = Path(path).name, build_lexicon(docs, path, lexicon_size)
+
+    @per_text("struct<ids: binary, decoded: string>")
+    def run(texts: pa.Array) -> pa.Array:
+        vocab = vocabulary(vocab_name)
+        ids = encode_array(texts, vocab, lexicon(lexicon_name))
+        return struct_of(["ids", "decoded"], [ids, decode_ids(ids, vocab)])
+
+    return docs.select("doc_id", run(whole_text()).alias("r")).select("doc_id", "r.ids", "r.decoded")

@@ -34,7 +34,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    rows = bpe.round_trip(documents(spark, sf_dir), path)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
