@@ -68,6 +68,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Tables of up to so many narrow rows are broadcast, some 60 MB; longer ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df``, written out once, to be broadcast if it has at most ``limit`` rows."""
+    df = cut_lineage(df)
+    limit = BROADCAST_ROWS if limit is None else limit
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def text_key() -> Column:
+    """A hash of id and text, by which a row is found again."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", whole_text())
+
+
+def take_out(docs: DataFrame, lost: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows ``lost`` and with one of each of the rows ``repeated``.
+
+    Both name rows by ``key`` (text_key) and doc_id. What goes is mostly the smaller part: it is
+    broadcast if it is small, so no text is shuffled; else every text crosses the network once.
+    """
+    named = lost.select("key", "doc_id", F.lit(False).alias("one")).union(repeated.select("key", "doc_id", F.lit(True)))
+    named = broadcast_if_small(named.distinct())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, text_key().alias("key")).withColumn("id", F.col("row.doc_id"))
+
+    def same(other: DataFrame) -> Column:
+        return (rows["key"] == other["key"]) & rows["id"].eqNullSafe(other["doc_id"])
+
+    one = named.filter("one")
+    stay = rows.join(named, same(named), "left_anti")
+    again = rows.join(one, same(one), "left_semi").dropDuplicates(["key", "id"])
+    return stay.select("row").union(again.select("row")).select("row.*")
+
+
 def anew(df: DataFrame, key: str) -> DataFrame:
     """``df`` without the knowledge that it is partitioned by the integer column ``key``.
 

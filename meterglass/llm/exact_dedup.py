@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import anew, whole_text
+from meterglass.llm.common import anew, broadcast_if_small, cut_lineage, take_out, text_key, whole_text
 
 
 KEY = ["n_bytes", "prefix", "digest"]
@@ -41,7 +41,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, with_digest: bool = F
     them stays. An empty table gives no rows; further columns of ``docs`` are left alone.
     """
     rows = sized(docs.select("doc_id", whole_text().alias("text")), prefix_chars, F.col("text"))
-    partners = shared_prefixes(rows).withColumn("partner", F.lit(True))
+    partners = broadcast_if_small(shared_prefixes(rows)).withColumn("partner", F.lit(True))
     full = F.sha2("text", 256)
     rows = rows.join(partners, ["n_bytes", "prefix"], "left").select(
         "doc_id",
@@ -72,15 +72,13 @@ def exact_groups(docs: DataFrame, prefix_chars: int = 256, with_digest: bool = F
 def drop_exact(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
     """``docs`` with one row of each group of equal texts, as ``exact_groups`` decides.
 
-    All columns come back in their order. Every text crosses the network once, to meet the shared
-    prefixes (both branches reuse that exchange); only those that still have a partner go further.
+    All columns come back in their order. Only texts that share length and prefix are hashed in full,
+    and the decision is made on narrow rows.
     """
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = sized(rows, prefix_chars, text)
-    partners = shared_prefixes(rows)
-    alone = rows.join(partners, ["n_bytes", "prefix"], "left_anti").select("row")
-    met = rows.join(partners, ["n_bytes", "prefix"], "left_semi").withColumn("digest", F.sha2(text, 256))
-    best = met.groupBy(*KEY).agg(F.max("row.doc_id").alias("best"))
-    stay = met.join(anew(best, "prefix"), KEY).filter(F.col("row.doc_id").eqNullSafe(F.col("best")))
-    return alone.unionByName(stay.dropDuplicates(KEY).select("row")).select("row.*")
+    rows = sized(docs.select("doc_id", whole_text().alias("text")), prefix_chars, F.col("text"))
+    partners = broadcast_if_small(shared_prefixes(rows))
+    met = rows.join(partners, ["n_bytes", "prefix"]).withColumns({"digest": F.sha2("text", 256), "key": text_key()})
+    met = cut_lineage(met.groupBy("doc_id", "key", *KEY).agg(F.count("*").alias("copies")))
+    best = met.groupBy(*KEY).agg(F.max("doc_id").alias("best"))
+    met = met.join(anew(best, "prefix"), KEY).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best")))
+    return take_out(docs, met.filter("not stays"), met.filter("stays and copies > 1"))

@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import FOLD, anew, cut_lineage, per_text, ship_package, whole_text
+from meterglass.llm.common import FOLD, anew, cut_lineage, per_text, ship_package, take_out, text_key, whole_text
 from meterglass.llm.components import connected_components
 
 THRESHOLD = 2
@@ -51,11 +51,6 @@ def fingerprint(words: list[bytes], shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def text_key() -> Column:
-    """A hash of id and text, by which a row is found again."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", whole_text())
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, key and fp (longs) of every whole text; null counts as empty, without words it is 0."""
 
@@ -249,17 +244,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFra
 
 
 def drop_near(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFrame:
-    """``docs``, all columns, with the one document of each component that it is named after.
-
-    Every text crosses the network once, to meet the names; only rows that repeat id and text go
-    further, where one of them is taken.
-    """
+    """``docs``, all columns, with the one document of each component that it is named after."""
     own, named = _named(docs, shingle, crowd)
-    repeated = own.groupBy("key").agg((F.count("*") > 1).alias("repeated"))
-    stay = named.select(F.col("name.key").alias("key"), F.col("name.doc_id").alias("keep_id")).distinct()
-    stay = cut_lineage(stay.join(anew(repeated, "key"), "key"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, text_key().alias("key")).join(stay, "key")
-    rows = rows.filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
-    one = rows.filter("repeated").dropDuplicates(["key"])
-    return rows.filter("not repeated").select("row").unionByName(one.select("row")).select("row.*")
+    rows = own.groupBy("doc_id", "key", "fp").agg(F.count("*").alias("copies")).join(named, "fp")
+    stays = (F.col("key") == F.col("name.key")) & F.col("doc_id").eqNullSafe(F.col("name.doc_id"))
+    rows = rows.withColumn("stays", stays)
+    return take_out(docs, rows.filter("not stays"), rows.filter("stays and copies > 1"))

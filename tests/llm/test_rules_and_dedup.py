@@ -11,7 +11,7 @@ import xxhash
 from helpers import SCHEMA, collected, empty_documents, odd_documents, odd_rows, sentence
 from pyspark.sql import functions as F
 
-from meterglass.llm import components, exact_dedup, quality_rules, simhash, substring_dedup
+from meterglass.llm import common, components, exact_dedup, quality_rules, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,7 +59,9 @@ def test_keeping_good_rows_leaves_all_columns(spark):
     assert quality_rules.ledger(empty_documents(spark)).count() == 0
 
 
-def test_exact_groups_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 1])
+def test_exact_groups_against_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     rows = odd_rows()
     groups = defaultdict(list)
     for i, t, *_ in rows:
@@ -104,7 +106,9 @@ def plain_components(fps):
     return [find(i) for i in range(len(fps))]
 
 
-def test_near_groups_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 1])
+def test_near_groups_against_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     rows = odd_rows()
     fps = [plain_fingerprint(t) for _, t, *_ in rows]
     own = plain_components(fps)
