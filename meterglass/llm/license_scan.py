@@ -1,7 +1,7 @@
 """Licence notices by a positional index of rare words, in DataFrame operations only.
 
 Each template is indexed by its words of highest inverse document frequency, counted over all
-documents, with their places. A document looks up its own highest words in that index; every hit
+documents, with their places. A document looks up every word of that index that it has; every hit
 proposes a start for a template (its place less the template's), where the template's other rare
 words must stand at their places and its key phrases must stand word for word. Only documents with
 a rare word go beyond the look-up, nothing is shuffled but the counts of the index's vocabulary.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from meterglass.llm.common import fold_ascii, whole_text
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words of a template in the index, and those that a document looks up besides the base ones.
+#: Rare words of a template in the index. A document looks up all of the index that it has; LOOKED_UP
+#: is a cap that only the SQL twin still states, which tells where a text has more index words than that.
 RARE, LOOKED_UP = 5, 16
 #: The part of a template's rare words, by weight, that must stand at their places.
 LEAST = 0.6
@@ -101,11 +102,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """
     idf = rarity(docs, templates)
     rare = [rare_words(t, idf) for t in templates]
-    always = sorted({w for t, r in zip(templates, rare) if t.base for _, w in r})
-    index = sorted({w for r in rare for _, w in r}, key=lambda w: (-idf[w], w))
-    literal = lambda words: F.array(*map(F.lit, words))
-    known = F.array_intersect(literal(index), F.col("words"))
-    looked = F.array_union(F.slice(known, 1, LOOKED_UP), F.array_intersect(literal(always), F.col("words")))
+    index = sorted({w for r in rare for _, w in r})
+    looked = F.array_intersect(F.array(*map(F.lit, index)), F.col("words"))
     places = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     none = F.array().cast("array<struct<w:string,i:int>>")
     rows = words_of(docs).withColumn("looked", looked)

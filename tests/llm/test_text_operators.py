@@ -133,6 +133,21 @@ def test_licence_scan_against_brute_force(spark):
     assert license_scan.scan(empty_documents(spark)).count() == 0
 
 
+def test_licence_scan_of_a_text_with_all_templates(spark):
+    """More index words in one text than any cap: each template is found where it stands."""
+    rng = random.Random(13)
+    everything = " ; ".join(t.text for t in license_scan.TEMPLATES)
+    some = " ; ".join(t.text for t in license_scan.TEMPLATES if t.label in ("bsd", "mit", "mpl-2.0", "lgpl", "cc-by-sa", "apache-2.0"))
+    rows = [(1, everything, "en", "s", 1), (2, some, "en", "s", 1)]
+    common = "0 2 version license apache the under licensed mit released"
+    rows += [(10 + n, common + " " + sentence(rng, 20), "en", "s", 1) for n in range(60)]
+    docs = odd_documents(spark, rows)
+    idf = license_scan.rarity(docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan(docs).filter("doc_id < 10").collect()}
+    assert got == {i: plain_scan(t, idf) for i, t, *_ in rows[:2]}
+    assert got[1][5].split(",") == sorted({t.label for t in license_scan.TEMPLATES})
+
+
 # BPE
 
 
