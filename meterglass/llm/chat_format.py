@@ -1,9 +1,9 @@
 """Chat records of any known layout as one training text each, in DataFrame operations only.
 
 A layout is known by its nested field paths. Those of a frame (from its schema) or of a JSON record
-(probed row by row) are hashed to a fingerprint, which selects a declarative mapping to canonical
-turns: role and text, in order. Fields that no layout uses don't count, so further columns and keys
-of any name do no harm.
+(probed row by row) select a declarative mapping to canonical turns: role and text, in order. A frame
+is known by its paths' fingerprint, a record by the layout that needs most of what it fills. Fields
+that no layout uses don't count, so further columns and keys of any name do no harm.
 
 The template marks where a turn starts, where its text starts and where it ends. Inside roles and
 texts a backslash is doubled and put after the first character of every control string, those of
@@ -68,6 +68,12 @@ LAYOUTS = (
         _turns(("'user'", "concat_ws('\\n\\n', instruction, nullif(input, ''))"), ("'assistant'", "output")),
     ),
 )
+#: A system text beside any other layout is its first turn.
+LAYOUTS += tuple(
+    Layout(f"system_{x.name}", ("system", *x.paths), f"concat({_turns(("'system'", 'system'))}, {x.turns})")
+    for x in LAYOUTS
+    if x.name not in ("prompt", "system_prompt")
+)
 #: One row per turn: the layout of a frame only.
 TURN_ROWS = ("conv_id", "role", "text", "turn")
 
@@ -110,27 +116,62 @@ def _clean(role: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c.split(".")[-1]) for c in (role, text)]
 
 
+def _paths(v: Column) -> tuple[Column, Column]:
+    """The KNOWN paths that a JSON value has, over all elements of its arrays, and those of them with a value."""
+    none = F.array().cast("array<variant>")
+
+    def named(name: str):
+        keys = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+        return lambda x: F.coalesce(F.array_contains(keys(x), name), F.lit(False))
+
+    def valued(name: str):
+        return lambda x: F.try_variant_get(x, f"$.{name}", "string").isNotNull()
+
+    has, filled = [], []
+    for path in sorted(KNOWN):
+        field, _, own = path.partition("[].")
+        items = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), none) if own else F.array(v)
+        has.append(F.when(F.exists(items, named(own or field)), path))
+        filled.append(F.when(F.exists(items, valued(own or field)), path))
+    return tuple(F.array_compact(F.array(*x)) for x in (has, filled))
+
+
+def _mapped(df: DataFrame, record: str, id_column: str) -> DataFrame:
+    """conv_id, v, turns of every record; turns are null where no layout's paths are all there."""
+    rows = df.select(F.col(id_column).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
+    has, filled = _paths(F.col("v"))
+    fields = {k: F.try_variant_get("v", f"$.{k}", kind) for k, kind in FIELDS.items()}
+    rows = rows.select("conv_id", "v", has.alias("has"), filled.alias("filled"), *[c.alias(k) for k, c in fields.items()])
+    ranks, turns = [], F.lit(None).cast("array<struct<role:string,text:string>>")
+    for n, x in enumerate(LAYOUTS):
+        need = F.array(*map(F.lit, x.paths))
+        given = F.size(F.array_intersect("filled", need))
+        rank = F.struct((-given).alias("given"), F.lit(len(x.paths)).alias("need"), F.lit(n).alias("n"))
+        ranks.append(F.when(F.size(F.array_intersect("has", need)) == len(x.paths), rank))
+    rows = rows.withColumn("layout", F.array_min(F.array_compact(F.array(*ranks)))["n"])
+    for n, x in enumerate(LAYOUTS):
+        turns = F.when(F.col("layout") == n, F.expr(x.turns)).otherwise(turns)
+    return rows.select("conv_id", "v", turns.alias("turns"))
+
+
 def turns_of_records(df: DataFrame, record: str = "record", id_column: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text of JSON records in a string column, each with a layout of its own.
 
-    The field paths are probed in each record and hashed; the fingerprint selects the mapping. A
-    record that is no JSON, or of no known layout, has no turns.
+    Of the layouts whose paths are all among a record's keys, it has the one with most paths that
+    hold a value, then the one with fewest nulls, then the first. A null text is empty. A record that
+    is no JSON, or of no known layout, has no turns: ``unmatched_records`` has those.
     """
-    rows = df.select(F.col(id_column).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
-    probe = {}
-    for path in sorted(KNOWN):
-        name = path.replace("[].", "[0].")
-        probe[path] = F.when(F.try_variant_get("v", f"$.{name}", "string").isNotNull(), path)
-    fields = {k: F.try_variant_get("v", f"$.{k}", kind) for k, kind in FIELDS.items()}
-    paths = F.array_sort(F.array_compact(F.array(*probe.values())))
-    rows = rows.select("conv_id", F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16).alias("fp"), *[c.alias(k) for k, c in fields.items()])
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for x in LAYOUTS:
-        turns = F.when(F.col("fp") == fingerprint(x.paths), F.expr(x.turns)).otherwise(turns)
-    rows = rows.select("conv_id", F.posexplode(turns).alias("turn", "t"))
+    rows = _mapped(df, record, id_column).select("conv_id", F.posexplode("turns").alias("turn", "t"))
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), *_clean("t.role", "t.text"))
 
 
+def unmatched_records(df: DataFrame, record: str = "record", id_column: str = "conv_id") -> DataFrame:
+    """conv_id, reason, records: how many records of an id ``turns_of_records`` has no turns of, and why."""
+    rows = _mapped(df, record, id_column).filter(F.coalesce(F.size("turns"), F.lit(0)) <= 0)
+    reason = F.when(F.col("v").isNull(), "no json").when(F.col("turns").isNull(), "no layout").otherwise("no turns")
+    return rows.groupBy("conv_id", reason.alias("reason")).agg(F.count("*").alias("records"))
+
+
 def escape(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     return F.regexp_replace(doubled, r"(?<=[<\[])" + CONTROL_REST, r"\\")

@@ -228,6 +228,32 @@ def test_layouts_are_known_by_their_paths(spark):
         chat_format.turns_of_frame(spark.range(1))
 
 
+def test_records_with_nulls_and_further_fields_keep_all_turns(spark):
+    turns = [("user", "q"), ("assistant", "a")]
+    said = [{"role": r, "content": t} for r, t in turns]
+    records = {
+        1: ({"messages": [{"role": "assistant", "content": None}, *said]}, [("assistant", ""), *turns]),
+        2: ({"messages": [{"role": "tool"}, *said]}, [("tool", ""), *turns]),
+        3: ({"prompt": None, "completion": "x"}, [("user", ""), ("assistant", "x")]),
+        4: ({"messages": said, "system": "s"}, [("system", "s"), *turns]),
+        5: ({"messages": said, "input": "i"}, turns),
+        6: ({"system": "s", "prompt": "q", "response": "a"}, [("system", "s"), *turns]),
+        7: ({"system": "s", "instruction": "q", "output": "a"}, [("system", "s"), *turns]),
+        8: ({"system": "s", "instruction": "q", "input": "more", "output": "a"}, [("system", "s"), ("user", "q\n\nmore"), turns[1]]),
+        9: ({"system": None, "prompt": "q", "completion": "a", "instruction": None, "input": None, "output": None, "messages": None}, turns),
+        10: ({"system": "s", "conversations": [{"from": r, "value": t} for r, t in turns]}, [("system", "s"), *turns]),
+        11: ({"messages": [None, *said]}, [("", ""), *turns]),
+        12: ({"prompt": "q", "completion": None, "response": "a"}, turns),
+    }
+    rows = [(i, json.dumps(r)) for i, (r, _) in records.items()] + [(20, "no json"), (21, '{"what": 1}'), (21, "{}"), (22, None), (23, '{"messages": ["text"]}')]
+    docs = spark.createDataFrame(rows, "conv_id int, record string")
+    got = defaultdict(list)
+    for r in chat_format.turns_of_records(docs).orderBy("turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert dict(got) == {i: expected for i, (_, expected) in records.items()}
+    assert collected(chat_format.unmatched_records(docs)) == [(20, "no json", 1), (21, "no layout", 2), (22, "no json", 1), (23, "no layout", 1)]
+
+
 def test_formatting_reads_back(spark):
     rng = random.Random(6)
     pieces = ["\\", "<", "[", "|", "<|im_end|>\n", "<|im_sep|>", "<\\|", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "n", "\n", "é", "\U0001f600", "<\\/s>", "ok"]
