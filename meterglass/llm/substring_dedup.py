@@ -25,9 +25,11 @@ REACH = 20
 WINDOW = 16
 MAX_CHUNK = 1024
 MIN_BYTES = 40
-#: Spans of fewer bytes are phrases or single lines, not passages. What a unit finds of a passage of
-#: 50 words is longer: at most 60 bytes are lost at either end, where chunks reach beyond it.
-MIN_SPAN = 100
+#: Spans of fewer bytes are phrases or single lines, unless the passage that they are found of may have
+#: MIN_WORDS. It can't reach further than the chunk before and the one after, and there no further than
+#: LEAD and TAIL bytes beyond their outer edges: an edge deeper inside it would be found in its copies too.
+MIN_SPAN, MIN_WORDS = 100, 50
+LEAD, TAIL = WINDOW + REACH, REACH
 PAD = 64
 SLICE = 1 << 22
 
@@ -99,8 +101,18 @@ def units_of(texts: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
     return out
 
 
+def word_reach(text: bytes, own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a text's units the numbers of the first and last word that a passage it is found of may have."""
+    raw = np.frombuffer(text, np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    number = np.cumsum(~space & np.append(True, space[:-1]), dtype=np.int32)
+    first = np.array([0, *[s for s, _, _ in own[:-1]]], np.int64) - LEAD
+    last = np.array([*[e for _, e, _ in own[1:]], len(text)], np.int64) + TAIL
+    return number[np.maximum(first, 0)], number[np.minimum(last, len(text)) - 1]
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (bits of the text's hash), start, end (bytes), h1 and h2 of every unit."""
+    """doc_id, mark (bits of the text's hash), start, end (bytes), word_reach, h1 and h2 of every unit."""
 
     def run(batches):
         for batch in batches:
@@ -119,21 +131,24 @@ def units(docs: DataFrame) -> DataFrame:
         marks = np.repeat(np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64), n)
         flat = [u for us in found for u in us]
         digests = np.frombuffer(b"".join(d for _, _, d in flat), np.int64).reshape(-1, 2)
+        reach = [word_reach(t, u) for t, u in zip(texts, found) if u] or [(np.zeros(0, np.int32),) * 2]
         rows = pa.array(np.repeat(ids, n), pa.int64())
         columns = [
             doc_id.take(rows),
             pa.array(marks, pa.int64()),
             pa.array([s for s, _, _ in flat], pa.int32()),
             pa.array([e for _, e, _ in flat], pa.int32()),
+            pa.array(np.concatenate([a for a, _ in reach])),
+            pa.array(np.concatenate([b for _, b in reach])),
             pa.array(digests[:, 0].copy()),
             pa.array(digests[:, 1].copy()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "start", "end", "h1", "h2"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "start", "end", "word", "last_word", "h1", "h2"])
 
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", whole_text().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, mark long, start int, end int, h1 long, h2 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, start int, end int, word int, last_word int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
@@ -141,8 +156,8 @@ def repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 
     A span is repeated if its units are found in two documents or more; ``first`` spans stay, for
     they lie in the document of the smallest doc_id, the others repeat what first_doc_id has. What
-    repeats within one document only is left alone, as are spans of fewer than ``min_span`` bytes and
-    so texts that are null, empty or short. Rows that repeat id and text are one document; a null id comes first.
+    repeats within one document only is left alone, as are spans of fewer than ``min_span`` bytes that
+    can't be of a passage of MIN_WORDS, and texts that are null, empty or short. Rows that repeat id and text are one document; a null id comes first.
     """
     found = units(docs)
     twice = found.groupBy("h1").count().filter("count > 1").select("h1")
@@ -155,6 +170,8 @@ def repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
         "mark",
         "start",
         "end",
+        "word",
+        "last_word",
         F.col("first_ref.doc_id").alias("first_doc_id"),
         ref.eqNullSafe(F.col("first_ref")).alias("first"),
     )
@@ -165,8 +182,13 @@ def repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     rows = rows.withColumn("span", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         rows.groupBy("doc_id", "mark", "first", "span")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-        .filter(F.col("end") - F.col("start") >= min_span)
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            (F.max("last_word") - F.min("word") + 1).alias("words"),
+            F.min("first_doc_id").alias("first_doc_id"),
+        )
+        .filter((F.col("end") - F.col("start") >= min_span) | (F.col("words") >= MIN_WORDS))
         .select("doc_id", "mark", "start", "end", "first_doc_id", "first")
     )
 

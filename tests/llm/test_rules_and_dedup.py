@@ -212,6 +212,23 @@ def test_repeats_find_planted_passages_and_nothing_else(spark):
     assert all(cut[i] == t for i, t in rows if i not in set().union(*holders.values()))
 
 
+def test_passages_of_short_words_are_not_filtered_out(spark):
+    """51 words of two letters are 152 bytes: where a whole unit of them is shared, the passage is returned."""
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(n))
+    texts, found = {}, set()
+    for n in range(150):
+        passage = prose(51)
+        a, b = (" ".join([prose(60), passage, prose(60)]) for _ in range(2))
+        texts |= {2 * n: a, 2 * n + 1: b}
+        left, right = substring_dedup.units_of([a.encode(), b.encode()])
+        if {h for *_, h in left} & {h for *_, h in right}:
+            found |= {2 * n, 2 * n + 1}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], SCHEMA)
+    assert len(found) > 200
+    assert {r["doc_id"] for r in substring_dedup.repeats(docs).collect()} == found
+
+
 def test_repeats_on_odd_rows(spark):
     docs = odd_documents(spark)
     got = substring_dedup.repeats(docs)
