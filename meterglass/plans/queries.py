@@ -542,3 +542,53 @@ def validation_errors(spark, sf_dir):
     years = days.groupBy("submission_id", F.year("date").alias("year")).agg(F.sum("tokens").alias("total_tokens"))
     found = community.validate(meta, days, rows, years, "2001-06-01")
     return found.filter("rule in ('V2', 'V3', 'V6') or (rule = 'V7' and subject < '1995-01-10')")
+
+
+#: A fault for each rule that the tables don't break by themselves, by the last digit of the submission:
+#: V1 1 (intensity) and 2 (source), V3 and V6 3, V2 4 (end), V4 5, V5 6, V8 7, V9 8, V10 submission 9.
+FAULTS = f"""WITH {PARTS}, r AS (SELECT user_id AS id, date, CASE WHEN user_id % 10 = 2 AND source = 'gemini' THEN 'droid' ELSE source END AS source, tokens * CASE WHEN user_id % 10 = 8 THEN 100 ELSE 1 END AS tokens, cost FROM parts),
+sums AS (SELECT id, date, CAST(sum(tokens) AS BIGINT) AS t, CAST(sum(cost) AS BIGINT) AS c FROM r GROUP BY id, date),
+once AS (SELECT id, date, t + CASE WHEN id % 10 = 3 THEN t + 200 ELSE 0 END AS tokens, c AS cost, CASE WHEN id % 10 = 1 THEN 7 ELSE 1 END AS intensity FROM sums WHERE id <> 9),
+days AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE id % 10 = 7 AND year(date) = 1996),
+meta AS (SELECT id, CAST(sum(t) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) * CASE WHEN id % 10 = 5 THEN 2 ELSE 1 END AS cost, count(*) + CASE WHEN id % 10 = 6 THEN 1 ELSE 0 END AS active,
+  CASE WHEN id % 10 = 4 THEN max(date) ELSE least(max(date), DATE '2001-06-01') END AS until FROM sums GROUP BY id),
+a AS (SELECT id, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS BIGINT) AS cost, count(*) FILTER (tokens > 0) AS active, min(date) AS first, max(date) AS last FROM days GROUP BY id),
+m AS (SELECT a.*, meta.total, meta.cost AS total_cost, meta.active AS total_active, until FROM a JOIN meta USING (id)),
+y AS (SELECT id, year(date) AS year, CAST(sum(tokens) AS BIGINT) AS t FROM days GROUP BY id, year(date)),
+found AS (SELECT id, 'V1' AS rule, 'error' AS severity, CAST(date AS VARCHAR) AS subject FROM days WHERE tokens < 0 OR cost < 0 OR intensity NOT BETWEEN 0 AND 4 OR date IS NULL
+UNION ALL SELECT id, 'V1', 'error', source FROM r WHERE source NOT IN ('opencode', 'claude', 'codex', 'gemini', 'cursor', 'amp')
+UNION ALL SELECT id, 'V2', 'error', CAST(until AS VARCHAR) FROM meta WHERE until > DATE '2001-06-01'
+UNION ALL SELECT id, 'V2', 'error', CAST(date AS VARCHAR) FROM days WHERE date > DATE '2001-06-01'
+UNION ALL SELECT id, 'V3', 'error', CAST(tokens AS VARCHAR) FROM m WHERE abs(tokens - total) > total * 1e-2 AND abs(tokens - total) > 100
+UNION ALL SELECT id, 'V4', 'warning', 'cost' FROM m WHERE abs(cost - total_cost) > total_cost * 1e-2 AND abs(cost - total_cost) > 0.1
+UNION ALL SELECT id, 'V5', 'warning', CAST(active AS VARCHAR) FROM m WHERE active <> total_active
+UNION ALL SELECT id, 'V6', 'warning', CAST(date AS VARCHAR) FROM days JOIN sums USING (id, date) WHERE abs(t - tokens) > tokens * 5e-2 AND tokens > 100
+UNION ALL SELECT id, 'V7', 'warning', CAST(first AS VARCHAR) FROM m WHERE first < DATE '1995-01-10'
+UNION ALL SELECT id, 'V7', 'warning', CAST(last AS VARCHAR) FROM m WHERE last > until
+UNION ALL SELECT id, 'V8', 'error', CAST(date AS VARCHAR) FROM days GROUP BY id, date HAVING count(*) > 1
+UNION ALL SELECT id, 'V9', 'warning', CAST(year AS VARCHAR) FROM (SELECT *, t * CASE WHEN id % 10 = 8 THEN 2 ELSE 1 END AS said FROM y) WHERE abs(t - said) > said * 1e-2 AND t > 1000
+UNION ALL SELECT id, 'V10', 'error', 'no contributions' FROM meta ANTI JOIN days USING (id))
+SELECT id AS submission_id, rule, severity, subject FROM found"""
+
+
+@query(FAULTS)
+def validation_rules(spark, sf_dir):
+    """All rows of every rule; ``validation_errors`` has those of four rules that its SQL states."""
+    digit = F.col("submission_id") % 10
+    also = lambda at, yes, no: F.when(digit == at, yes).otherwise(no)
+    rows = parts(spark, sf_dir).withColumnRenamed("user_id", "submission_id").withColumns({t: F.lit(0).cast("bigint") for t in TOKENS[2:]})
+    source = F.when((digit == 2) & (F.col("source") == "gemini"), "droid").otherwise(F.col("source"))
+    rows = rows.withColumns({"source": source} | {c: F.col(c) * also(8, 100, 1) for c in ("tokens", "input")})
+    sums = rows.groupBy("submission_id", "date").agg(F.sum("tokens").alias("t"), F.sum("cost").alias("c"))
+    once = sums.filter("submission_id <> 9").select(
+        "submission_id", "date", (F.col("t") + also(3, F.col("t") + 200, 0)).alias("tokens"), F.col("c").alias("cost"), also(1, 7, 1).alias("intensity")
+    )
+    days = once.unionByName(once.filter((digit == 7) & (F.year("date") == 1996)))
+    meta = sums.groupBy("submission_id").agg(F.sum("t").alias("total_tokens"), F.sum("c").alias("c"), F.count("*").alias("n"), F.max("date").alias("last"))
+    day = lambda d: F.lit(d).cast("date")
+    meta = meta.select(
+        "submission_id", "total_tokens", (F.col("c") * also(5, 2, 1)).alias("total_cost"), (F.col("n") + also(6, 1, 0)).alias("active_days"),
+        day("1995-01-10").alias("start"), also(4, F.col("last"), F.least("last", day("2001-06-01"))).alias("end"),
+    )
+    years = days.groupBy("submission_id", F.year("date").alias("year")).agg((F.sum("tokens") * F.max(also(8, 2, 1))).alias("total_tokens"))
+    return community.validate(meta, days, rows, years, "2001-06-01")

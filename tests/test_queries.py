@@ -62,5 +62,11 @@ def test_graph_document(spark):
     assert empty["contributions"] == [] and empty["summary"]["totalTokens"] == 0 and empty["meta"]["dateRange"]["start"] is None
 
 
+def test_every_validation_rule_is_broken_and_returned(spark):
+    rows = queries.QUERIES["validation_rules"](spark, str(DATA)).collect()
+    assert {r["rule"] for r in rows} == {f"V{n}" for n in range(1, 11)}
+    assert {r["subject"] for r in rows if r["rule"] == "V7"} & {r["subject"] for r in rows if r["rule"] == "V2"}, "last days after the end"
+
+
 def test_adapter_sources(spark):
     assert {r["source"] for r in adapter.usage(spark, str(DATA)).select("source").distinct().collect()} <= set(adapter.SOURCES)
