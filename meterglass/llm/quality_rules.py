@@ -55,6 +55,8 @@ POLICIES = {
     for p in (
         Policy("base", 1, BASE),
         Policy("web", 2, (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters", "too_many_words")),
+        # What the pipeline applies: length alone is no fault, and stays a bit in the ledger.
+        Policy("corpus", 1, (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters")),
     )
 }
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper"]
@@ -140,7 +142,7 @@ def ablations(book: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, policy: Policy = POLICIES["web"]) -> DataFrame:
+def keep_good(docs: DataFrame, policy: Policy = POLICIES["corpus"]) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the policy keeps; nothing is shuffled."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measures().alias("m"))
     rows = rows.withColumn("failed", failures("m"))

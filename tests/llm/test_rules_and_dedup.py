@@ -59,6 +59,13 @@ def test_keeping_good_rows_leaves_all_columns(spark):
     assert quality_rules.ledger(empty_documents(spark)).count() == 0
 
 
+def test_length_alone_takes_nothing_out_of_the_pipeline(spark, monkeypatch):
+    monkeypatch.setitem(quality_rules.RULES, "too_many_words", "n_words > 100")
+    docs = spark.createDataFrame([(1, " ".join(f"{a}{b}" for a in ("stone", "river", "paper", "house", "light") for b in "abcdefghijklmnopqrstuvwxyz"), "en", "s", 1)], SCHEMA)
+    assert quality_rules.ledger(docs).first()["failed"] == quality_rules.mask("too_many_words")
+    assert quality_rules.keep_good(docs).count() == 1
+
+
 @pytest.mark.parametrize("broadcast_rows", [1_000_000, 1])
 def test_exact_groups_against_brute_force(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
