@@ -2,19 +2,26 @@
 
 The most frequent words of the corpus are encoded once and compiled into an automaton that shares
 prefixes and suffixes. Its transitions carry counts whose sum along a word is the word's number, and
-numbers index one array of ids. The file is sent to every executor and memory-mapped there, so the
-workers of a machine share its pages. Words that the lexicon does not hold are merged exactly, so
-its size changes the speed and never the ids.
+numbers index one array of ids. The file is sent to every executor and memory-mapped there; only
+the entries that a slice of text asks for are read from it, so the workers of a machine share its
+pages. Words that the lexicon does not hold are merged exactly, so its size changes the speed and
+never the ids.
 
-Texts go through Arrow batch by batch: each distinct word of a slice is looked up once, all of them
-together, one step of the automaton per byte.
+What is a letter, a digit or white space, how letters are lower-cased and which marks are put in
+order follows the vocabulary library's own tables, which are of other Unicode versions than
+Python's. The driver asks the library about every code point once and sends the answers along.
+
+Texts go through Arrow batch by batch. A slice is cut into words on arrays of code points; each
+distinct word is looked up once, all of them together, one step of the automaton per byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os.path
+import re
 import tempfile
 import unicodedata
 from functools import cache
@@ -22,20 +29,22 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterglass.llm.common import cut_lineage, per_text, ship_package, struct_of, whole_text
 
-#: The word pattern and the end-of-word mark of the vocabulary's own definition.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\p{Z}\p{L}\p{N}]+")
+#: What stays one word behind an apostrophe, and the end-of-word mark.
+CONTRACTED = ("s", "t", "m", "d", "re", "ve", "ll")
 SUFFIX = "</w>"
 #: The rank of a pair that is never merged.
 NO_MERGE = 1 << 60
-#: Bytes of text that a worker handles at once.
+#: Bytes of text that a worker handles at once, of many texts or as a part of one.
 SLICE = 1 << 20
+OTHER, LETTER, NUMBER, SPACE = range(4)
+CODES = 0x110000
 
 
 def byte_letters() -> list[str]:
@@ -45,29 +54,150 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def kinds_of(pieces) -> np.ndarray:
+    """The kind of every code point, where ``pieces`` cuts a string into (start, end) of its words.
+
+    A range whose characters all behave alike is told by two calls, any other is halved.
+    """
+    out = np.zeros(CODES, np.uint8)
+
+    def kind(codes: range):
+        n, between = len(codes), "".join(map(chr, codes))
+        cut = pieces(f"a{between}b")
+        if cut == [(0, n + 2)]:
+            return LETTER
+        if cut == [(0, 1), (n + 1, n + 2)]:
+            return SPACE
+        if cut == [(0, 1), (1, n + 1), (n + 1, n + 2)]:
+            return OTHER if pieces(f"!{between}!") == [(0, n + 2)] else NUMBER
+        return None
+
+    todo = [range(i, i + 256) for i in range(0, 0x34000, 256) if not 0xD800 <= i < 0xE000]
+    todo += [range(i, i + 0x4000) for i in range(0x34000, CODES, 0x4000)]
+    while todo:
+        codes = todo.pop()
+        known = kind(codes)
+        if known is None:
+            half = len(codes) // 2
+            todo += [codes[:half], codes[half:]]
+        else:
+            out[codes.start : codes.stop] = known
+    return out
+
+
+def library_tables(path: str) -> bytes:
+    """A file of arrays: the kinds, lower-case letters (from, to) and NFC's barriers, by the library.
+
+    A barrier is a code point that Python's NFC reorders or composes and the library's leaves alone.
+    """
+    from tokenizers import Tokenizer, normalizers
+
+    cutter = Tokenizer.from_file(path).pre_tokenizer
+    kinds = kinds_of(lambda text: [at for _, at in cutter.pre_tokenize_str(text)])
+    codes = [c for c in range(CODES) if not 0xD800 <= c <= 0xDFFF and c != 10]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(map(chr, codes))).split("\n")
+    own = [(c, ord(x)) for c, x in zip(codes, lowered) if len(x) == 1 and x != chr(c).lower()]
+    barriers = set()
+    tried = [c for c in codes if c < 0x20000 or c >> 16 == 14]
+    # Marks of the lowest and the highest class on either side show where a mark goes.
+    text = "\n".join(f"a{x}\u0334 a\u0345{x} {x}" for x in map(chr, tried))
+    both = normalizers.NFC().normalize_str(text).split("\n"), unicodedata.normalize("NFC", text).split("\n")
+    barriers |= {c for c, theirs, ours in zip(tried, *both) if theirs != ours}
+    for c in tried:
+        parts = unicodedata.decomposition(chr(c))
+        if parts and parts[0] != "<":
+            pair = "".join(chr(int(x, 16)) for x in parts.split())
+            if normalizers.NFC().normalize_str(pair) != unicodedata.normalize("NFC", pair):
+                barriers |= {c, ord(pair[-1])}
+    out = io.BytesIO()
+    arrays = {"kinds": kinds, "upper": np.array([c for c, _ in own], np.uint32), "lower": np.array([x for _, x in own], np.uint32)}
+    np.savez_compressed(out, barriers=np.array(sorted(barriers), np.uint32), **arrays)
+    return out.getvalue()
+
+
+class Tables:
+    def __init__(self, file):
+        with np.load(file) as held:
+            self.kinds, self.upper, self.lower = held["kinds"], held["upper"], held["lower"]
+            barriers = "".join(map(chr, held["barriers"]))
+        self.barriers = re.compile(f"([{re.escape(barriers)}])") if barriers else None
+        self.special = np.zeros(CODES, bool)
+        self.special[self.upper] = True
+
+    def nfc(self, text: str) -> str:
+        """The library's NFC: a barrier keeps its place, and what stands before and after apart."""
+        if unicodedata.is_normalized("NFC", text):
+            return text  # a barrier only keeps more apart
+        if not self.barriers:
+            return unicodedata.normalize("NFC", text)
+        return "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(self.barriers.split(text)))
+
+
 class Vocabulary:
-    """Ids, merge ranks and special tokens of a vocabulary file."""
+    """Ids, merge ranks and special tokens of a vocabulary file, and the library's tables."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables):
         spec = json.loads(Path(path).read_text())
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.ranks = {tuple(m): r for r, m in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = byte_letters()
         by_id = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
+        self.tokens = pa.array([by_id.get(i, "") for i in range(max(by_id) + 1)], pa.string())
+        self.tables = Tables(tables)
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order, special tokens as themselves."""
-        if self.split is None or "<|" not in text:
-            return self._plain(text)
-        return [w for i, part in enumerate(self.split.split(text)) for w in ([part] if i % 2 else self._plain(part))]
+    def pieces(self, text: str) -> list[str]:
+        """The text as the model sees it; every other piece is a special token, taken as it is."""
+        parts = self.split.split(text) if self.split and "<|" in text else [text]
+        # Lower case goes character by character, so a final sigma is like any other.
+        return [x if i % 2 else self.tables.nfc(x).replace("Σ", "σ").lower() for i, x in enumerate(parts)]
+
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All words of the texts in order (UTF-8), and how many each text has."""
+        pieces = [self.pieces(t) for t in texts]
+        flat = [p for ps in pieces for p in ps]
+        codes = np.frombuffer("".join(flat).encode("utf-32-le"), np.uint32)
+        tables = self.tables
+        if tables.special[codes].any():
+            swap = np.arange(CODES, dtype=np.uint32)
+            swap[tables.upper] = tables.lower
+            codes = swap[codes]
+        kind = tables.kinds[codes]
+        starts = kind == NUMBER
+        starts[:1] = True
+        starts[1:] |= kind[1:] != kind[:-1]
+        ends = np.cumsum([0, *map(len, flat)])
+        starts[ends[:-1][np.diff(ends) > 0]] = True
+        self._contract(codes, starts, ends)
+        at = np.cumsum([0, *map(len, pieces)])
+        for n in np.flatnonzero(np.diff(at) > 1):
+            for i in range(at[n] + 1, at[n + 1], 2):  # a special token is one word
+                starts[ends[i] + 1 : ends[i + 1]] = False
+        places = np.flatnonzero(starts)
+        width = 1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF)
+        offset = np.r_[0, np.cumsum(width)].astype(np.int32)
+        data = pa.py_buffer(codes.tobytes().decode("utf-32-le").encode())
+        edges = pa.py_buffer(offset[np.append(places, len(codes))])
+        words = pa.Array.from_buffers(pa.binary(), len(places), [None, edges, data])
+        shown = kind[places] != SPACE
+        return words.filter(pa.array(shown)), np.diff(np.searchsorted(places[shown], ends[at]))
 
     @staticmethod
-    def _plain(text: str) -> list[str]:
-        # Lower case goes character by character, so a final sigma is like any other.
-        return WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def _contract(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """An apostrophe that starts a word takes a contracted ending with it; what follows starts anew."""
+        quotes = np.flatnonzero(starts & (codes == 39))
+        if not len(quotes):
+            return
+        limit = ends[np.searchsorted(ends, quotes, "right")]
+        padded = np.r_[codes, np.zeros(2, np.uint32)]
+        for ending in CONTRACTED:
+            ok = quotes + len(ending) < limit
+            for k, c in enumerate(ending, 1):
+                ok &= padded[quotes + k] == ord(c)
+            starts[quotes[ok] + 1] = False
+            after = quotes[ok] + 1 + len(ending)
+            starts[after[after < len(codes)]] = True
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: the pair of lowest rank is joined until none is left."""
@@ -89,9 +219,9 @@ class Vocabulary:
 
 
 @cache
-def vocabulary(name: str) -> Vocabulary:
-    """The vocabulary from a file that ``ship`` has sent."""
-    return Vocabulary(SparkFiles.get(name))
+def vocabulary(name: str, tables: str) -> Vocabulary:
+    """The vocabulary from files that ``ship`` has sent."""
+    return Vocabulary(SparkFiles.get(name), SparkFiles.get(tables))
 
 
 def ship(spark: SparkSession, path: str) -> str:
@@ -102,6 +232,23 @@ def ship(spark: SparkSession, path: str) -> str:
     return name
 
 
+def ship_bytes(spark: SparkSession, data: bytes, kind: str) -> str:
+    """Send bytes as a file named after their digest, so the same are sent once."""
+    file = Path(tempfile.mkdtemp(prefix="meterglass-")) / f"{kind}-{hashlib.sha256(data).hexdigest()[:24]}"
+    file.write_bytes(data)
+    return ship(spark, str(file))
+
+
+@cache
+def tables_of(path: str) -> bytes:
+    return library_tables(path)
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Send the vocabulary and the library's tables for it; the names to open them by."""
+    return ship(spark, path), ship_bytes(spark, tables_of(path), "tables")
+
+
 class Lexicon:
     """The compiled automaton: arrays in one file, mapped into memory.
 
@@ -229,15 +376,15 @@ def slices(texts: pa.Array):
         yield own
 
 
-def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[bytes, list[int]]) -> list[bytes]:
-    """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-    words = [vocab.words(t) for t in texts]
-    flat = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
-    distinct = flat.dictionary.cast(pa.binary())
+def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, and where each text's end, from 0 on."""
+    words, counts = vocab.words(texts)
+    flat = words.dictionary_encode()
+    distinct, at = flat.dictionary, flat.indices.to_numpy()
     number = lex.find(distinct)
     known = number >= 0
-    start, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    start[known], size[known] = lex.at[number[known]], np.diff(lex.at)[number[known]]
+    size = np.zeros(len(number), np.int64)
+    size[known] = lex.at[number[known] + 1] - lex.at[number[known]]
     extra: list[int] = []
     for i in np.flatnonzero(~known):
         word = distinct[i].as_py()
@@ -245,25 +392,27 @@ def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[b
             if len(memo) >= 1 << 17:
                 memo.clear()
             memo[word] = vocab.merge(word.decode())
-        start[i], size[i] = len(lex.ids) + len(extra), len(memo[word])
+        size[i] = len(memo[word])
         extra += memo[word]
-    pool = np.concatenate([lex.ids, np.asarray(extra, np.int32)])
-    at = flat.indices.to_numpy()
-    ids = pool[ragged(start[at], size[at])].astype("<u4")
-    ends = np.cumsum(np.r_[0, size[at]])[np.cumsum([0, *map(len, words)])]
-    return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+    # The slice's own words and their ids only: the lexicon's pages stay where they are mapped.
+    start = np.zeros(len(number), np.int64)
+    held = np.cumsum(size[known])
+    start[known] = held - size[known]
+    start[~known] = np.cumsum(size[~known]) - size[~known] + (held[-1] if len(held) else 0)
+    pool = np.r_[lex.ids[ragged(lex.at[number[known]], size[known])], np.asarray(extra, np.int32)].astype("<u4")
+    ids = pool[ragged(start[at], size[at])]
+    return ids, np.r_[0, np.cumsum(size[at])][np.cumsum(np.r_[0, counts])]
 
 
-def frequent_words(docs: DataFrame, vocab_name: str, size: int) -> list[str]:
+def frequent_words(docs: DataFrame, names: tuple[str, str], size: int) -> list[str]:
     """The most frequent words of all whole texts: whole classes of counts, ``size`` words at most."""
 
     def count(batches):
-        vocab = vocabulary(vocab_name)
+        vocab = vocabulary(*names)
         for batch in batches:
             for texts in slices(batch.column(0)):
-                flat = pa.array([w for t in texts for w in vocab.words(t)], pa.string())
-                found = flat.value_counts()
-                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+                found = vocab.words(texts)[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "n"])
 
     ship_package(docs.sparkSession)
     words = docs.select(whole_text().alias("text")).mapInArrow(count, "word string, n long")
@@ -281,60 +430,46 @@ def frequent_words(docs: DataFrame, vocab_name: str, size: int) -> list[str]:
     return [] if last is None else [r["word"] for r in words.filter(grade >= last).select("word").collect()]
 
 
-def build_lexicon(docs: DataFrame, path: str, size: int = 131_072) -> str:
-    """Compile the frequent words and send the file to all executors; the name to open it by.
+def build_lexicon(docs: DataFrame, path: str, size: int = 131_072) -> tuple[tuple[str, str], str]:
+    """Compile the frequent words and send all files to all executors; the names to open them by.
 
-    ``size`` bounds what comes to the driver. The name holds the content's digest, so a lexicon is
-    sent once.
+    ``size`` bounds what comes to the driver. The lexicon's name holds the content's digest, so a
+    lexicon is sent once.
     """
     spark = docs.sparkSession
-    vocab_name = ship(spark, path)
-    vocab = vocabulary(vocab_name)
-    words = frequent_words(docs, vocab_name, size)
+    names = ship_vocabulary(spark, path)
+    vocab = vocabulary(*names)
+    words = frequent_words(docs, names, size)
     data = Lexicon.compile({w.encode(): vocab.merge(w) for w in words})
-    file = Path(tempfile.gettempdir()) / f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    if not file.exists():
-        file.write_bytes(data)
-    return ship(spark, str(file))
+    return names, ship_bytes(spark, data, "lexicon")
 
 
 #: Words that a worker has merged, kept from batch to batch.
 MEMO: dict[bytes, list[int]] = {}
 
 
-def encoder(vocab_name: str, lexicon_name: str):
-    """A column function from text to packed ids."""
-
-    @per_text("binary")
-    def run(texts: pa.Array) -> pa.Array:
-        return encode_array(texts, vocabulary(vocab_name), lexicon(lexicon_name))
-
-    return run
+def encode_slices(texts: pa.Array, vocab: Vocabulary, lex: Lexicon):
+    """Ids and ends of an array of texts, slice by slice."""
+    return (encode_texts(part, vocab, lex, MEMO) for part in slices(texts))
 
 
-def encode_array(texts: pa.Array, vocab: Vocabulary, lex: Lexicon) -> pa.Array:
-    """Packed ids of an array of texts, slice by slice."""
-    parts = [pa.array(encode_texts(part, vocab, lex, MEMO), pa.binary()) for part in slices(texts)]
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    edges = pa.py_buffer((ends * 4).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, edges, pa.py_buffer(ids)])
 
 
-def decode_ids(ids: pa.Array, vocab: Vocabulary) -> pa.Array:
-    """The tokens of packed ids with a space between, special ones too.
+def spelled(ids: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> pa.Array:
+    """The tokens of each text with a space between, special ones too.
 
     The vocabulary names no decoder, so its library joins tokens like that as well.
     """
-    tokens = np.array(vocab.tokens, object)
-    return pa.array((" ".join(tokens[np.frombuffer(x.as_py(), "<u4")]) for x in ids), pa.string())
+    tokens = vocab.tokens.take(pa.array(ids))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
 
-def decoder(vocab_name: str):
-    """A column function from packed ids to text."""
-
-    @per_text("string")
-    def run(ids: pa.Array) -> pa.Array:
-        return decode_ids(ids, vocabulary(vocab_name))
-
-    return run
+def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def encode(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame:
@@ -342,26 +477,43 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame
 
     ``path`` is the driver's; the file is sent to the executors. A null text is empty and an empty
     one has no ids. Rows are encoded one by one, so repeated rows repeat and a null doc_id stays
-    null; an empty table gives no rows.
+    null; an empty table gives no rows. A very long text is one slice: its worker holds its code
+    points and ids, some 40 bytes a character.
     """
-    run = encoder(Path(path).name, build_lexicon(docs, path, lexicon_size))
+    names, lexicon_name = build_lexicon(docs, path, lexicon_size)
+
+    @per_text("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        vocab, lex = vocabulary(*names), lexicon(lexicon_name)
+        return joined([packed(*x) for x in encode_slices(texts, vocab, lex)], pa.binary())
+
     return docs.select("doc_id", run(whole_text()).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the column decoded, the text that ``ids`` give."""
-    name = ship(encoded.sparkSession, path)
-    return encoded.withColumn("decoded", decoder(name)(F.col("ids")))
+    """``encoded`` with the column decoded, the text that ``ids`` give; null ids give an empty one."""
+    names = ship_vocabulary(encoded.sparkSession, path)
+
+    @per_text("string")
+    def run(ids: pa.Array) -> pa.Array:
+        vocab = vocabulary(*names)
+        each = (np.frombuffer(x.as_py(), "<u4") for x in ids)
+        return joined([spelled(x, np.array([0, len(x)]), vocab) for x in each], pa.string())
+
+    return encoded.withColumn("decoded", run(F.coalesce("ids", F.lit(b""))))
 
 
 def round_trip(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame:
     """doc_id, ids and decoded in one pass of one worker per task: ``decode`` of ``encode``."""
-    vocab_name, lexicon_name = Path(path).name, build_lexicon(docs, path, lexicon_size)
+    names, lexicon_name = build_lexicon(docs, path, lexicon_size)
 
     @per_text("struct<ids: binary, decoded: string>")
     def run(texts: pa.Array) -> pa.Array:
-        vocab = vocabulary(vocab_name)
-        ids = encode_array(texts, vocab, lexicon(lexicon_name))
-        return struct_of(["ids", "decoded"], [ids, decode_ids(ids, vocab)])
+        vocab, lex = vocabulary(*names), lexicon(lexicon_name)
+        ids, decoded = [], []
+        for found in encode_slices(texts, vocab, lex):
+            ids.append(packed(*found))
+            decoded.append(spelled(*found, vocab))
+        return struct_of(["ids", "decoded"], [joined(ids, pa.binary()), joined(decoded, pa.string())])
 
     return docs.select("doc_id", run(whole_text()).alias("r")).select("doc_id", "r.ids", "r.decoded")
