@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,9 +36,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def set_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; a temporary one where it names none."""
+    """Use the folder that the session names in spark.checkpoint.dir.
+
+    Where it names none, a single machine uses a temporary one; a cluster is refused, as its
+    executors could not read each other's files.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="meterglass-"))
 
 
@@ -50,6 +57,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def write_out(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in a new folder of the shared checkpoint folder, read back from there."""
+    spark = df.sparkSession
+    set_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per context, wherever they were started."""
     root = Path(meterglass.__file__).parent
@@ -84,6 +100,18 @@ def text_key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", whole_text())
 
 
+def distinct_rows(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc_id and others) with one of each that repeat doc_id and ``key``, a hash of their text.
+
+    Only rows that do repeat are shuffled; they are found on narrow rows.
+    """
+    repeated = rows.groupBy("doc_id", key).count().filter("count > 1").select(F.col("doc_id").alias("id"), F.col(key).alias("k"))
+    repeated = broadcast_if_small(repeated)
+    same = rows["doc_id"].eqNullSafe(repeated["id"]) & (rows[key] == repeated["k"])
+    once = rows.join(repeated, same, "left_anti")
+    return once.union(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key]))
+
+
 def take_out(docs: DataFrame, lost: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows ``lost`` and with one of each of the rows ``repeated``.
 
