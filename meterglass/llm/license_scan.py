@@ -1,10 +1,14 @@
 """Licence notices by a positional index of rare words, in DataFrame operations only.
 
 Each template is indexed by its words of highest inverse document frequency, counted over all
-documents, with their places. A document looks up every word of that index that it has; every hit
-proposes a start for a template (its place less the template's), where the template's other rare
-words must stand at their places and its key phrases must stand word for word. Only documents with
-a rare word go beyond the look-up, nothing is shuffled but the counts of the index's vocabulary.
+documents: the postings are rows of word, template and place. A document looks up every word of that
+index that it has; a hit proposes a start for a template (its place less the template's), where the
+template's other rare words must stand at their places and its key phrases must stand word for word.
+
+The first pass over the texts notes which template words each one has, as a narrow table. Only texts
+with an index word are read again: their words are exploded, the hits meet the postings, a table of
+some hundred rows, in a broadcast join, and a hit carries on no more of its text than the window that
+the template covers. More templates are more rows, not a larger plan.
 """
 
 from __future__ import annotations
@@ -15,19 +19,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import fold_ascii, whole_text
+from meterglass.llm.common import broadcast_if_small, fold_ascii, text_key, whole_text, write_out
 
+#: Words are what stands between runs of these.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words of a template in the index. A document looks up all of the index that it has; LOOKED_UP
-#: is a cap that only the SQL twin still states, which tells where a text has more index words than that.
-RARE, LOOKED_UP = 5, 16
+#: Rare words of a template in the index.
+RARE = 5
 #: The part of a template's rare words, by weight, that must stand at their places.
 LEAST = 0.6
 
 
 @dataclass(frozen=True)
 class Template:
-    """``phrases`` are mandatory and parts of ``text``; a base template is its own phrase."""
+    """``phrases`` are mandatory and parts of ``text``, words in lower-case ASCII; a base template is its own phrase."""
 
     label: str
     text: str
@@ -52,7 +57,7 @@ def base(phrase: str, label: str) -> Template:
     return Template(label, phrase, (phrase,), True)
 
 
-#: The base phrases and the notices that the method adds.
+#: The base phrases, short notices, and the paragraphs of licences and of their notices.
 TEMPLATES = (
     base("cc by", "cc-by"),
     base("general public license", "gpl"),
@@ -66,24 +71,151 @@ TEMPLATES = (
     Template("mit", "released under the mit license", ("the mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby granted",)),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        ("to deal in the software without restriction",),
+    ),
+    Template(
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings "
+        "in the software",
+        ("the software is provided as is",),
+    ),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("must retain the above copyright notice",)),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+        ("must reproduce the above copyright notice",),
+    ),
+    Template(
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to "
+        "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement "
+        "of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+        "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage",
+        ("by the copyright holders and contributors",),
+    ),
+    Template(
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+        ("may be used to endorse or promote products",),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+        ("with or without fee is hereby granted",),
+    ),
+    Template(
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+        "warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations "
+        "under the license",
+        ("except in compliance with the license",),
+    ),
+    Template(
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 2 of the license or at your option any later version",
+        ("either version 2 of the license",),
+    ),
+    Template(
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 3 of the license or at your option any later version",
+        ("either version 3 of the license",),
+    ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+        "by the free software foundation",
+        ("lesser general public license",),
+    ),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
+    Template(
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you "
+        "can obtain one at http mozilla org mpl 2 0",
+        ("a copy of the mpl was not distributed",),
+    ),
+    Template(
+        "epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+        ("eclipse public license",),
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this "
+        "software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software",),
+    ),
+    Template(
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely "
+        "subject to the following restrictions",
+        ("to alter it and redistribute it freely",),
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered "
+        "by this license the software to use reproduce display distribute execute and transmit the software",
+        ("any person or organization obtaining a copy",),
+    ),
+    Template(
+        "cc0",
+        "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work "
+        "worldwide under copyright law",
+        ("dedicated the work to the public domain",),
+    ),
+    Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
 )
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """doc_id and the words of the whole text, A-Z lower-cased."""
-    return docs.select("doc_id", F.regexp_extract_all(fold_ascii(whole_text()), F.lit(WORDS), 0).alias("words"))
+def words_of() -> Column:
+    """The words of the whole text, A-Z lower-cased.
 
+    The faster ``lower`` goes beyond A-Z, but of other letters only the Kelvin sign becomes an ASCII
+    letter, and none a break: for words of ASCII letters it is the same.
+    """
+    text = whole_text()
+    low = F.when(F.contains(text, F.lit("\u212a")), fold_ascii(text)).otherwise(F.lower(text))
+    return F.array_remove(F.split(low, BREAKS), "")
+
+
+def vocabulary_of(templates) -> list[str]:
+    words = sorted({w for t in templates for w in t.words})
+    if not all(w.isascii() and w.isalnum() and w == w.lower() for w in words):
+        raise ValueError("templates are words of a-z and 0-9")
+    return words
+
+
+def noted(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """doc_id, key, n_words and ``known``, the distinct template words of every whole text, written out."""
+    rows = docs.select("doc_id", text_key().alias("key"), words_of().alias("words"))
+    known = F.array_intersect("words", F.array(*map(F.lit, vocabulary_of(templates))))
+    return write_out(rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), known.alias("known")))
 
-def rarity(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
+
+def rarity(notes: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """Each template word's inverse document frequency over all documents, in millionths.
 
     The counts come back as one row per word of the templates, however many documents there are.
     """
-    vocabulary = sorted({w for t in templates for w in t.words})
-    known = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words"))
-    seen = words_of(docs).select(F.explode(F.concat(F.array(F.lit("")), known)).alias("word"))
+    seen = notes.select(F.explode(F.concat(F.array(F.lit("")), "known")).alias("word"))
     n = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
-    return {w: round(math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) * 1e6) for w in vocabulary}
+    return {w: round(math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) * 1e6) for w in vocabulary_of(templates)}
 
 
 def rare_words(t: Template, idf: dict[str, int]) -> list[tuple[int, str]]:
@@ -93,68 +225,70 @@ def rare_words(t: Template, idf: dict[str, int]) -> list[tuple[int, str]]:
     return [(i, w) for i, w in enumerate(t.words) if w in own]
 
 
-def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def postings(spark, templates, idf: dict[str, int]) -> DataFrame:
+    """word, place, template and what the template asks for: a row per place of a rare word."""
+    rows = []
+    for k, t in enumerate(templates):
+        rare = [(i, w, max(1, idf[w])) for i, w in rare_words(t, idf)]
+        rows += [(w, i, k, t.label, t.base, len(t.words), rare, t.required()) for i, w, _ in rare]
+    asks = "rare array<struct<at:int,word:string,weight:long>>, required array<struct<at:int,word:string>>"
+    return spark.createDataFrame(rows, f"word string, place int, template int, label string, base boolean, length int, {asks}")
 
-    A null or empty text has no words, no places and score 0. The score is the largest part of a
-    found template's rare words, by weight, that stands in the text: 1 where a base phrase does.
-    Repeated rows give repeated rows, a null doc_id stays null, an empty table gives no rows.
-    """
-    idf = rarity(docs, templates)
-    rare = [rare_words(t, idf) for t in templates]
-    index = sorted({w for r in rare for _, w in r})
-    looked = F.array_intersect(F.array(*map(F.lit, index)), F.col("words"))
-    places = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    none = F.array().cast("array<struct<w:string,i:int>>")
-    rows = words_of(docs).withColumn("looked", looked)
-    rows = rows.withColumn(
-        "hits",
-        F.when(F.size("looked") == 0, none).otherwise(F.filter(places, lambda x: F.array_contains("looked", x["w"]))),
-    )
-
-    def stands(start: Column, at: int, word: str) -> Column:
-        return F.coalesce(F.get("words", start + at) == word, F.lit(False))
 
-    def found(t: Template, postings: list[tuple[int, str]]) -> Column:
-        """Starts and weights (millionths of idf) at which the template is accepted."""
-        weights = {at: max(1, idf[w]) for at, w in postings}
+def places(docs: DataFrame, index: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, key, template, label, base, start, part: where a template of the index is accepted."""
+    rows = docs.select("doc_id", text_key().alias("key"), words_of().alias("words"))
+    hits = rows.select("doc_id", "key", "words", F.posexplode("words").alias("i", "word")).filter(F.col("word").isin(words))
+    hits = hits.join(F.broadcast(index), "word")  # as many rows as the templates have rare words
+    start = F.col("i") - F.col("place")
+    first = F.greatest(start, F.lit(0))
+    hits = hits.select(
+        "doc_id", "key", "template", "label", "base", "rare", "required", start.alias("start"),
+        (first - start).alias("missing"), F.slice("words", first + 1, F.col("length")).alias("window"),
+    )
 
-        def proposed(at: int, word: str) -> Column:
-            return F.transform(F.filter("hits", lambda x: x["w"] == word), lambda x: x["i"] - at)
+    def stands(x: Column) -> Column:
+        return F.coalesce(F.get("window", x["at"] - F.col("missing")) == x["word"], F.lit(False))
 
-        starts = F.array_distinct(F.concat(*[proposed(at, w) for at, w in postings]))
+    def weight(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("long"), lambda total, x: total + x["weight"])
 
-        def weight(start: Column) -> Column:
-            return sum((F.when(stands(start, at, w), weights[at]).otherwise(0) for at, w in postings), F.lit(0))
+    held, whole = weight(F.filter("rare", stands)), weight(F.col("rare"))
+    accepted = F.forall("required", stands) & (held >= F.ceil(F.lit(LEAST) * whole))
+    found = hits.filter(accepted).select("doc_id", "key", "template", "label", "base", "start", (held / whole).alias("part"))
+    return found.distinct()
 
-        def whole(start: Column) -> Column:
-            ok = start >= 0 if t.base else F.lit(True)
-            for at, w in t.required():
-                ok = ok & stands(start, at, w)
-            return ok
 
-        all_of_it = sum(weights.values())
-        accepted = F.filter(starts, lambda s: whole(s) & (weight(s) >= math.ceil(LEAST * all_of_it)))
-        return F.transform(accepted, lambda s: F.struct(s.alias("at"), (weight(s) / all_of_it).alias("part")))
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    nothing = F.array().cast("array<struct<at:int,part:double>>")
-    fields = {}
-    for k, (t, postings) in enumerate(zip(templates, rare)):
-        fields[f"t{k}"] = F.when(F.size("hits") == 0, nothing).otherwise(found(t, postings))
-    rows = rows.withColumns(fields)
-    own = [k for k, t in enumerate(templates) if t.base]
-    base_starts = F.concat(*[F.transform(f"t{k}", lambda x: x["at"]) for k in own])
-    labels = lambda ks: F.array_join(
-        F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"t{k}") > 0, templates[k].label) for k in ks]), lambda x: x.isNotNull()))), ","
+    A null or empty text has no words, no places and score 0. The score is the largest part of a
+    found template's rare words, by weight, that stands in the text: 1 where a base phrase does.
+    Repeated rows give repeated rows, a null doc_id stays null, an empty table gives no rows. A very
+    long text is exploded word by word in one task; a hit takes a window of it along.
+    """
+    notes = noted(docs, templates)
+    idf = rarity(notes, templates)
+    index = sorted({w for t in templates for _, w in rare_words(t, idf)})
+    hit = notes.filter(F.arrays_overlap("known", F.array(*map(F.lit, index)))).select("doc_id", "key").distinct()
+    hit = broadcast_if_small(hit)
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    texts = texts.join(hit, texts["doc_id"].eqNullSafe(hit["doc_id"]) & (texts["key"] == hit["key"]), "left_semi")
+    found = places(texts.dropDuplicates(["doc_id", "key"]), postings(docs.sparkSession, templates, idf), index)
+    base = F.when(F.col("base"), F.col("start"))
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    found = found.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(
+        F.count(base).alias("n_base"),
+        F.min(base).cast("long").alias("first_word"),
+        F.max(base).cast("long").alias("last_word"),
+        names(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
+        names("label").alias("labels"),
+        F.max("part").alias("score"),
     )
-    parts = F.concat(*[F.transform(f"t{k}", lambda x: x["part"]) for k in range(len(templates))])
+    found = broadcast_if_small(found)
+    rows = notes.join(found, notes["doc_id"].eqNullSafe(found["id"]) & (notes["key"] == found["k"]), "left")
     return rows.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.size(base_starts).cast("long").alias("n_base"),
-        F.array_min(base_starts).cast("long").alias("first_word"),
-        F.array_max(base_starts).cast("long").alias("last_word"),
-        labels(own).alias("base_labels"),
-        labels(range(len(templates))).alias("labels"),
-        F.coalesce(F.array_max(parts), F.lit(0.0)).alias("score"),
-    )
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )

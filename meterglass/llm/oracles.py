@@ -70,7 +70,7 @@ def license_sql() -> str:
     for k, t in enumerate(license_scan.TEMPLATES):
         rows += [f"({k}, '{t.label}', {str(t.base).lower()}, {i}, '{w}', {len(t.words)})" for i, w in enumerate(t.words)]
         required += [f"({k}, {i}, '{w}')" for i, w in t.required()]
-    rare, looked = license_scan.RARE, license_scan.LOOKED_UP
+    rare = license_scan.RARE
     return rf"""WITH tw(k, label, base, pos, word, n) AS (VALUES {", ".join(rows)}), req(k, pos, word) AS (VALUES {", ".join(required)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.WORDS}') AS ws FROM documents),
 p AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
@@ -78,9 +78,7 @@ known AS (SELECT p.* FROM p SEMI JOIN tw USING (word)),
 idf AS (SELECT word, CAST(round(ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) * 1e6) AS BIGINT) AS v FROM (SELECT DISTINCT word FROM tw) LEFT JOIN (SELECT word, count(DISTINCT r) AS n FROM known GROUP BY word) USING (word)),
 ranked AS (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY v DESC, word) AS place FROM (SELECT DISTINCT k, word FROM tw) JOIN idf USING (word)),
 post AS (SELECT tw.*, greatest(1, v) AS v FROM tw JOIN idf USING (word) JOIN ranked USING (k, word) WHERE place <= least({rare}, greatest(1, n // 2))),
-have AS (SELECT DISTINCT r, word FROM known SEMI JOIN post USING (word)),
-look AS (SELECT r, word FROM (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY v DESC, word) AS place FROM have JOIN idf USING (word)) WHERE place <= {looked} OR word IN (SELECT word FROM post WHERE base)),
-cand AS (SELECT DISTINCT known.r, post.k, known.i - post.pos AS s FROM known JOIN look USING (r, word) JOIN post USING (word)),
+cand AS (SELECT DISTINCT known.r, post.k, known.i - post.pos AS s FROM known JOIN post USING (word)),
 scored AS (SELECT c.r, c.k, c.s, sum(post.v) FILTER (known.i IS NOT NULL) AS held, sum(post.v) AS whole FROM cand c JOIN post USING (k) LEFT JOIN known ON known.r = c.r AND known.i = c.s + post.pos AND known.word = post.word GROUP BY ALL),
 missing AS (SELECT DISTINCT c.r, c.k, c.s FROM cand c JOIN req USING (k) LEFT JOIN known ON known.r = c.r AND known.i = c.s + req.pos AND known.word = req.word WHERE known.i IS NULL),
 hit AS (SELECT s.*, t.label, t.base FROM scored s ANTI JOIN missing USING (r, k, s) JOIN (SELECT DISTINCT k, label, base FROM tw) t USING (k) WHERE held >= ceil({license_scan.LEAST} * whole)),
