@@ -27,11 +27,15 @@ CONTROL_REST = r"(?=\||/?s>|/?<SYS>>|/SYS>>|/?INST\])"
 
 @dataclass(frozen=True)
 class Layout:
-    """``paths`` identify it; ``turns`` is SQL for array<struct<role,text>> over the probed fields."""
+    """``paths`` identify it; ``turns`` is SQL for array<struct<role,text>> over the probed fields.
+
+    ``at`` is the path of a turn's own place where a row is one turn, not a conversation.
+    """
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    at: str = ""
 
 
 def _turns(*pairs: tuple[str, str]) -> str:
@@ -43,10 +47,11 @@ def _each(field: str, role: str, text: str) -> str:
     return f"transform({field}, x -> named_struct('role', x.{role}, 'text', coalesce(x.{text}, '')))"
 
 
+
 #: The type of every probed field; names with [] are arrays of structs.
 FIELDS = {
-    "messages": "array<struct<role:string,content:string>>",
-    "conversations": "array<struct<`from`:string,value:string>>",
+    "messages": "array<struct<role:string,content:variant>>",
+    "conversations": "array<struct<`from`:string,value:variant>>",
     "system": "string",
     "prompt": "string",
     "completion": "string",
@@ -74,8 +79,8 @@ LAYOUTS += tuple(
     for x in LAYOUTS
     if x.name not in ("prompt", "system_prompt")
 )
-#: One row per turn: the layout of a frame only.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: One row per turn, with the conversation's id: the layout of tables.
+LAYOUTS += (Layout("turn_rows", ("role", "text", "turn"), _turns(("role", "text")), at="turn"),)
 
 
 def fingerprint(paths) -> str:
@@ -97,19 +102,38 @@ def schema_paths(schema: T.StructType) -> set[str]:
 
 
 KNOWN = {p for x in LAYOUTS for p in x.paths}
+#: A record is a whole conversation.
+RECORDS = tuple(x for x in LAYOUTS if not x.at)
 
 
-def turns_of_frame(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
-    """conv_id, turn, role, text of a frame whose schema has a known layout, by its fingerprint."""
-    paths = schema_paths(df.schema)
-    if fingerprint(paths & set(TURN_ROWS)) == fingerprint(TURN_ROWS):
-        return df.select("conv_id", F.col("turn").cast("long").alias("turn"), *_clean("role", "text"))
-    by = {fingerprint(x.paths): x for x in LAYOUTS}
-    layout = by.get(fingerprint(paths & KNOWN))
-    if layout is None:
+def layout_of(paths: set[str]) -> Layout:
+    """The layout whose fingerprint the known ones of ``paths`` have.
+
+    Where they are of no layout, it is that of most paths, all of which are there: other fields of
+    known names do no harm. The first of equals is taken.
+    """
+    by = {fingerprint(x.paths): x for x in reversed(LAYOUTS)}
+    exact = by.get(fingerprint(paths & KNOWN))
+    inside = [x for x in LAYOUTS if set(x.paths) <= paths]
+    if exact is None and not inside:
         raise ValueError(f"no layout has the paths {sorted(paths)}")
-    rows = df.select(F.col(id_column).alias("conv_id"), F.posexplode(F.expr(layout.turns)).alias("turn", "t"))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), *_clean("t.role", "t.text"))
+    return exact or max(inside, key=lambda x: len(x.paths))
+
+
+def turns_of_frame(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text of a frame whose schema has a known layout, by its fingerprint.
+
+    Null roles and texts are empty, null turns and ids stay null; repeated rows repeat, an empty
+    table gives no rows; columns that no layout uses are left alone.
+    """
+    layout = layout_of(schema_paths(df.schema))
+    rows = df.select(
+        F.col(id_column).alias("conv_id"),
+        F.col(layout.at or id_column).alias("at"),
+        F.posexplode(F.expr(layout.turns)).alias("turn", "t"),
+    )
+    turn = F.col("at" if layout.at else "turn").cast("long")
+    return rows.select("conv_id", turn.alias("turn"), *_clean("t.role", "t.text"))
 
 
 def _clean(role: str, text: str) -> list[Column]:
@@ -117,7 +141,7 @@ def _clean(role: str, text: str) -> list[Column]:
 
 
 def _paths(v: Column) -> tuple[Column, Column]:
-    """The KNOWN paths that a JSON value has, over all elements of its arrays, and those of them with a value."""
+    """The paths of layouts that a JSON value has, over all elements of its arrays, and those of them with a value."""
     none = F.array().cast("array<variant>")
 
     def named(name: str):
@@ -128,7 +152,7 @@ def _paths(v: Column) -> tuple[Column, Column]:
         return lambda x: F.try_variant_get(x, f"$.{name}", "string").isNotNull()
 
     has, filled = [], []
-    for path in sorted(KNOWN):
+    for path in sorted({p for x in RECORDS for p in x.paths}):
         field, _, own = path.partition("[].")
         items = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), none) if own else F.array(v)
         has.append(F.when(F.exists(items, named(own or field)), path))
@@ -136,20 +160,41 @@ def _paths(v: Column) -> tuple[Column, Column]:
     return tuple(F.array_compact(F.array(*x)) for x in (has, filled))
 
 
+def _text_of(field: Column, kind: str) -> Column:
+    """An array of turns with its contents as text; any other field as it is."""
+    if "variant" not in kind:
+        return field
+    role, text = kind.removeprefix("array<struct<").split(":")[0].strip("`"), kind.split(",")[1].split(":")[0]
+
+    def turn(x: Column) -> Column:
+        listed = F.coalesce(F.schema_of_variant(x[text]).startswith("ARRAY"), F.lit(False))
+        whole = F.try_variant_get(x[text], "$", "string")
+        return F.struct(x[role].alias(role), F.when(listed, _parts(x[text])).otherwise(whole).alias(text))
+
+    return F.transform(field, turn)
+
+
+def _parts(content: Column) -> Column:
+    """The texts of a content's parts one after the other; a part without text stays as its JSON."""
+    parts = F.try_variant_get(content, "$", "array<variant>")
+    own = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"), F.lit(""))
+    return F.array_join(F.transform(parts, own), "")
+
+
 def _mapped(df: DataFrame, record: str, id_column: str) -> DataFrame:
     """conv_id, v, turns of every record; turns are null where no layout's paths are all there."""
     rows = df.select(F.col(id_column).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
     has, filled = _paths(F.col("v"))
-    fields = {k: F.try_variant_get("v", f"$.{k}", kind) for k, kind in FIELDS.items()}
+    fields = {k: _text_of(F.try_variant_get("v", f"$.{k}", kind), kind) for k, kind in FIELDS.items()}
     rows = rows.select("conv_id", "v", has.alias("has"), filled.alias("filled"), *[c.alias(k) for k, c in fields.items()])
     ranks, turns = [], F.lit(None).cast("array<struct<role:string,text:string>>")
-    for n, x in enumerate(LAYOUTS):
+    for n, x in enumerate(RECORDS):
         need = F.array(*map(F.lit, x.paths))
         given = F.size(F.array_intersect("filled", need))
         rank = F.struct((-given).alias("given"), F.lit(len(x.paths)).alias("need"), F.lit(n).alias("n"))
         ranks.append(F.when(F.size(F.array_intersect("has", need)) == len(x.paths), rank))
     rows = rows.withColumn("layout", F.array_min(F.array_compact(F.array(*ranks)))["n"])
-    for n, x in enumerate(LAYOUTS):
+    for n, x in enumerate(RECORDS):
         turns = F.when(F.col("layout") == n, F.expr(x.turns)).otherwise(turns)
     return rows.select("conv_id", "v", turns.alias("turns"))
 
@@ -158,8 +203,11 @@ def turns_of_records(df: DataFrame, record: str = "record", id_column: str = "co
     """conv_id, turn, role, text of JSON records in a string column, each with a layout of its own.
 
     Of the layouts whose paths are all among a record's keys, it has the one with most paths that
-    hold a value, then the one with fewest nulls, then the first. A null text is empty. A record that
-    is no JSON, or of no known layout, has no turns: ``unmatched_records`` has those.
+    hold a value, then the one with fewest nulls, then the first. A null text is empty; of a content
+    that is a list of parts the texts follow each other, and a part without text stays as its JSON.
+    A record that is no JSON, or of no known layout, has no turns: ``unmatched_records`` has those.
+    Repeated rows and ids repeat their turns, null ids stay null, an empty table gives no rows, and a
+    very long record is one row's work.
     """
     rows = _mapped(df, record, id_column).select("conv_id", F.posexplode("turns").alias("turn", "t"))
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), *_clean("t.role", "t.text"))
@@ -218,7 +266,11 @@ def format_turns(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_text, formatted_chars, from ``formatted`` and ``loss`` alone."""
+    """conv_id, turns (role, text), loss_text, formatted_chars, from ``formatted`` and ``loss`` alone.
+
+    One row for each of ``formatted``, null ids and repeated rows as they are; without turns to learn
+    from, loss_text is empty. An empty table gives no rows.
+    """
     end = END.replace("|", r"\|")
     rows = formatted.withColumn("parts", F.split("formatted", end))
     body = lambda p: F.substring(p, F.lit(len(START) + 1), F.char_length(p))
