@@ -5,9 +5,10 @@ shape (how it is cased, which marks, whether it repeats the word before), and th
 hashed 1- and 2-grams of words and 1- to 3-grams of shapes. A document's values are its counts over
 the root of its number of features, so a score is one sparse dot product whatever the length.
 
-Training reads at most ``max_rows`` labelled documents, those of the smallest hash of their id, in a
+Training reads at most ``max_rows`` labelled texts, those of the smallest hash of id and text, in a
 fixed number of shards; each shard makes the FTRL-proximal updates in one pass, and the shards'
-weights are averaged by feature. The model has at most 2^18 weights and is broadcast.
+weights are averaged by feature, each by its number of rows. The model has at most 2^18 weights and
+is broadcast.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import held_out, per_text, ship_package, whole_text
+from meterglass.llm.common import cut_lineage, held_out, per_text, ship_package, text_key, whole_text
 
 BITS = 18
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 SLICE = 1 << 21
+#: The place of the number of rows among a shard's weights.
+ROWS = -1
 
 
 @dataclass(frozen=True)
@@ -109,16 +112,28 @@ def ftrl_pass(rows, t: Training) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, t: Training) -> DataFrame:
-    """text and label of the training rows: known quality, id not held out, at most max_rows."""
+    """h, text, label of the training rows: known quality, id not held out.
+
+    They are at most ``max_rows`` after the join, whatever repeats on either side: rows are told by
+    id, text and label, repeated ones are one, and the bound is set on narrow rows.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.select("doc_id", F.col("quality").cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(t.max_rows)
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    return texts.join(F.broadcast(known), "doc_id")
+    known = known.select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
+    texts = docs.select("doc_id", whole_text().alias("text"), text_key().alias("key"))
+    met = texts.select("doc_id", "key").join(known, "doc_id").distinct()
+    picked = cut_lineage(met.orderBy(F.xxhash64("key", "label"), "key", "doc_id", "label").limit(t.max_rows))
+    rows = texts.join(F.broadcast(picked), ["doc_id", "key"])
+    rows = rows.groupBy("doc_id", "key", "label").agg(F.min("text").alias("text"))
+    return rows.select(F.xxhash64("key", "label").alias("h"), "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
-    """feature, weight; without labelled rows it is empty and every score is one half."""
+    """feature, weight; without labelled rows it is empty and every score is one half.
+
+    Null texts are empty ones; null ids, and qualities other than 0 and 1, are not learned from.
+    Repeated rows count once, an id of two texts or labels as two rows. A shard is one task's work,
+    ``max_rows`` / ``shards`` rows, however many documents there are.
+    """
 
     def shards_of(batches):
         def rows():
@@ -132,22 +147,25 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataF
 
         # A partition may hold several shards or none; each is a pass of its own.
         for _, own in groupby(rows(), key=lambda r: r[0]):
-            at, w = ftrl_pass(((f, label) for _, f, label in own), t)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["feature", "weight"])
+            own = [(f, label) for _, f, label in own]
+            at, w = ftrl_pass(own, t)
+            columns = [pa.array(np.r_[at, ROWS]), pa.array(np.r_[w * len(own), len(own)])]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "weight"])
 
     ship_package(docs.sparkSession)
-    rows = labelled(docs, labels, t).withColumn("h", F.xxhash64("doc_id", "text", "label"))
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(t.shards)).cast("int"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "h").select("text", "label", "shard")
-    models = rows.mapInArrow(shards_of, "feature long, weight double")
-    return models.groupBy("feature").agg((F.sum("weight") / t.shards).alias("weight"))
+    rows = labelled(docs, labels, t).withColumn("shard", F.pmod("h", F.lit(t.shards)).cast("int"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "h", "text").select("text", "label", "shard")
+    sums = cut_lineage(rows.mapInArrow(shards_of, "feature long, weight double").groupBy("feature").agg(F.sum("weight").alias("weight")))
+    n = sums.filter(F.col("feature") == ROWS).agg(F.max("weight")).scalar()
+    return sums.filter(F.col("feature") != ROWS).select("feature", (F.col("weight") / n).alias("weight"))
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, score: the probability of label 1 of every whole text.
 
     A null text is empty; an empty one scores by the bias alone. Repeated rows repeat, a null
-    doc_id stays null, an empty table gives no rows.
+    doc_id stays null, an empty table gives no rows. A very long text is held in memory with its
+    features, some 100 bytes a token.
     """
     dense = np.zeros((1 << BITS) + 1)
     table = model.toArrow()  # at most 2^18 + 1 rows
@@ -168,6 +186,9 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from a score of one half)."""
+    """doc_id, held_out, score, predicted (1 from a score of one half).
+
+    Rows are taken as ``score`` takes them; a null doc_id counts as not held out.
+    """
     rows = score(docs, train(docs, labels, t))
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
