@@ -8,8 +8,9 @@ the driver.
 
 A source's token budget is realised as whole permutations of its documents (blocks) and a prefix of
 one more. The order within a block is by an MD5 of seed, block and doc_id, so it needs no sort of a
-source: the end of the prefix comes from sums by radix buckets of about ``BUCKET`` documents and a
-running sum within each bucket, so that a source with most of the rows is spread over many tasks.
+source: tokens are summed by radix buckets of about ``BUCKET`` documents, the end of the prefix is
+looked for digit by digit, 16 sums of a source at a time, and only the documents of the bucket that
+holds it are put in order.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ def bisect_exponent(totals: DataFrame, mix: Mixture) -> float:
 def plan_mixture(counts: DataFrame, mix: Mixture) -> DataFrame:
     """One row per source: weight, target_tokens, full_blocks and cut, the last order key of the prefix.
 
-    ``cut`` is null where no document fits the rest of the budget. A null source is a source; one
-    without tokens has weight 0 and gives no rows.
+    ``cut`` is null where no rest of the budget is left. A null source is a source; one without
+    tokens has weight 0 and gives no rows.
     """
     totals = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     totals = cut_lineage(totals.filter("tokens > 0"))
@@ -116,23 +117,52 @@ def plan_mixture(counts: DataFrame, mix: Mixture) -> DataFrame:
             "rest": F.expr("target_tokens % tokens"),
         }
     )
-    keyed = with_source(counts, plan.select("source", "full_blocks", "rest", "digits"))
-    keyed = keyed.filter("rest > 0").withColumn("key", order_key(mix.seed, F.col("full_blocks")))
+    plan = cut_lineage(plan)
+    keyed = with_source(counts, plan.select("source", "full_blocks", "rest", "digits")).filter("rest > 0")
+    keyed = keyed.withColumn("key", order_key(mix.seed, F.col("full_blocks")))
     keyed = keyed.withColumn("bucket", F.substring("key", F.lit(1), F.col("digits")))
-    by_key = keyed.groupBy("source", "rest", "bucket", "key").agg(F.sum("n_tokens").alias("n"))
-    by_bucket = by_key.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_bucket.select("source", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "bucket").orderBy("key")
-    same = F.col("k.source").eqNullSafe(F.col("s.source")) & (F.col("k.bucket") == F.col("s.bucket"))
-    running = by_key.withColumn("upto", F.sum("n").over(within)).alias("k").join(starts.alias("s"), same)
-    cuts = (
-        running.filter("s.start + k.upto <= k.rest").groupBy(F.col("k.source").alias("source")).agg(F.max("k.key").alias("cut"))
-    )
+    cuts = cut_within(keyed, cut_bucket(keyed, plan))
     both = plan.alias("p").join(cuts.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
     return cut_lineage(both.select("p.source", "p.weight", "p.target_tokens", "p.full_blocks", "c.cut"))
 
 
+def cut_bucket(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, bucket, left: the bucket in which the source's ``rest`` ends and what of it is left there.
+
+    A digit of the bucket is found at a time, from sums over the 16 that may follow; the sums of all
+    buckets, one for some ``BUCKET`` documents, are made once.
+    """
+    sums = cut_lineage(keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")))
+    at = plan.filter("rest > 0").select("source", "digits", F.lit("").alias("prefix"), F.col("rest").alias("left"))
+    depth = plan.agg(F.max("digits")).first()[0] or 0
+    for level in range(1, depth + 1):
+        inside = with_source(sums, at.filter(F.col("digits") >= level)).filter(F.col("bucket").startswith(F.col("prefix")))
+        child = F.substring("bucket", 1, level).alias("child")
+        each = inside.groupBy("source", child, "left").agg(F.sum("n").alias("n"))
+        order = Window.partitionBy("source").orderBy("child")  # 16 rows of a source
+        each = each.withColumn("upto", F.sum("n").over(order)).filter("upto > left")
+        first = each.groupBy("source").agg(F.min(F.struct("child", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))).alias("to"))
+        a, b = at.alias("a"), first.alias("b")
+        at = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select(
+            "a.source", "digits", F.coalesce("to.child", "prefix").alias("prefix"), F.coalesce("to.left", "a.left").alias("left")
+        )
+        at = cut_lineage(at)
+    return at.select("source", F.col("prefix").alias("cut_bucket"), "left")
+
+
+def cut_within(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """source, cut: the last key that the prefix takes, the bucket itself where it takes none of it.
+
+    A bucket sorts after all keys before it and before its own, so it cuts just there.
+    """
+    own = with_source(keyed.select("source", "bucket", "key", "n_tokens"), buckets).filter("bucket = cut_bucket")
+    own = own.groupBy("source", "cut_bucket", "left", "key").agg(F.sum("n_tokens").alias("n"))
+    order = Window.partitionBy("source").orderBy("key")  # some BUCKET rows of a source
+    own = own.withColumn("upto", F.sum("n").over(order))
+    last = F.max(F.when(F.col("upto") <= F.col("left"), F.col("key")))
+    return own.groupBy("source", "cut_bucket").agg(last.alias("key")).select("source", F.coalesce("key", "cut_bucket").alias("cut"))
+
+
 def with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with the columns of their source; the plan is broadcast where it is small enough."""
     small = plan.withColumnRenamed("source", "plan_source")
@@ -164,7 +194,12 @@ def mix_sources(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
-    """The rows of ``docs`` that the mixture takes, once per block, with the columns of ``docs``."""
+    """The rows of ``docs`` that the mixture takes, once per block, with the columns of ``docs``.
+
+    Nulls, repeated ids and empty tables are treated as by ``mix_sources``; a null text or one
+    without words has no tokens and goes with its source's blocks. A text longer than a source's
+    rest of the budget ends that source's prefix before it. Texts are read, not shuffled.
+    """
     plan = plan_mixture(cut_lineage(token_counts(docs)), mix)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return realise(docs.select("doc_id", "source", row.alias("row")), plan, mix).select("row.*")
