@@ -187,7 +187,94 @@ def test_chunks_resist_insertions():
     assert len(shared) >= len(a) - 5
     again = substring_dedup.units_of([b"another text first " * 9, text.encode()])[1]
     assert again == a, "chunks depend on the text alone"
-    assert all(e - s >= substring_dedup.MIN_BYTES for s, e, _ in a) and a[0][0] == 0
+    assert all(e - s >= substring_dedup.PASSAGES.min_unit for s, e, _ in a) and a[0][0] == 0
+
+
+def plain_units(text, span):
+    """Chunks and their successors, a byte and a place at a time."""
+    data = bytes(64) + text + bytes(64)
+    gear = [int(g) for g in substring_dedup.GEAR]
+    h = [sum(gear[data[i - k]] << k for k in range(min(16, i + 1))) % 2**64 if data[i] & 0xC0 != 0x80 else 0 for i in range(len(data))]
+    edges = [0]
+    starts = [i - 64 for i in range(65, 64 + len(text)) if h[i] > max(h[i - 20 : i]) and h[i] >= max(h[i + 1 : i + 21])]
+    for e in [*starts, len(text)]:
+        while e - edges[-1] > span.max_chunk:
+            edges.append(len(text[: edges[-1] + span.max_chunk].decode(errors="ignore").encode()))
+        edges.append(e)
+    pairs = zip(edges, edges[2:]) if len(edges) > 2 else [(0, len(text))]
+    return [(a, b, text[a:b]) for a, b in pairs if b - a >= max(1, span.min_unit)]
+
+
+def plain_repeats(rows, span):
+    """Place -> (found, first_doc_id, first) of every unit found twice; rows are (doc_id, text) without repeats."""
+    places = defaultdict(list)
+    for i, t in rows:
+        for a, b, unit in plain_units((t or "").encode(), span):
+            places[unit].append(((i is not None, i or 0), t or "", a, b, i))
+    out = {}
+    for found in places.values():
+        documents = {(p[0], p[1]) for p in found}
+        if len(found) > 1 if span.within else len(documents) > 1:
+            least = min(p[0] for p in found)
+            for own, t, a, b, i in found:
+                tied = {p[1] for p in found if p[0] == least}
+                first = own == least and (not span.within or a == min(p[2] for p in found if p[0] == least and p[1] == t))
+                out[i, t, a, b] = (len(found), least[1] if least[0] else None, first if len(tied) == 1 else None)
+    return out
+
+
+@pytest.mark.parametrize("span", [substring_dedup.PASSAGES, substring_dedup.ANYTHING, substring_dedup.Span(min_unit=1, max_chunk=64), substring_dedup.Span(within=True)])
+def test_units_against_a_plain_chunk_and_digest(spark, span):
+    rng = random.Random(4)
+    shared, wide = sentence(rng, 40), "\u4e2d\u6587\U0001f600" * 300
+    rows = [(r[0], r[1]) for r in odd_rows() if len(r[1] or "") < 3000]
+    rows += [(300, wide + shared), (301, "x" + wide), (302, f"{shared} {sentence(rng, 9)} {shared}"), (303, "ab" * 900), (304, None)]
+    rows += [(305, " ".join([sentence(rng, 30)] * 3))]
+    got = {}
+    for r in substring_dedup.repeated_units(odd_documents(spark, [(i, t, None, None, None) for i, t in rows]), span).collect():
+        text = [t for i, t in rows if i == r["doc_id"]]
+        assert r["n_bytes"] == r["end"] - r["start"]
+        got.setdefault((r["doc_id"], r["start"], r["end"]), []).append((r["found"], r["first_doc_id"], r["first"], text))
+    expected = plain_repeats(sorted(set(rows), key=str), span)
+    assert sum(map(len, got.values())) == len(expected)
+    for (i, _, a, b), (found, least, first) in expected.items():
+        own = [x[:3] for x in got[i, a, b]]
+        assert any(x[:2] == (found, least) and (first is None or x[2] == first) for x in own)
+
+
+def test_forced_cuts_stay_between_characters(spark):
+    """Texts without boundaries of their own, of characters of two to four bytes, are cut and put together again."""
+    rows = []
+    for n, c in enumerate(["\u4e2d", "\u00e9", "\U0001f600", "a"]):
+        rows += [(2 * n, c * 1500 + " end of one"), (2 * n + 1, c * 1500 + " another end")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    texts = dict(rows)
+    for r in substring_dedup.repeats(docs).collect():
+        texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(docs).collect()}
+    assert all(cut[2 * n] == texts[2 * n] for n in range(4))
+    assert all(0 < len(cut[2 * n + 1]) < 1500 and cut[2 * n + 1].endswith("another end") for n in range(4))
+
+
+def test_what_repeats_in_one_document_is_found_where_it_counts(spark):
+    rng = random.Random(23)
+    line = sentence(rng, 60)
+    docs = spark.createDataFrame([(1, "\n".join([line, sentence(rng, 30), line, line]), None, None, None)], SCHEMA)
+    assert substring_dedup.repeats(docs).count() == 0
+    within = substring_dedup.Span(within=True)
+    kept = substring_dedup.drop_repeats(docs, within).first()["text"]
+    assert line in kept and len(kept) < len(docs.first()["text"]) - 1.5 * len(line)
+
+
+def test_rows_that_repeat_are_one_document(spark):
+    rng = random.Random(29)
+    text, other = sentence(rng, 80), sentence(rng, 80)
+    rows = [(1, text)] * 50 + [(2, other)] * 3 + [(3, other)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(5)
+    got = substring_dedup.repeats(docs).collect()
+    assert {(r["doc_id"], r["first"]) for r in got} == {(2, True), (3, False)}
+    assert len(got) == len({(r["doc_id"], r["start"]) for r in got})
+    assert Counter(r["doc_id"] for r in substring_dedup.drop_repeats(docs).collect()) == {1: 50, 2: 3, 3: 1}
 
 
 def test_repeats_find_planted_passages_and_nothing_else(spark):

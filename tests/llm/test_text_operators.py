@@ -1,6 +1,7 @@
 """Mixing, licences, BPE, chat, classifier and languages on fixtures and against brute force."""
 
 import hashlib
+import io
 import json
 import math
 import random
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from helpers import SCHEMA, collected, empty_documents, odd_documents, odd_rows, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -77,11 +79,12 @@ def test_mixture_against_brute_force(spark, mix):
     assert Counter(r["doc_id"] for r in mixing.mix_documents(docs, mix).collect()) == +expected
 
 
-def test_prefix_by_buckets_is_that_by_one_sort(spark, monkeypatch):
-    """Small buckets give the same mixture as one bucket per source."""
+@pytest.mark.parametrize("bucket", [0.05, 4, 64])
+def test_prefix_by_buckets_is_that_by_one_sort(spark, monkeypatch, bucket):
+    """Buckets of any size, of less than a document too, give the same mixture as one bucket per source."""
     _, docs = skewed(spark)
     one = collected(mixing.mix_sources(docs), "doc_id", "block")
-    monkeypatch.setattr(mixing, "BUCKET", 4)
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
     assert collected(mixing.mix_sources(docs), "doc_id", "block") == one
 
 
@@ -120,9 +123,9 @@ def test_licence_scan_against_brute_force(spark):
     lines = [t.text for t in license_scan.TEMPLATES] + ["Licensed under CC BY-NC 4.0.", "cc by cc by", "CC BY", "the Apache License", "cc", "by", "All rights, reserved; all RIGHTS reserved"]
     rng = random.Random(3)
     rows = [(i, t, "en", "s", 1) for i, t in enumerate([x for x in lines] + [sentence(rng, 30) + " " + rng.choice(lines) + " " + sentence(rng, 9) + " " + rng.choice(lines) for _ in range(60)])]
-    rows += [(1000 + n, t, None, None, None) for n, (_, t, *_) in enumerate(odd_rows()) if n != 5]
+    rows += [(1000 + n, t, None, None, None) for n, (_, t, *_) in enumerate(odd_rows())]
     docs = odd_documents(spark, rows)
-    idf = license_scan.rarity(docs)
+    idf = license_scan.rarity(license_scan.noted(docs))
     n = len(rows)
     held = Counter(w for _, t, *_ in rows for w in set(re.findall(license_scan.WORDS, (t or "").lower())))
     assert all(idf[w] == round(math.log((n + 1) / (held[w] + 1)) * 1e6) for w in idf)
@@ -142,7 +145,7 @@ def test_licence_scan_of_a_text_with_all_templates(spark):
     common = "0 2 version license apache the under licensed mit released"
     rows += [(10 + n, common + " " + sentence(rng, 20), "en", "s", 1) for n in range(60)]
     docs = odd_documents(spark, rows)
-    idf = license_scan.rarity(docs)
+    idf = license_scan.rarity(license_scan.noted(docs))
     got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan(docs).filter("doc_id < 10").collect()}
     assert got == {i: plain_scan(t, idf) for i, t, *_ in rows[:2]}
     assert got[1][5].split(",") == sorted({t.label for t in license_scan.TEMPLATES})
@@ -160,7 +163,7 @@ def hard_texts(n=300):
 @pytest.mark.parametrize("size", [0, 7, 32_768])
 def test_encoding_is_the_librarys(spark, size):
     reference = Tokenizer.from_file(VOCABULARY)
-    texts = [t for _, t, *_ in odd_rows() if len(t or "") < 50_000] + hard_texts()
+    texts = [t for _, t, *_ in odd_rows()] + hard_texts()
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
     got = bpe.decode(bpe.encode(odd_documents(spark, rows), VOCABULARY, size), VOCABULARY).collect()
     assert len(got) == len(rows)
@@ -172,6 +175,33 @@ def test_encoding_is_the_librarys(spark, size):
     assert sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in again) == sorted((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got)
 
 
+def test_every_code_point_is_encoded_as_the_library_does(tmp_path):
+    """Letters, marks and cases of other Unicode versions than Python's, alone, in words, doubled and between marks."""
+    reference = Tokenizer.from_file(VOCABULARY)
+    vocab = bpe.Vocabulary(VOCABULARY, io.BytesIO(bpe.library_tables(VOCABULARY)))
+    path = tmp_path / "lexicon.bin"
+    path.write_bytes(bpe.Lexicon.compile({}))
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{x}b ??{x}{x}1" for x in map(chr, codes[i : i + 2000])) for i in range(0, len(codes), 2000)]
+    low = [c for c in codes if c < 0x20000]
+    texts += [" ".join(f"e{x}\u0316\u0301'{x} {x}\u0334" for x in map(chr, low[i : i + 2000])) for i in range(0, len(low), 2000)]
+    texts += ["'s't 'S's!'s '' ''s don'tx we'll'll 're'RE've 'l 'll", "'", "x'", "<|endoftext|>'s<|startoftext|>'", "\U00011935\U00011930 \U00011938"]
+    for i in range(0, len(texts), 32):
+        part = texts[i : i + 32]
+        ids, ends = bpe.encode_texts(part, vocab, bpe.Lexicon(str(path)), {})
+        for n, own in enumerate(reference.encode_batch(part, add_special_tokens=False)):
+            assert ids[ends[n] : ends[n + 1]].tolist() == own.ids, i + n
+
+
+def test_a_very_long_text_and_a_word_without_end(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, 300_000), "x" * 20_000, "\u4e2d" * 5_000]
+    reference = Tokenizer.from_file(VOCABULARY)
+    got = bpe.encode(odd_documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), VOCABULARY).collect()
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == reference.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
 def test_encoding_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = bpe.encode(docs, VOCABULARY)
@@ -254,6 +284,32 @@ def test_records_with_nulls_and_further_fields_keep_all_turns(spark):
     assert collected(chat_format.unmatched_records(docs)) == [(20, "no json", 1), (21, "no layout", 2), (22, "no json", 1), (23, "no layout", 1)]
 
 
+def test_contents_given_as_parts_are_their_texts(spark):
+    parts = [{"type": "text", "text": "one "}, {"type": "text", "text": "two"}]
+    records = {
+        1: {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "a"}]},
+        2: {"messages": [{"role": "user", "content": []}, {"role": "assistant", "content": 5}]},
+        3: {"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}, "plain", None, *parts]}]},
+        4: {"conversations": [{"from": "human", "value": parts}]},
+    }
+    rows = [(i, json.dumps(r)) for i, r in records.items()] * 2 + [(None, json.dumps(records[1]))]
+    got = defaultdict(list)
+    for r in chat_format.turns_of_records(spark.createDataFrame(rows, "conv_id int, record string")).orderBy("turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert got[1] == [("user", "one two")] * 2 + [("assistant", "a")] * 2 and got[None] == [("user", "one two"), ("assistant", "a")]
+    assert got[2] == [("user", "")] * 2 + [("assistant", "5")] * 2
+    assert [t for _, t in got[3]] == ['{"type":"image","url":"u"}plainone two'] * 2
+    assert got[4] == [("human", "one two")] * 2
+
+
+def test_tables_of_turns_go_by_their_fingerprint(spark):
+    paths = {"conv_id", "turn", "role", "text"}
+    assert chat_format.layout_of(paths).name == chat_format.layout_of(paths | {"input", "extra"}).name == "turn_rows"
+    rows = [(1, 5, "user", None, "i"), (1, 5, "user", None, "i"), (None, None, None, "t", "i")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, input string")
+    assert collected(chat_format.turns_of_frame(frame)) == [(None, None, "", "t"), (1, 5, "user", ""), (1, 5, "user", "")]
+
+
 def test_formatting_reads_back(spark):
     rng = random.Random(6)
     pieces = ["\\", "<", "[", "|", "<|im_end|>\n", "<|im_sep|>", "<\\|", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "n", "\n", "é", "\U0001f600", "<\\/s>", "ok"]
@@ -312,6 +368,83 @@ def test_classifier_learns_from_its_part_only(spark):
     assert quality_model.classify(empty_documents(spark), marks).count() == 0
 
 
+def plain_features(text):
+    """Hashed grams one at a time; a token counts as word and as shape."""
+    tokens = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text)
+    words = [xxhash.xxh64_intdigest(w.lower(), 1) for w in tokens]
+    shapes = [xxhash.xxh64_intdigest(quality_model.shape(w), 2) ^ (0x5851F42D4C957F2D if n and w.lower() == tokens[n - 1].lower() else 0) for n, w in enumerate(tokens)]
+    out = Counter()
+    for stream, longest in ((words, 2), (shapes, 3)):
+        for n in range(1, longest + 1):
+            for i in range(len(stream) - n + 1):
+                gram = stream[i]
+                for k in range(1, n):
+                    gram = (gram * 0x9E3779B97F4A7C15 % 2**64) ^ stream[i + k]
+                out[((gram + n) * 0xD6E8FEB86659FD93 % 2**64) >> (64 - quality_model.BITS)] += 1
+    return out
+
+
+def plain_ftrl(rows, t):
+    """Weights by feature after one pass; a row is (counts, label)."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= t.l1 else -math.copysign(abs(z[f]) - t.l1, z[f]) / ((t.beta + math.sqrt(n[f])) / t.alpha + t.l2)
+
+    for counts, label in rows:
+        total = sum(counts.values())
+        x = {f: c / math.sqrt(max(1, total)) for f, c in counts.items()} | {1 << quality_model.BITS: 1.0}
+        w = {f: weight(f) for f in x}
+        p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+        for f, v in x.items():
+            g = (p - label) * v
+            z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / t.alpha * w[f]
+            n[f] += g * g
+    return {f: weight(f) for f in n if weight(f)}
+
+
+def quality_rows(n=90, seed=31):
+    rng = random.Random(seed)
+    rows = [(i, sentence(rng, rng.randint(5, 30)) + (" ### 12" if i % 3 else "!"), "en", "s", 1) for i in range(n)]
+    return rows, [(i, int(i % 3 == 0)) for i in range(n)]
+
+
+@pytest.mark.parametrize("shards", [1, 3, 64])
+def test_training_and_scores_against_plain_ftrl(spark, shards):
+    rows, labels = quality_rows()
+    docs, marks = odd_documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    t = quality_model.Training(shards=shards)
+    picked = quality_model.labelled(docs, marks, t).withColumn("shard", F.pmod("h", F.lit(shards))).orderBy("h", "text").collect()
+    assert {r["text"] for r in picked} == {x for i, x, *_ in rows if not held_out(i)}
+    expected = defaultdict(float)
+    for shard in {r["shard"] for r in picked}:
+        own = [(plain_features(r["text"]), r["label"]) for r in picked if r["shard"] == shard]
+        for f, w in plain_ftrl(own, t).items():
+            expected[f] += w * len(own) / len(picked)
+    model = quality_model.train(docs, marks, t)
+    got = {r["feature"]: r["weight"] for r in model.collect()}
+    assert set(got) == set(expected) and all(abs(got[f] - w) < 1e-9 for f, w in expected.items())
+    texts = {i: x for i, x, *_ in rows}
+    for r in quality_model.score(docs, model).collect():
+        counts = plain_features(texts[r["doc_id"]])
+        logit = expected[1 << quality_model.BITS] + sum(c * expected[f] for f, c in counts.items()) / math.sqrt(max(1, sum(counts.values())))
+        assert abs(r["score"] - 1 / (1 + math.exp(-logit))) < 1e-9
+
+
+def test_training_rows_are_bounded_after_the_join(spark):
+    """Ids and labels that repeat on either side don't multiply the rows learned from."""
+    rows = [(i % 3 * 3, f"text {i} of many", "en", "s", 1) for i in range(300)] + [(0, "same", "en", "s", 1)] * 50
+    labels = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (3, 1), (6, 0)], "doc_id bigint, quality int")
+    docs = odd_documents(spark, rows)
+    allowed = [i for i in (0, 3, 6) if not held_out(i)]
+    every = len({(i, x, q) for i, x, *_ in rows for q in ((0, 1) if i == 0 else (1,)) if i in allowed})
+    assert quality_model.labelled(docs, labels, quality_model.Training()).count() == every > 5
+    assert quality_model.labelled(docs, labels, quality_model.Training(max_rows=5)).count() == 5
+    odd = quality_model.classify(odd_documents(spark), spark.createDataFrame([(7, 1), (7, 1), (6, 0), (9, 0)], "doc_id bigint, quality int"))
+    scores = {(r["doc_id"], round(r["score"], 12)) for r in odd.filter("doc_id = 7").collect()}
+    assert odd.count() == len(odd_rows()) and len(scores) == 1, "a long text, nulls and repeated rows"
+
+
 def test_features_do_not_cross_texts():
     a, b = "one two three", "Four five!! 6"
     apart = [sorted(quality_model.features([t])[0].tolist()) for t in (a, b)]
@@ -337,6 +470,49 @@ def test_languages(spark):
     assert language_id.identify(empty_documents(spark), language_id.profiles(docs)).count() == 0
 
 
+def plain_vector(text):
+    """A trigram at a time; anything between letters is one boundary."""
+    out = np.zeros(language_id.DIMENSIONS)
+    runs = "".join(c if c.isalpha() else "\0" for c in (text or "").lower())
+    runs = "\0" + re.sub("\0+", "\0", runs).strip("\0") + "\0"
+    for a, b, c in zip(runs, runs[1:], runs[2:]):
+        if b != "\0":
+            v = [language_id.letter(0 if x == "\0" else ord(x)).astype(float) for x in (a, b, c)]
+            out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+    return out
+
+
+def test_profiles_and_choice_against_a_plain_version(spark):
+    """Sums per language, cosines, and the first by name of languages that tie; repeated rows count once."""
+    rng = random.Random(37)
+    rows = [(i, sentence(rng, rng.randint(1, 9)), ["xx", "yy", None][i % 3], "s", 1) for i in range(60)]
+    same = [(i, "tie tie", lang, "s", 1) for i, lang in ((100, "bb"), (101, "aa"), (102, "bb"), (103, "aa"), (104, "aa"), (105, "bb"))]
+    rows += same + rows[:5] + rows[:5] + [(200, None, "xx", None, None), (201, "", "yy", None, None), (202, sentence(rng, 20_000), "xx", "s", 1)]
+    docs = odd_documents(spark, rows)
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    expected = {}
+    for i, t, lang in {(i, t, lang) for i, t, lang, *_ in rows if lang and not held_out(i)}:
+        expected[lang] = expected.get(lang, 0) + unit(plain_vector(t))
+    learned = language_id.profiles(docs)
+    got = defaultdict(lambda: np.zeros(language_id.DIMENSIONS))
+    for r in learned.collect():
+        got[r["lang"]][r["dimension"]] = r["value"]
+    assert set(got) == set(expected) and all(np.allclose(got[k], v, atol=1e-3) for k, v in expected.items())
+    names = sorted(expected)
+    table = np.array([unit(expected[k]) for k in names])
+    texts = {i: t for i, t, *_ in rows}
+    for r in language_id.identify(docs, learned).collect():
+        v = unit(plain_vector(texts[r["doc_id"]]))
+        near = table @ v
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert abs(r["score"] - max(0, near.max())) < 1e-5 and near[names.index(r["lang_pred"])] > near.max() - 1e-5
+        if texts[r["doc_id"]] == "tie tie":
+            assert r["lang_pred"] == "aa"
+    assert language_id.profiles(docs, max_rows=3).groupBy("lang").count().count() <= 3
+
+
 def test_vectors_are_sums_of_bound_trigrams():
     one = lambda c: language_id.letter(ord(c) if c != "_" else 0).astype(np.float32)
     bound = lambda g: np.roll(one(g[0]), 2) * np.roll(one(g[1]), 1) * one(g[2])
