@@ -1,4 +1,4 @@
-"""python -m meterglass models|monthly|graph|scan|review --home DIR [--prices FILE] [filters]: JSON on stdout."""
+"""python -m meterglass models|monthly|graph|scan|review|export --home DIR [--prices FILE] [filters]: JSON on stdout."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import argparse
 import json
 from datetime import UTC, date, datetime
 
+from pyspark.sql import functions as F
+
 from meterglass import export
 from meterglass.operators import filters, metrics, pricing, reports
 from meterglass.schema import PRICES, SOURCES
@@ -17,9 +19,10 @@ from meterglass.sources.sessions import load_usage
 
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="meterglass", description=__doc__)
-    parser.add_argument("command", choices=("models", "monthly", "graph", "scan", "review"))
+    parser.add_argument("command", choices=("models", "monthly", "graph", "scan", "review", "export"))
     parser.add_argument("--home", required=True)
     parser.add_argument("--prices")
+    parser.add_argument("--table", type=int, metavar="WIDTH", help="models and monthly as a table of this width")
     parser.add_argument("--master", default="local[*]")
     parser.add_argument("--as-of", type=date.fromisoformat, default=datetime.now(UTC).date())
     for source in SOURCES:
@@ -41,19 +44,35 @@ def main(argv: list[str] | None = None) -> None:
     span = filters.shortcut(args.as_of, args.today, args.week, args.month) or {"since": args.since, "until": args.until, "year": args.year}
     rows = filters.by_date(load_usage(spark, args.home, sources), **span)
     prices = read_prices(spark, args.prices) if args.prices else spark.createDataFrame([], PRICES)
-    rows = pricing.with_cost(rows, prices)
+    messages, rows = rows, pricing.priced_usage(rows, prices)
+    now = datetime.now(UTC).isoformat()
+    if args.table and args.command in ("models", "monthly"):
+        report = reports.monthly_report(rows) if args.command == "monthly" else reports.model_report(rows)
+        first = {"monthly": ("month", "Month"), "models": ("model_id", "Model")}[args.command]
+        print(export.console_text(export.usage_table(report, *first), args.table))
+        return
     if args.command == "models":
         out = export.rows_document(reports.model_report(rows))
     elif args.command == "monthly":
         out = export.rows_document(reports.monthly_report(rows))
     elif args.command == "graph":
-        out = export.graph_document(rows, datetime.now(UTC).isoformat())
+        out = export.graph_document(rows, now)
+    elif args.command == "export":
+        out = export.full_export(rows, now)
     else:
+        days = reports.with_intensity(reports.day_totals(rows)).withColumn("one", F.lit(1))
+        paid = days.filter("cost > 0")
+        year = args.as_of.year
         out = {
             **export.rows_document(metrics.top_by_cost(rows, "model_id"), "topModels"),
             **export.rows_document(metrics.top_clients(rows), "topClients"),
-            **export.rows_document(metrics.longest_session(rows), "longestSession"),
-            **export.rows_document(metrics.peak_hour(rows, (rows.timestamp_ms / 3_600_000 % 24)), "peakHour"),
+            **export.rows_document(metrics.top_agents(metrics.agents(messages, prices)), "topAgents"),
+            **export.rows_document(metrics.longest_session(messages), "longestSession"),
+            **export.rows_document(metrics.peak_hour(messages, (messages.timestamp_ms / 3_600_000 % 24)), "peakHour"),
+            **export.rows_document(metrics.longest_streak(paid, "one").drop("one"), "longestStreak"),
+            **export.rows_document(metrics.current_streak(paid, "one", str(args.as_of)).drop("one"), "currentStreak"),
+            **export.rows_document(reports.year_card(days, year), "year"),
+            **export.rows_document(metrics.calendar_grid(days, f"{year}-01-01", f"{year}-12-31").orderBy("date"), "grid"),
             **export.rows_document(metrics.favourite_model(rows), "favouriteModel"),
         }
     print(json.dumps(out))

@@ -60,6 +60,45 @@ def dollars(cost: Column) -> Column:
     return F.when(cost >= 1000, F.concat(F.lit("$"), F.format_string("%.1f", cost.cast("double") / 1000), F.lit("K"))).otherwise(small)
 
 
+def thousands(n: Column) -> Column:
+    """1,234,567."""
+    return F.format_number(n.cast("bigint"), 0)
+
+
+def two_digits(x: Column) -> Column:
+    """A double with two digits, rounded by its exact binary value from 1 on: 411.645 lies below that and is 411.64.
+
+    The part after the point is exact when the whole is taken away, and shows on which side it lies.
+    """
+    whole_ = F.floor(x)
+    cents = F.replace(F.format_string("%.2f", x - whole_), F.lit("."), F.lit("")).cast("bigint") + whole_ * 100
+    apart = F.concat((F.floor(cents / 100)).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when((x >= 1) & (x < 1e12), apart).otherwise(F.format_string("%.2f", x))
+
+
+def currency(cost: Column, kilo: bool = False) -> Column:
+    """$1234.50; with ``kilo`` $1.23K from a thousand on."""
+    cost = cost.cast("double")
+    plain = F.concat(F.lit("$"), two_digits(cost))
+    if not kilo:
+        return plain
+    return F.when(cost >= 1000, F.concat(F.lit("$"), two_digits(cost / 1000), F.lit("K"))).otherwise(plain)
+
+
+def day_label(day: Column, full: bool = False) -> Column:
+    """Jan 5, 2024, or January 5, 2024."""
+    return F.date_format(day, "MMMM d, yyyy" if full else "MMM d, yyyy")
+
+
+def weekday_label(day: Column) -> Column:
+    return F.date_format(day, "EEEE")
+
+
+def days_between(first: Column, last: Column) -> Column:
+    """Whole days from one day to another, whichever comes first."""
+    return F.abs(F.datediff(last, first))
+
+
 def hour_label(hour: Column) -> Column:
     """0 as 12am, 15 as 3pm."""
     twelve = F.when(hour % 12 == 0, 12).otherwise(hour % 12)

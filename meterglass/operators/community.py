@@ -45,22 +45,100 @@ def day_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+#: The numbers of a source's or model's entry in a stored map.
+NUMBERS = ("tokens", "cost", "input", "output", "cache_read", "cache_write", "reasoning", "messages")
+
+
 def source_map(rows: DataFrame) -> DataFrame:
-    """Per user and day a map from source to its sums and its models' sums.
+    """Per user and day a map from source to its sums and the map of its models' sums.
 
     A day has few sources and models, so each map is small whatever the number of messages.
     """
-    numbers = ("tokens", "cost", *TOKENS, "messages")
-    numbers = [n for n in numbers if n in rows.columns]
+    numbers = [n for n in NUMBERS if n in rows.columns]
     models = rows.groupBy("user_id", "date", "source", "model_id").agg(*[F.sum(n).alias(n) for n in numbers])
     sources = models.groupBy("user_id", "date", "source").agg(
         F.struct(
             *[F.sum(n).alias(n) for n in numbers],
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_id", F.struct(*numbers).alias("v"))))).alias("models"),
+            F.map_from_entries(F.collect_list(F.struct("model_id", F.struct(*numbers).alias("v")))).alias("models"),
         ).alias("data")
     )
-    entries = F.array_sort(F.collect_list(F.struct("source", F.to_json("data").alias("json"))))
-    return sources.groupBy("user_id", "date").agg(F.map_from_entries(entries).alias("source_breakdown"))
+    return sources.groupBy("user_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("source", "data"))).alias("source_breakdown"))
+
+
+def sources_of_maps(days: DataFrame, column: str = "source_breakdown") -> DataFrame:
+    """The rows of ``days`` once per source of their map: its numbers, 0 where one is missing, models and model_id.
+
+    ``model_id`` is what older entries have in place of a map of models. A null or empty map gives no rows.
+    """
+    rows = days.select(*[c for c in days.columns if c != column], F.explode(column).alias("source", "entry"))
+    held = rows.schema["entry"].dataType.names
+    number = lambda n: F.coalesce(F.col(f"entry.{n}"), F.lit(0)).alias(n)
+    own = [number(n) for n in NUMBERS if n in held]
+    legacy = F.col("entry.model_id") if "model_id" in held else F.lit(None).cast("string")
+    return rows.select(*[F.col(c) for c in rows.columns if c not in ("entry", *NUMBERS)], *own, F.col("entry.models").alias("models"), legacy.alias("model_id"))
+
+
+def models_of_maps(days: DataFrame, column: str = "source_breakdown") -> DataFrame:
+    """The rows of ``days`` once per source and model of their map: source, model_id and the numbers.
+
+    An entry without a map of models stands for its own ``model_id``, and for none without one.
+    """
+    rows = sources_of_maps(days, column)
+    numbers = [n for n in NUMBERS if n in rows.columns]
+    keys = [c for c in rows.columns if c not in (*numbers, "models", "model_id")]
+    given = rows.filter("models is not null").select(*keys, F.explode("models").alias("model_id", "v"))
+    given = given.select(*keys, "model_id", *[F.coalesce(F.col(f"v.{n}"), F.lit(0)).alias(n) for n in numbers])
+    old = rows.filter("models is null and model_id is not null and model_id <> ''")
+    return given.unionByName(old.select(*keys, "model_id", *numbers))
+
+
+def totals_of_map(entries: Column, number: str) -> Column:
+    """The sum of a number over a map's sources; a missing one is 0."""
+    each = F.transform(F.map_values(entries), lambda s: F.coalesce(s[number].cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)")))
+    return F.aggregate(each, F.lit(0).cast("decimal(38,9)"), lambda total, x: (total + x).cast("decimal(38,9)"))
+
+
+def day_totals_of_maps(days: DataFrame, column: str = "source_breakdown") -> DataFrame:
+    """``days`` with the sums over their map's sources, row by row; a null map has sums of 0."""
+    held = days.schema[column].dataType.valueType
+    sums = {n: F.coalesce(totals_of_map(F.col(column), n), F.lit(0)).cast(held[n].dataType) for n in NUMBERS if n in held.names}
+    return days.withColumns(sums)
+
+
+def model_tokens_of_maps(days: DataFrame, column: str = "source_breakdown", key: tuple[str, ...] = ("user_id", "date")) -> DataFrame:
+    """Tokens of each model over all sources of a day's map."""
+    rows = models_of_maps(days.select(*key, column), column)
+    return rows.groupBy(*key, "model_id").agg(F.sum("tokens").alias("tokens"))
+
+
+def used_in_maps(days: DataFrame, column: str = "source_breakdown") -> DataFrame:
+    """Per user: the distinct sources and models of all maps, in order, and the sums of their numbers."""
+    sources = sources_of_maps(days.select("user_id", column), column)
+    sums = sources.groupBy("user_id").agg(
+        F.array_sort(F.collect_set("source")).alias("sources_used"), *[F.sum(n).alias(n) for n in NUMBERS if n in sources.columns]
+    )
+    models = models_of_maps(days.select("user_id", column), column)
+    return sums.join(models.groupBy("user_id").agg(F.array_sort(F.collect_set("model_id")).alias("models_used")), "user_id", "left")
+
+
+def profile_days(days: DataFrame, column: str = "source_breakdown") -> DataFrame:
+    """Per date over the rows of ``days``: their own sums, and their maps merged source by source and model by model.
+
+    ``sources`` maps a source to its sums and the map of its models' sums, ``models`` a model to its
+    tokens and cost over all sources.
+    """
+    numbers = [n for n in NUMBERS if n in days.schema[column].dataType.valueType.names]
+    own = days.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("tokens", "cost", "input", "output")])
+    rows = sources_of_maps(days.select("date", column), column)
+    parts = models_of_maps(days.select("date", column), column)
+    sums = [F.sum(n).alias(n) for n in numbers]
+    merged = parts.groupBy("date", "source", "model_id").agg(*sums)
+    inside = merged.groupBy("date", "source").agg(F.map_from_entries(F.collect_list(F.struct("model_id", F.struct(*numbers)))).alias("models"))
+    sources = rows.groupBy("date", "source").agg(*sums).join(inside, ["date", "source"], "left")
+    sources = sources.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct(*numbers, "models")))).alias("sources"))
+    models = merged.groupBy("date", "model_id").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
+    models = models.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("model_id", F.struct("tokens", "cost")))).alias("models"))
+    return own.join(sources, "date", "left").join(models, "date", "left").orderBy("date")
 
 
 def model_breakdown(rows: DataFrame) -> DataFrame:
@@ -114,16 +192,32 @@ def user_totals(submissions: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(sums, "user_id")
 
 
+#: Users fall into buckets by the logarithm of their tokens, a few thousand whatever their number.
+def _bucket(total: str) -> Column:
+    return F.floor(F.log2(F.greatest(total, F.lit(1)).cast("double")) * 256).cast("int")
+
+
+def _before(window) -> Column:
+    return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def leaderboard(submissions: DataFrame, users: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
     """One page of users by tokens, ties by id, with their places.
 
-    Pages are cut by a top-k, and only the page's rows are numbered.
+    The page is found by counting users per bucket, from the highest on; only the users of the
+    buckets that it touches are ordered, each bucket by itself, so a late page costs no more than the
+    first.
     """
     page, limit = max(1, page), min(100, max(1, limit))
-    ordered = user_totals(submissions, users).orderBy(F.desc("total_tokens"), "user_id")
-    rows = ordered.offset((page - 1) * limit).limit(limit)
-    place = F.row_number().over(Window.orderBy(F.desc("total_tokens"), "user_id")) + (page - 1) * limit
-    return rows.withColumn("rank", place)
+    first = (page - 1) * limit
+    totals = user_totals(submissions, users).withColumn("bucket", _bucket("total_tokens"))
+    counts = totals.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = counts.withColumn("start", _before(Window.orderBy(F.desc("bucket"))))  # a few thousand rows
+    starts = starts.filter((F.col("start") < first + limit) & (F.col("start") + F.col("n") > first)).select("bucket", "start")
+    within = Window.partitionBy("bucket").orderBy(F.desc("total_tokens"), "user_id")
+    rows = totals.join(F.broadcast(starts), "bucket")
+    rows = rows.withColumn("rank", (F.col("start") + F.row_number().over(within)).cast("int"))
+    return rows.filter(F.col("rank").between(first + 1, first + limit)).drop("bucket", "start").orderBy("rank")
 
 
 def leaderboard_stats(submissions: DataFrame, limit: int = 50) -> DataFrame:
@@ -154,31 +248,60 @@ def ranks(submissions: DataFrame) -> DataFrame:
     totals above within each bucket by itself.
     """
     totals = submissions.groupBy("user_id").agg(F.sum("total_tokens").alias("total"))
-    bucket = F.floor(F.log2(F.greatest("total", F.lit(1)).cast("double")) * 256).cast("int")
-    counts = totals.groupBy("total").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
-    above = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = totals.groupBy("total").agg(F.count("*").alias("n")).withColumn("bucket", _bucket("total"))
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("n"))
-    starts = buckets.select("bucket", above(Window.orderBy(F.desc("bucket"))).alias("start"))
-    within = counts.withColumn("inside", above(Window.partitionBy("bucket").orderBy(F.desc("total"))))
+    starts = buckets.select("bucket", _before(Window.orderBy(F.desc("bucket"))).alias("start"))
+    within = counts.withColumn("inside", _before(Window.partitionBy("bucket").orderBy(F.desc("total"))))
     places = within.join(starts, "bucket").select("total", (F.col("start") + F.col("inside") + 1).alias("rank"))
     return totals.join(places, "total").select("user_id", "total", "rank")
 
 
+#: What a profile sums over a user's submissions.
+PROFILE_SUMS = ("total_tokens", "total_cost", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")
+
+
 def profile_stats(submissions: DataFrame, user_id) -> DataFrame:
+    """One row: the sums that ``submissions`` has, 0 without any, how often they were sent, first and last day."""
     own = submissions.filter(F.col("user_id") == user_id)
-    sums = ("total_tokens", "total_cost")
     return own.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in PROFILE_SUMS if c in submissions.columns],
         F.coalesce(F.max("submit_count"), F.lit(0)).alias("submission_count"),
         F.min("date_start").alias("earliest"),
         F.max("date_end").alias("latest"),
     )
 
 
-def recent_days(rows: DataFrame, user_id, as_of: str) -> DataFrame:
-    """A user's daily rows of the year before a day."""
+def latest_submission(submissions: DataFrame, user_id) -> DataFrame:
+    """sources_used, models_used, updated_at of a user's last submission, the highest id of equals."""
+    own = submissions.filter(F.col("user_id") == user_id)
+    last = F.max_by(F.struct("sources_used", "models_used", "updated_at"), F.struct("created_at", "id"))
+    return own.agg(last.alias("last")).filter("last is not null").select("last.*")
+
+
+def recent_days(days: DataFrame, submissions: DataFrame, user_id, as_of: str) -> DataFrame:
+    """The daily rows of a user's submissions of the year before a day.
+
+    ``days`` has submission_id and date; rows of no submission are left out.
+    """
     start = F.add_months(F.lit(as_of).cast("date"), -12)
-    return rows.filter((F.col("user_id") == user_id) & (F.col("date") >= start))
+    own = submissions.filter(F.col("user_id") == user_id).select(F.col("id").alias("submission_id"), "user_id")
+    return days.filter(F.col("date") >= start).join(own, "submission_id")
+
+
+def profile(submissions: DataFrame, days: DataFrame, user_id, as_of: str) -> dict[str, DataFrame]:
+    """A user's page: ``stats``, one row with rank and the latest submission's lists, ``days`` and ``models``.
+
+    Without a submission the rank and the lists are null. The days are of one user and one year, so
+    they are few; they are merged by date and have an intensity by cost.
+    """
+    own = recent_days(days, submissions, user_id, as_of)
+    stats = profile_stats(submissions, user_id).withColumn("user_id", F.lit(user_id))
+    known = submissions.filter(F.col("user_id") == user_id).limit(1).select(F.lit(user_id).alias("user_id"))
+    rank = known.join(user_rank(submissions, user_id).withColumn("user_id", F.lit(user_id)), "user_id")
+    last = latest_submission(submissions, user_id).withColumn("user_id", F.lit(user_id))
+    merged = with_intensity(profile_days(own), "strict")
+    models = models_of_maps(own.select("date", "source_breakdown")).withColumn("model_id", clean_model(F.col("model_id")))
+    return {"stats": stats.join(rank, "user_id", "left").join(last, "user_id", "left"), "days": merged, "models": profile_models(models)}
 
 
 def profile_models(rows: DataFrame, digits: int = 6) -> DataFrame:
@@ -221,6 +344,10 @@ def validate(meta: DataFrame, days: DataFrame, parts: DataFrame, years: DataFram
         return rows.select(key, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
 
     negative = (F.col("tokens") < 0) | (F.col("cost") < 0) | ~F.col("intensity").between(0, 4) | F.col("date").isNull()
+    below = F.lit(False)
+    for number in (*TOKENS, "cost", "messages"):
+        if number in parts.columns:
+            below = below | F.coalesce(F.col(number) < 0, F.lit(False))
     sums = days.groupBy(key).agg(
         F.sum("tokens").alias("tokens"),
         F.sum("cost").alias("cost"),
@@ -238,6 +365,7 @@ def validate(meta: DataFrame, days: DataFrame, parts: DataFrame, years: DataFram
     checks = [
         out(days.filter(negative), "V1", "error", F.col("date")),
         out(parts.filter(~F.col("source").isin(*SUBMITTABLE)), "V1", "error", F.col("source")),
+        out(parts.filter(below), "V1", "error", F.concat_ws(" ", "date", "source")),
         out(meta.filter(F.col("end") > today), "V2", "error", F.col("end")),
         out(days.filter(F.col("date") > today), "V2", "error", F.col("date")),
         out(against.filter((token_off > F.col("total_tokens") * 0.01) & (token_off > 100)), "V3", "error", F.col("tokens")),

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.functions.names import short_name
-from meterglass.schema import PRICE_COLUMNS
+from meterglass.schema import PRICE_COLUMNS, TOKENS
+from meterglass.session import cut_lineage
 
 #: The prefixes that are tried before a name.
 PREFIXES = ("", "anthropic/", "openai/", "google/", "bedrock/")
@@ -97,16 +98,64 @@ def small(table: DataFrame, limit: int = BROADCAST_MODELS) -> DataFrame:
     return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
 
 
+#: Sources that keep the cost that they state where the price list gives none.
+STATING = ("cursor", "amp")
+#: What a price may be paid for, in the order of PRICE_COLUMNS.
+PAID = ("input > 0", "output + reasoning > 0", "cache_read > 0", "cache_write > 0")
+
+
+def _prices_of(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    table = resolve_models(rows, prices).join(prices.dropDuplicates(["model_key"]), "model_key")
+    return rows.join(small(table.select("model_id", *PRICE_COLUMNS)), "model_id", "left")
+
+
+def _listed() -> Column:
+    """The cost by the price list; gemini's cache is free."""
+    free = F.col("source") == "gemini"
+    read, write = (F.when(free, 0).otherwise(F.col(c)) for c in PRICE_COLUMNS[2:])
+    return cost_of(F.col(PRICE_COLUMNS[0]), F.col(PRICE_COLUMNS[1]), read, write)
+
+
 def with_cost(messages: DataFrame, prices: DataFrame) -> DataFrame:
     """``messages`` with ``cost`` by each source's rule; models without a price cost 0.
 
     gemini's cache is free; cursor and amp keep the cost that they state where the price list gives
-    none; the others' own costs are replaced.
+    none; the others' own costs are replaced. Messages are read once more for their models' names:
+    reports take ``priced_usage``, which reads them once.
     """
-    table = resolve_models(messages, prices).join(prices.dropDuplicates(["model_key"]), "model_key")
-    priced = messages.join(small(table.select("model_id", *PRICE_COLUMNS)), "model_id", "left")
-    free = F.col("source") == "gemini"
-    read, write = (F.when(free, 0).otherwise(F.col(c)) for c in PRICE_COLUMNS[2:])
-    listed = cost_of(F.col(PRICE_COLUMNS[0]), F.col(PRICE_COLUMNS[1]), read, write)
-    own = F.when(F.col("source").isin("cursor", "amp") & ~(listed > 0), F.coalesce("cost", F.lit(0)))
-    return priced.withColumn("cost", F.coalesce(own, listed)).select(*messages.columns)
+    listed = _listed()
+    own = F.when(F.col("source").isin(*STATING) & ~(listed > 0), F.coalesce("cost", F.lit(0)))
+    return _prices_of(messages, prices).withColumn("cost", F.coalesce(own, listed)).select(*messages.columns)
+
+
+def usage_sums(messages: DataFrame) -> DataFrame:
+    """Sums per date, source, provider and model, with their number of messages, written out.
+
+    It is the one read of the messages that all reports need, and grows with days and models only.
+    ``kinds`` are bits of what is above 0 in a message of a source that states costs, as those
+    decide message by message which cost counts.
+    """
+    bits = sum((F.when(F.expr(paid), 1 << n).otherwise(0) for n, paid in enumerate(PAID)), F.lit(0))
+    kinds = F.when(F.col("source").isin(*STATING), bits).otherwise(0).alias("kinds")
+    sums = messages.groupBy("date", "source", "provider_id", "model_id", kinds).agg(
+        *[F.sum(t).alias(t) for t in TOKENS], F.count("*").alias("messages"), F.sum(F.coalesce("cost", F.lit(0))).alias("cost")
+    )
+    return cut_lineage(sums)
+
+
+def priced_sums(sums: DataFrame, prices: DataFrame) -> DataFrame:
+    """``usage_sums`` with ``cost`` as ``with_cost`` has it: a cost is linear in the tokens of a model.
+
+    Numbers of tokens and prices are not below 0.
+    """
+    charged = F.lit(False)
+    for n, price in enumerate(PRICE_COLUMNS):
+        charged = charged | ((F.col("kinds").bitwiseAND(F.lit(1 << n)) != 0) & F.coalesce(F.col(price) > 0, F.lit(False)))
+    own = F.when(F.col("source").isin(*STATING) & ~charged, F.col("cost"))
+    rows = _prices_of(sums, prices).withColumn("cost", F.coalesce(own, _listed()))
+    return rows.select("date", "source", "provider_id", "model_id", *TOKENS, "messages", "cost")
+
+
+def priced_usage(messages: DataFrame, prices: DataFrame) -> DataFrame:
+    """Priced sums of all messages, which every report takes in their place."""
+    return priced_sums(usage_sums(messages), prices)

@@ -1,7 +1,9 @@
 """The three reports and their summaries: by model, by month, by day.
 
-All of them sum with partial aggregation before the one shuffle by their key. ``cost`` may be of any
-numeric type; whole units (nano-dollars) sum exactly.
+All of them sum with partial aggregation before the one shuffle by their key. They take messages or,
+so that those are read once for all reports, ``pricing.priced_usage``, whose rows are sums already
+and say of how many ``messages``. ``cost`` may be of any numeric type; whole units (nano-dollars) sum
+exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ def total_tokens() -> Column:
     return sum((F.col(t) for t in TOKENS[1:]), F.col(TOKENS[0]))
 
 
-def _sums(tokens=TOKENS) -> list[Column]:
-    return [*[F.sum(t).alias(t) for t in tokens], F.count("*").alias("messages"), F.sum("cost").alias("cost")]
+def n_messages(rows: DataFrame) -> Column:
+    return (F.sum("messages") if "messages" in rows.columns else F.count("*")).alias("messages")
+
+
+def _sums(rows: DataFrame, tokens=TOKENS) -> list[Column]:
+    return [*[F.sum(t).alias(t) for t in tokens], n_messages(rows), F.sum("cost").alias("cost")]
 
 
 def by_cost() -> list[Column]:
@@ -29,7 +35,7 @@ def by_cost() -> list[Column]:
 def model_report(messages: DataFrame) -> DataFrame:
     """Sums per source, provider and model, the costliest first."""
     keys = ["source", "provider_id", "model_id"]
-    return messages.groupBy(*keys).agg(*_sums()).orderBy(*by_cost(), *keys)
+    return messages.groupBy(*keys).agg(*_sums(messages)).orderBy(*by_cost(), *keys)
 
 
 def model_totals(report: DataFrame) -> DataFrame:
@@ -41,18 +47,18 @@ def monthly_report(messages: DataFrame) -> DataFrame:
     """Sums per month with its distinct models in order; rows without a date are left out."""
     month = F.date_format("date", "yyyy-MM").alias("month")
     rows = messages.filter("date is not null").groupBy(month)
-    return rows.agg(F.array_sort(F.collect_set("model_id")).alias("models"), *_sums(TOKENS[:4])).orderBy("month")
+    return rows.agg(F.array_sort(F.collect_set("model_id")).alias("models"), *_sums(messages, TOKENS[:4])).orderBy("month")
 
 
 def monthly_with_total(messages: DataFrame) -> DataFrame:
     """The months' sums and, with a null month, their total."""
     rows = messages.filter("date is not null").withColumn("month", F.date_format("date", "yyyy-MM"))
-    return rows.rollup("month").agg(*_sums(TOKENS[:4]))
+    return rows.rollup("month").agg(*_sums(messages, TOKENS[:4]))
 
 
 def daily(messages: DataFrame, saturate: bool = False) -> DataFrame:
     """Sums per day; saturating ones stay at the largest bigint instead of failing."""
-    sums = _sums()
+    sums = _sums(messages)
     if saturate:
         top = F.lit(2**63 - 1).cast("decimal(38,0)")
         wide = lambda t: F.least(F.sum(F.col(t).cast("decimal(28,0)")).cast("decimal(38,0)"), top)
@@ -63,13 +69,14 @@ def daily(messages: DataFrame, saturate: bool = False) -> DataFrame:
 def daily_sources(messages: DataFrame) -> DataFrame:
     """Sums per day, source and model; the provider is the first by name."""
     keys = ["date", "source", "model_id"]
-    return messages.groupBy(*keys).agg(F.min("provider_id").alias("provider_id"), *_sums())
+    return messages.groupBy(*keys).agg(F.min("provider_id").alias("provider_id"), *_sums(messages))
 
 
-def daily_contributions(messages: DataFrame, intensity: str = "at_least") -> DataFrame:
+def daily_contributions(messages: DataFrame, intensity: str = "at_least", order: str = "name") -> DataFrame:
     """One row per day: totals, intensity, token breakdown and the sources as an array of structs.
 
     The day's parts are its sources and models, so a day's array is bounded by those, not by messages.
+    They are in the order of their names or, ``order`` being cost, the costliest first.
     """
     parts = daily_sources(messages)
     breakdown = F.struct(*TOKENS).alias("tokens")
@@ -79,11 +86,26 @@ def daily_contributions(messages: DataFrame, intensity: str = "at_least") -> Dat
         F.sum("cost").alias("cost"),
         F.sum("messages").alias("messages"),
         F.struct(*[F.sum(t).alias(t) for t in TOKENS]).alias("token_breakdown"),
-        F.array_sort(F.collect_list(source)).alias("sources"),
+        _ordered(F.collect_list(source), order).alias("sources"),
     )
     return with_intensity(days, intensity).orderBy("date")
 
 
+def _ordered(parts: Column, order: str) -> Column:
+    if order == "name":
+        return F.array_sort(parts)
+    # NaN costs come last, as everywhere.
+    rank = lambda s: F.struct(F.isnan(s["cost"].cast("double")).alias("nan"), (-s["cost"]).alias("cost"), s.alias("part"))
+    return F.transform(F.array_sort(F.transform(parts, rank)), lambda x: x["part"])
+
+
+def sorted_by(report: DataFrame, by: str = "cost", name: str = "model_id", descending: bool = True) -> DataFrame:
+    """A report by cost, by all tokens of a row or by name; equals by name."""
+    tokens = F.col("tokens") if "tokens" in report.columns else total_tokens()
+    key = {"cost": F.col("cost"), "tokens": tokens, "name": F.col(name)}[by]
+    return report.orderBy(key.desc() if descending else key.asc(), name)
+
+
 def with_intensity(days: DataFrame, rule: str = "at_least", measure: str = "cost") -> DataFrame:
     """``intensity`` 0 to 4 against the largest day.
 
@@ -136,7 +158,7 @@ def years(days: DataFrame) -> DataFrame:
 def day_totals(messages: DataFrame) -> DataFrame:
     """date, tokens (all kinds), cost, messages."""
     return messages.groupBy("date").agg(
-        F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("messages")
+        F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"), n_messages(messages)
     )
 
 
@@ -145,3 +167,39 @@ def share_of(rows: DataFrame, measure: str = "cost", digits: int = 6) -> DataFra
     total = rows.agg(F.sum(measure)).scalar()
     percent = F.col(measure).cast("double") * 100 / F.when(total == 0, 1).otherwise(total)
     return rows.withColumn("percent", F.round(percent, digits))
+
+
+def year_card(days: DataFrame, year: int) -> DataFrame:
+    """One row: the largest and all cost, tokens and active days of a year, the first and last active day as MM/dd."""
+    own = days.filter(F.year("date") == year)
+    active = F.when(F.col("cost") > 0, F.col("date"))
+    return own.agg(
+        F.greatest(F.coalesce(F.max("cost"), F.lit(0)), F.lit(0)).alias("max_cost"),
+        F.coalesce(F.sum("cost"), F.lit(0)).alias("total_cost"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
+        F.count(active).alias("active_days"),
+        F.coalesce(F.date_format(F.min(active), "MM/dd"), F.lit("")).alias("range_start"),
+        F.coalesce(F.date_format(F.max(active), "MM/dd"), F.lit("")).alias("range_end"),
+    )
+
+
+def filtered_summary(parts: DataFrame, sources: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """The summary over the days of some sources or models; totals are of days with a cost above 0 only."""
+    own = parts
+    for name, wanted in (("source", sources), ("model_id", models)):
+        own = own if wanted is None else own.filter(F.col(name).isin(wanted))
+    one = summary(day_totals(own).withColumn("tokens", F.when(F.col("cost") > 0, F.col("tokens")).otherwise(0)), own)
+    paid = day_totals(own).agg(F.coalesce(F.sum(F.when(F.col("cost") > 0, F.col("cost"))), F.lit(0))).scalar()
+    average = F.when(F.col("active_days") > 0, F.col("total_cost") / F.col("active_days")).otherwise(0).cast("double")
+    return one.withColumn("total_cost", paid).withColumn("average_per_day", average)
+
+
+def cost_to_you(you: Column, api: Column) -> Column:
+    """What was paid, where that is stated and not 0, else what it would cost."""
+    return F.coalesce(F.nullif(you, F.lit(0).cast("double")), api, F.lit(0.0))
+
+
+def cursor_by_model(messages: DataFrame) -> DataFrame:
+    """Sums per model of cursor's messages, the costliest first."""
+    own = messages.filter("source = 'cursor'")
+    return own.groupBy("model_id").agg(F.min("provider_id").alias("provider_id"), *_sums(own)).orderBy(*by_cost(), "model_id")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterglass.functions.names import SHORT_NAMES
 from meterglass.functions.values import millis_of_wall_time
+from meterglass.operators.pricing import HELD, HOLDS, PREFIXES
 from meterglass.schema import SOURCES, TOKENS
 
 #: Model names as tools write them; some are short, one is unknown to the price list.
@@ -42,9 +44,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PRICE_KINDS = "price_input", "price_output", "price_cache_read", "price_cache_write"
+
+
 def prices(spark: SparkSession) -> DataFrame:
-    kinds = "price_input bigint, price_output bigint, price_cache_read bigint, price_cache_write bigint"
-    return spark.createDataFrame(list(PRICES), f"model_key string, {kinds}")
+    rows = ", ".join(f"('{k}', {', '.join(f'{x}L' for x in numbers)})" for k, *numbers in PRICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model_key, {', '.join(PRICE_KINDS)})")
+
+
+#: Models and price keys made of the names of parts, so that every tier is met: some keys stand for themselves, some
+#: behind a prefix, some hold a name or are held by one between or inside words.
+PART_MODELS = """SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN 'x/' || replace(p_name, ' ', '_') || '-v2'
+  WHEN 2 THEN split_part(p_name, ' ', 2) || p_partkey % 3 ELSE upper(replace(p_name, ' ', '.')) END AS model_id FROM part
+  UNION SELECT DISTINCT split_part(p_name, ' ', 1) || '-claude-' || CASE p_size % 3 WHEN 0 THEN 'opus-4.5' WHEN 1 THEN 'sonnet-3-7' ELSE 'haiku-4-5' END FROM part"""
+PART_KEYS = """SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN 'openai/' || replace(p_name, ' ', '-')
+  WHEN 2 THEN 'azure/' || replace(p_name, ' ', '-') || '-large' WHEN 3 THEN split_part(p_name, ' ', 2) ELSE 'y' || split_part(p_name, ' ', 2) || '/' || replace(p_name, ' ', '_') END AS model_key
+  FROM part UNION SELECT DISTINCT 'anthropic/' || CASE p_size % 2 WHEN 0 THEN 'opus-4-5' ELSE 'claude-sonnet-3-7' END FROM part"""
 
 
 def _pick(values, at):
@@ -77,6 +92,30 @@ def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+def resolver_sql(models: str, keys: str) -> str:
+    """The price list's answers as a common table expression: every name is tried against every key."""
+    lower = "lower(model_id)"
+    short = " ".join(
+        f"WHEN regexp_matches({lower}, '{family.removesuffix('.*')}')" + (f" AND regexp_matches({lower}, '{version}')" if version else "") + f" THEN '{name}'"
+        for family, version, name in SHORT_NAMES
+    )
+    prefixes = ", ".join(f"({n}, '{p}')" for n, p in enumerate(PREFIXES))
+
+    def holds(hay: str, needle: str) -> str:
+        at, edge = f"instr({hay}, {needle})", r"'^[\pL\pN]$'"
+        before = f"({at} = 1 OR NOT regexp_matches(substr({hay}, {at} - 1, 1), {edge}))"
+        return f"{at} > 0 AND {before} AND NOT regexp_matches(substr({hay}, {at} + length({needle}), 1), {edge})"
+
+    return f"""resolved AS (SELECT model_id, best.tier AS tier, best.model_key AS model_key FROM (
+  SELECT model_id, min(struct_pack(tier, model_key)) AS best FROM (
+    WITH n AS (SELECT model_id, CASE {short} END AS short FROM ({models})), k AS (SELECT DISTINCT model_key FROM ({keys})),
+    form AS (SELECT model_id, lower(model_id) AS f FROM n UNION SELECT model_id, lower(short) FROM n WHERE short IS NOT NULL)
+    SELECT model_id, p.i AS tier, model_key FROM n, (VALUES {prefixes}) p(i, prefix), k WHERE model_key = prefix || model_id
+    UNION ALL SELECT model_id, {len(PREFIXES)} + p.i, model_key FROM n, (VALUES {prefixes}) p(i, prefix), k WHERE model_key = prefix || short
+    UNION ALL SELECT model_id, {HOLDS}, model_key FROM form, k WHERE {holds("lower(model_key)", "f")}
+    UNION ALL SELECT model_id, {HELD}, model_key FROM form, k WHERE {holds("f", "lower(model_key)")}) GROUP BY model_id))"""
+
+
 #: Common table expressions; a query's SQL starts with those that it names.
 SQL = {
     "usage": f"""usage AS (
@@ -90,11 +129,7 @@ SQL = {
     "prices": "prices(model_key, p_in, p_out, p_read, p_write) AS (VALUES "
     + ", ".join(f"('{k}', {a}, {b}, {c}, {d})" for k, a, b, c, d in PRICES)
     + ")",
-    # What the resolver finds, stated model by model.
-    "resolved": """resolved(model_id, tier, model_key) AS (VALUES
-  ('claude-3-5-sonnet-20241022', 1, 'anthropic/claude-3-5-sonnet-20241022'), ('gpt-4o', 2, 'openai/gpt-4o'),
-  ('gemini-2.5-pro', 0, 'gemini-2.5-pro'), ('claude-4.5-opus-high-thinking', 10, 'claude-opus-4-5'), ('o3', 0, 'o3'),
-  ('Sonnet 4.5', 10, 'claude-sonnet-4-5'), ('gpt-5-codex', 11, 'gpt-5'))""",
+    "resolved": resolver_sql("SELECT DISTINCT model_id FROM usage", "SELECT model_key FROM prices"),
     "costed": """costed AS (
   SELECT u.* EXCLUDE (own_cost), CASE WHEN source IN ('cursor', 'amp') AND listed <= 0 THEN own_cost ELSE listed END AS cost
   FROM (SELECT u.*, coalesce(input * p_in + (output + reasoning) * p_out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterglass.functions import names, values
 from meterglass.operators import community, filters, metrics, pricing, reports
-from meterglass.plans.adapter import AS_OF, COSTED, prices, sql_sums, table, usage, with_sql
+from meterglass.plans.adapter import AS_OF, COSTED, PART_KEYS, PART_MODELS, prices, resolver_sql, sql_sums, table, usage, with_sql
 from meterglass.schema import TOKENS
 from meterglass.sources import sessions
 
@@ -34,6 +34,11 @@ def query(sql: str | None = None):
 
 
 def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priced sums, for which events are read once; reports take them in place of messages."""
+    return pricing.priced_usage(usage(spark, sf_dir), prices(spark))
+
+
+def costed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.with_cost(usage(spark, sf_dir), prices(spark))
 
 
@@ -53,15 +58,79 @@ def usage_daily_sources(spark, sf_dir):
 
 @query(with_sql(*COSTED, body=f"SELECT date, {SUMS}, count(*) AS messages, {COST} FROM costed GROUP BY date"))
 def daily_saturating(spark, sf_dir):
-    return reports.daily(costed(spark, sf_dir), saturate=True)
+    return reports.daily(costed_messages(spark, sf_dir), saturate=True)
+
+
+ALL_SUMS = " || ':' || ".join([*TOKENS, "cost", "messages"])
+DAY_PARTS = f"""SELECT date, source, model_id, min(provider_id) AS provider_id, {SUMS}, count(*) AS messages, {COST} FROM costed GROUP BY date, source, model_id"""
+
+
+def _contributions_sql(order: str) -> str:
+    return with_sql(*COSTED, body=f""", p AS ({DAY_PARTS}), d AS (SELECT date, {", ".join(f"CAST(sum({t}) AS BIGINT) AS {t}" for t in TOKENS)},
+CAST(sum({" + ".join(TOKENS)}) AS BIGINT) AS tokens, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(messages) AS BIGINT) AS messages,
+string_agg(source || ':' || model_id || ':' || provider_id || ':' || {ALL_SUMS}, ',' ORDER BY {order}) AS parts FROM p GROUP BY date)
+SELECT *, CAST(CASE WHEN cost <= 0 THEN 0 WHEN 4 * cost >= 3 * m THEN 4 WHEN 4 * cost >= 2 * m THEN 3 WHEN 4 * cost >= m THEN 2 ELSE 1 END AS INTEGER) AS intensity
+FROM (SELECT *, max(cost) OVER () AS m FROM d)""").replace("SELECT *, CAST(CASE WHEN cost", "SELECT * EXCLUDE (m), CAST(CASE WHEN cost")
 
 
-@query(with_sql(*COSTED, body="""SELECT date, CAST(sum(cost) AS BIGINT) AS cost, string_agg(DISTINCT source || ':' || model_id, ',' ORDER BY source || ':' || model_id) AS parts
-FROM costed GROUP BY date"""))
+def _flat_days(days):
+    """All of a day's fields, its sources as one text in their order."""
+    numbers = lambda s: [*[s["tokens"][t] for t in TOKENS], s["cost"], s["messages"]]
+    part = lambda s: F.concat_ws(":", s["source"], s["model_id"], s["provider_id"], *[x.cast("string") for x in numbers(s)])
+    return days.select(
+        "date", *[F.col(f"token_breakdown.{t}").alias(t) for t in TOKENS], "tokens", "cost", "messages", "intensity", F.array_join(F.transform("sources", part), ",").alias("parts")
+    )
+
+
+@query(_contributions_sql("source, model_id"))
 def daily_contributions(spark, sf_dir):
-    days = reports.daily_contributions(costed(spark, sf_dir))
-    parts = F.array_sort(F.transform("sources", lambda s: F.concat(s["source"], F.lit(":"), s["model_id"])))
-    return days.select("date", "cost", F.array_join(parts, ",").alias("parts"))
+    return _flat_days(reports.daily_contributions(costed(spark, sf_dir)))
+
+
+@query(_contributions_sql("cost DESC, source, model_id"))
+def daily_contributions_by_cost(spark, sf_dir):
+    return _flat_days(reports.daily_contributions(costed(spark, sf_dir), order="cost"))
+
+
+@query(with_sql(*COSTED, body=f"""SELECT source, provider_id, model_id, {SUMS}, count(*) AS messages, {COST} FROM costed GROUP BY source, provider_id, model_id
+ORDER BY sum({" + ".join(TOKENS)}) DESC, model_id LIMIT 10"""))
+def models_by_tokens(spark, sf_dir):
+    """The first ten of the report in an order that a viewer asks for."""
+    return reports.sorted_by(reports.model_report(costed(spark, sf_dir)), "tokens").limit(10)
+
+
+@query(with_sql(*COSTED, "day_totals", body="""SELECT CAST(max(cost) AS BIGINT) AS max_cost, CAST(sum(cost) AS BIGINT) AS total_cost, CAST(sum(tokens) AS BIGINT) AS total_tokens,
+count(*) FILTER (cost > 0) AS active_days, strftime(min(date) FILTER (cost > 0), '%m/%d') AS range_start, strftime(max(date) FILTER (cost > 0), '%m/%d') AS range_end
+FROM day_totals WHERE year(date) = 2024"""))
+def year_card(spark, sf_dir):
+    return reports.year_card(reports.day_totals(costed(spark, sf_dir)), 2024)
+
+
+@query(with_sql(*COSTED, body="""WHERE_IS, d AS (SELECT date, sum(input + output + cache_read + cache_write + reasoning) AS tokens, sum(cost) AS cost FROM own GROUP BY date)
+SELECT CAST(sum(tokens) FILTER (cost > 0) AS BIGINT) AS total_tokens, CAST(sum(cost) FILTER (cost > 0) AS BIGINT) AS total_cost, count(*) AS total_days,
+count(*) FILTER (cost > 0) AS active_days, round(sum(cost) FILTER (cost > 0) / CAST(count(*) FILTER (cost > 0) AS DOUBLE), 3) AS average_per_day,
+CAST(max(cost) AS BIGINT) AS max_cost_in_single_day, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM own) AS sources,
+(SELECT string_agg(DISTINCT model_id, ',' ORDER BY model_id) FROM own) AS models FROM d""".replace("WHERE_IS", ", own AS (SELECT * FROM costed WHERE source IN ('amp', 'codex') AND model_id IN ('o3', 'mystery-model'))")))
+def filtered_summary(spark, sf_dir):
+    one = reports.filtered_summary(costed(spark, sf_dir), ["amp", "codex"], ["o3", "mystery-model"])
+    one = one.withColumns({c: F.array_join(c, ",") for c in ("sources", "models")})
+    return one.withColumn("average_per_day", F.round("average_per_day", 3))
+
+
+@query("""SELECT 'm' || (k % 5) AS model_id, 'cursor' AS provider_id, CAST(sum(k) AS BIGINT) AS input, CAST(sum(0) AS BIGINT) AS output, CAST(sum(0) AS BIGINT) AS cache_read,
+CAST(sum(0) AS BIGINT) AS cache_write, CAST(sum(0) AS BIGINT) AS reasoning, count(*) AS messages, CAST(sum(CASE WHEN k % 2 = 0 THEN k ELSE 2 * k END) AS BIGINT) AS cost
+FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1, 2""")
+def cursor_by_model(spark, sf_dir):
+    """Half of the rows state what was paid, the others only what they would cost."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    you = F.when(k % 2 == 0, F.concat(F.lit("$"), k.cast("string"))).otherwise("$0.00")
+    cost = reports.cost_to_you(values.money(you), values.money(F.concat(F.lit("$"), (2 * k).cast("string"))))
+    model = F.concat(F.lit("m"), (k % 5).cast("string"))
+    zero = {t: F.lit(0).cast("bigint") for t in TOKENS[1:]}
+    rows = table(spark, sf_dir, "events").select(
+        F.lit("cursor").alias("source"), model.alias("model_id"), names.provider_of(model, "cursor").alias("provider_id"), k.alias("input"), cost.cast("bigint").alias("cost")
+    )
+    return reports.cursor_by_model(rows.withColumns(zero))
 
 
 @query(with_sql(*COSTED, body=f"SELECT source, provider_id, model_id, {SUMS}, count(*) AS messages, {COST} FROM costed GROUP BY source, provider_id, model_id"))
@@ -155,12 +224,12 @@ def _as_of():
 # Prices and names
 
 
-@query(with_sql("resolved", body="SELECT model_id, CAST(tier AS INTEGER) AS tier, model_key FROM resolved"))
+@query(with_sql("usage", "prices", "resolved", body="SELECT model_id, CAST(tier AS INTEGER) AS tier, model_key FROM resolved"))
 def pricing_resolution(spark, sf_dir):
     return pricing.resolve_models(usage(spark, sf_dir), prices(spark))
 
 
-@query(with_sql("usage", "resolved", body="SELECT model_id, count(*) AS messages FROM usage ANTI JOIN resolved USING (model_id) GROUP BY model_id"))
+@query(with_sql("usage", "prices", "resolved", body="SELECT model_id, count(*) AS messages FROM usage ANTI JOIN resolved USING (model_id) GROUP BY model_id"))
 def unpriced_models(spark, sf_dir):
     rows = usage(spark, sf_dir)
     found = pricing.resolve_models(rows, prices(spark)).select("model_id")
@@ -169,7 +238,27 @@ def unpriced_models(spark, sf_dir):
 
 @query(with_sql(*COSTED, body=f"SELECT source, {COST}, count(*) FILTER (cost = 0) AS free FROM costed GROUP BY source"))
 def cost_by_source_policy(spark, sf_dir):
-    return costed(spark, sf_dir).groupBy("source").agg(F.sum("cost").alias("cost"), F.count_if(F.col("cost") == 0).alias("free"))
+    return costed_messages(spark, sf_dir).groupBy("source").agg(F.sum("cost").alias("cost"), F.count_if(F.col("cost") == 0).alias("free"))
+
+
+@query(f"WITH {resolver_sql(PART_MODELS, PART_KEYS)} SELECT model_id, CAST(tier AS INTEGER) AS tier, model_key FROM resolved")
+def pricing_resolution_parts(spark, sf_dir):
+    """Some hundred names and keys over all tiers."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return pricing.resolve_models(spark.sql(PART_MODELS), spark.sql(PART_KEYS))
+
+
+@query("""SELECT o_orderkey, format('{:,}', o_orderkey * 1234) AS whole, printf('$%.2f', o_totalprice) AS price,
+CASE WHEN o_totalprice >= 1000 THEN printf('$%.2fK', o_totalprice / 1000) ELSE printf('$%.2f', o_totalprice) END AS short,
+strftime(o_orderdate, '%b %-d, %Y') AS day, strftime(o_orderdate, '%B %-d, %Y') AS long_day, strftime(o_orderdate, '%A') AS weekday,
+abs(CAST(o_orderdate AS DATE) - DATE '1998-01-01') AS days FROM orders""")
+def number_and_date_formats(spark, sf_dir):
+    price, day = F.col("o_totalprice"), F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", values.thousands(F.col("o_orderkey") * 1234).alias("whole"), values.currency(price).alias("price"), values.currency(price, kilo=True).alias("short"),
+        values.day_label(day).alias("day"), values.day_label(day, full=True).alias("long_day"), values.weekday_label(day).alias("weekday"),
+        values.days_between(F.lit("1998-01-01").cast("date"), day.cast("date")).cast("bigint").alias("days"),
+    )
 
 
 def _like(rules: str) -> str:
@@ -393,15 +482,18 @@ def best_day(spark, sf_dir):
     return metrics.best_day(reports.day_totals(costed(spark, sf_dir)))
 
 
-@query(with_sql(*COSTED, body=f"SELECT date, source, {COST}, count(DISTINCT model_id) AS n_models FROM costed GROUP BY date, source"))
+@query(with_sql(*COSTED, body=f""", p AS ({DAY_PARTS}) SELECT date, source, {COST}, count(DISTINCT model_id) AS n_models,
+string_agg(model_id, ',' ORDER BY input + output + cache_read + cache_write DESC, model_id) AS models FROM p GROUP BY date, source"""))
 def day_panel(spark, sf_dir):
-    return metrics.day_panel(reports.daily_sources(costed(spark, sf_dir))).drop("models")
+    return metrics.day_panel(reports.daily_sources(costed(spark, sf_dir))).withColumn("models", F.array_join("models", ","))
 
 
 # Community
 
 SUBMISSIONS = """submissions AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(round(o_totalprice) AS BIGINT) AS total_tokens, CAST(CAST(round(o_totalprice) AS BIGINT) AS DECIMAL(12, 4)) AS total_cost,
-  o_orderkey % 3 + 1 AS submit_count, o_orderdate AS created_at, CAST(o_orderdate AS DATE) AS date_start, CAST(o_orderdate AS DATE) + 30 AS date_end FROM orders)"""
+  o_orderkey % 3 + 1 AS submit_count, o_orderdate AS created_at, CAST(o_orderdate AS DATE) AS date_start, CAST(o_orderdate AS DATE) + 30 AS date_end,
+  CAST(round(o_totalprice) AS BIGINT) // 2 AS input_tokens, CAST(round(o_totalprice) AS BIGINT) // 4 AS output_tokens, CAST(round(o_totalprice) AS BIGINT) // 8 AS cache_read_tokens,
+  o_orderkey % 89 AS cache_creation_tokens, o_orderkey % 11 AS reasoning_tokens, 's' || (o_orderkey % 3) AS sources_used, 'm' || (o_orderkey % 7) AS models_used, o_orderdate AS updated_at FROM orders)"""
 
 
 def submissions(spark, sf_dir):
@@ -410,6 +502,10 @@ def submissions(spark, sf_dir):
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.round("o_totalprice").cast("bigint").alias("total_tokens"),
         F.round("o_totalprice").cast("bigint").cast("decimal(12,4)").alias("total_cost"), (F.col("o_orderkey") % 3 + 1).alias("submit_count"),
         F.col("o_orderdate").alias("created_at"), day.alias("date_start"), F.date_add(day, 30).alias("date_end"),
+        F.expr("cast(round(o_totalprice) as bigint) div 2").alias("input_tokens"), F.expr("cast(round(o_totalprice) as bigint) div 4").alias("output_tokens"),
+        F.expr("cast(round(o_totalprice) as bigint) div 8").alias("cache_read_tokens"), (F.col("o_orderkey") % 89).alias("cache_creation_tokens"),
+        (F.col("o_orderkey") % 11).alias("reasoning_tokens"), F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("sources_used"),
+        F.concat(F.lit("m"), (F.col("o_orderkey") % 7).cast("string")).alias("models_used"), F.col("o_orderdate").alias("updated_at"),
     )
 
 
@@ -447,12 +543,20 @@ def profile_rank(spark, sf_dir):
     return community.user_rank(submissions(spark, sf_dir), 7)
 
 
-@query(f"""WITH {SUBMISSIONS} SELECT CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, CAST(coalesce(sum(total_cost), 0) AS DOUBLE) AS total_cost,
-CAST(max(submit_count) AS BIGINT) AS submission_count, min(date_start) AS earliest, max(date_end) AS latest FROM submissions WHERE user_id = 7""")
+PROFILE_SQL = ", ".join(f"CAST(coalesce(sum({c}), 0) AS {'DOUBLE' if c == 'total_cost' else 'BIGINT'}) AS {c}" for c in community.PROFILE_SUMS)
+PROFILE_SQL += ", CAST(max(submit_count) AS BIGINT) AS submission_count, min(date_start) AS earliest, max(date_end) AS latest"
+
+
+@query(f"WITH {SUBMISSIONS} SELECT {PROFILE_SQL} FROM submissions WHERE user_id = 7")
 def profile_stats(spark, sf_dir):
     return _plain(community.profile_stats(submissions(spark, sf_dir), 7))
 
 
+@query(f"WITH {SUBMISSIONS} SELECT sources_used, models_used, updated_at FROM submissions WHERE user_id = 7 ORDER BY created_at DESC, id DESC LIMIT 1")
+def latest_submission(spark, sf_dir):
+    return community.latest_submission(submissions(spark, sf_dir), 7)
+
+
 PARTS = """parts AS (SELECT l_orderkey % 50 AS user_id, CAST(l_shipdate AS DATE) AS date, CASE l_suppkey % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' WHEN 2 THEN 'cursor' ELSE 'gemini' END AS source,
   CASE WHEN l_partkey % 17 = 0 THEN '<synthetic>' ELSE 'm' || (l_partkey % 5) END AS model_id, CAST(l_quantity AS BIGINT) AS tokens, CAST(round(l_extendedprice * 100) AS BIGINT) AS cost,
   CAST(l_quantity AS BIGINT) AS input, 0 AS output, l_orderkey, l_suppkey FROM lineitem)"""
@@ -501,10 +605,79 @@ def model_breakdown(spark, sf_dir):
     return community.model_breakdown(parts(spark, sf_dir))
 
 
-@query(f"WITH {PARTS} SELECT user_id, date, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM parts GROUP BY user_id, date")
+KEPT = ("tokens", "cost", "input", "output", "messages")
+MODELS_OF = "SELECT user_id, date, source, model_id, " + ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in KEPT[:4]) + ", count(*) AS messages FROM parts GROUP BY ALL"
+ENTRY = " || ':' || ".join(KEPT)
+SUMMED = ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in KEPT)
+
+
+def _maps_sql(where: str, keys: str) -> str:
+    """A map's entries as a text: each source with its sums and, in brackets, its models with theirs."""
+    return f"""WITH {PARTS}, m AS ({MODELS_OF}), own AS (SELECT * FROM m WHERE {where}), x AS (SELECT {keys}, source, model_id, {SUMMED} FROM own GROUP BY ALL),
+s AS (SELECT {keys}, source, {SUMMED}, string_agg(model_id || ':' || {ENTRY}, ',' ORDER BY model_id) AS models FROM x GROUP BY {keys}, source),
+flat AS (SELECT {keys}, string_agg(source || ':' || {ENTRY} || '[' || models || ']', ';' ORDER BY source) AS sources FROM s GROUP BY {keys})"""
+
+
+def _flat_map(entries):
+    """The same of a map column."""
+    numbers = lambda v: [v[n].cast("string") for n in KEPT]
+    model = lambda e: F.concat_ws(":", e["key"], *numbers(e["value"]))
+    models = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), model)), ",")
+    source = lambda e: F.concat(F.concat_ws(":", e["key"], *numbers(e["value"])), F.lit("["), models(e["value"]["models"]), F.lit("]"))
+    return F.array_join(F.array_sort(F.transform(F.map_entries(entries), source)), ";")
+
+
+@query(_maps_sql("true", "user_id, date") + " SELECT * FROM flat")
 def incoming_source_map(spark, sf_dir):
     rows = community.source_map(parts(spark, sf_dir))
-    return rows.select("user_id", "date", F.array_join(F.map_keys("source_breakdown"), ",").alias("sources"))
+    return rows.select("user_id", "date", _flat_map("source_breakdown").alias("sources"))
+
+
+@query(f"WITH {PARTS} SELECT user_id, date, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, count(*) AS messages FROM parts GROUP BY user_id, date")
+def day_totals_of_maps(spark, sf_dir):
+    return community.day_totals_of_maps(community.source_map(parts(spark, sf_dir))).drop("source_breakdown")
+
+
+@query(f"WITH {PARTS} SELECT user_id, date, model_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM parts GROUP BY user_id, date, model_id")
+def model_tokens_of_maps(spark, sf_dir):
+    return community.model_tokens_of_maps(community.source_map(parts(spark, sf_dir)))
+
+
+@query(f"""WITH {PARTS} SELECT user_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used, string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS models_used,
+CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, count(*) AS messages FROM parts GROUP BY user_id""")
+def used_in_maps(spark, sf_dir):
+    found = community.used_in_maps(community.source_map(parts(spark, sf_dir)))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sources_used", "models_used")})
+
+
+def _stored_days(spark, sf_dir):
+    """Days with their map, each map being one of two submissions of a user."""
+    rows = parts(spark, sf_dir).withColumn("user_id", F.col("l_orderkey") % 100)
+    days = community.day_totals_of_maps(community.source_map(rows))
+    return days.withColumnRenamed("user_id", "submission_id")
+
+
+@query(_maps_sql("user_id = 7", "date") + """, d AS (SELECT date, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM own GROUP BY date),
+mm AS (SELECT date, string_agg(model_id || ':' || tokens || ':' || cost, ',' ORDER BY model_id) AS models FROM (SELECT date, model_id, sum(tokens) AS tokens, sum(cost) AS cost FROM own GROUP BY date, model_id) GROUP BY date)
+SELECT * FROM d JOIN flat USING (date) JOIN mm USING (date) WHERE date >= DATE '1999-01-01'""")
+def profile_days(spark, sf_dir):
+    """The days of two submissions of user 7, merged by date."""
+    key = F.col("submission_id")
+    days = _stored_days(spark, sf_dir)
+    owners = days.select("submission_id").distinct().select(key.alias("id"), (key % 50).alias("user_id"))
+    merged = community.profile_days(community.recent_days(days, owners, 7, "2000-01-01"))
+    model = lambda e: F.concat_ws(":", e["key"], e["value"]["tokens"].cast("string"), e["value"]["cost"].cast("string"))
+    models = F.array_join(F.array_sort(F.transform(F.map_entries("models"), model)), ",")
+    return merged.withColumns({"sources": _flat_map("sources"), "models": models})
+
+
+@query(f"""WITH {PARTS}, {SUBMISSIONS}, o AS (SELECT id, user_id, total_tokens FROM submissions WHERE id < 100), s AS (SELECT l_orderkey % 100 AS id, CAST(sum(tokens) AS BIGINT) AS fixed FROM parts WHERE l_orderkey % 100 <> 13 GROUP BY 1)
+SELECT id AS user_id, coalesce(fixed, total_tokens) AS total_tokens FROM o LEFT JOIN s USING (id)""")
+def recalculated_totals(spark, sf_dir):
+    """A data fix: totals from the rows below, the old one where there are none."""
+    totals = submissions(spark, sf_dir).filter("id < 100").select(F.col("id").alias("user_id"), "total_tokens")
+    rows = parts(spark, sf_dir).withColumn("user_id", F.col("l_orderkey") % 100).filter("user_id <> 13")
+    return community.recalculated(totals, rows)
 
 
 @query(f"""WITH {PARTS} SELECT user_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used, string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS models_used FROM parts GROUP BY user_id""")

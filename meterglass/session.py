@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -10,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -27,3 +32,34 @@ def session(app: str = "meterglass", master: str | None = None, **settings: str)
         if master.startswith("local"):
             builder = builder.config("spark.sql.shuffle.partitions", settings.get("spark.sql.shuffle.partitions", "8"))
     return builder.getOrCreate()
+
+
+def set_checkpoint_folder(spark: SparkSession) -> None:
+    """Use the folder that the session names in spark.checkpoint.dir.
+
+    Where it names none, a single machine uses a temporary one; a cluster is refused, as its
+    executors could not read each other's files.
+    """
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="meterglass-"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    The rows survive the loss of any executor, and plans that read them twice do not redo the work.
+    """
+    set_checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def write_out(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in a new folder of the shared checkpoint folder, read back from there."""
+    spark = df.sparkSession
+    set_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

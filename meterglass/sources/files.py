@@ -54,16 +54,20 @@ def _missing(e: AnalysisException) -> bool:
 
 
 def texts(spark: SparkSession, root: str, pattern: str, whole: bool = True) -> DataFrame:
-    """path, modified (epoch ms) and value: a row per file, or per line; none if the root is missing."""
+    """path, modified (epoch ms), block and value: a row per file, or per line; none if the root is missing.
+
+    ``block`` is where the part of the file begins that a line was read with.
+    """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     try:
         rows = reader.text(root, wholetext=whole)
     except AnalysisException as e:
         if not _missing(e):
             raise
-        return spark.createDataFrame([], "path string, modified bigint, value string")
+        return spark.createDataFrame([], "path string, modified bigint, block bigint, value string")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return rows.select(path.alias("path"), F.unix_millis("_metadata.file_modification_time").alias("modified"), "value")
+    modified = F.unix_millis("_metadata.file_modification_time").alias("modified")
+    return rows.select(path.alias("path"), modified, F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -87,6 +91,23 @@ def scan_stats(spark: SparkSession, where: dict[str, str]) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "source string, files bigint")
 
 
+def tagged_listing(spark: SparkSession, where: dict[str, str]) -> DataFrame:
+    """source, path of every file of all roots."""
+    found = spark.createDataFrame([], "source string, path string")
+    for source, root in where.items():
+        found = found.unionByName(listing(spark, root, PLACES[source].pattern).select(F.lit(source).alias("source"), "path"))
+    return found
+
+
+def is_graph_document(document: Column) -> Column:
+    """Whether a JSON text has a graph's form: meta and summary of a composite type or null, years and contributions arrays."""
+    v = F.try_parse_json(document)
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit(""))
+    composite = lambda name: kind(name).rlike("^(OBJECT|ARRAY|VOID)")
+    lists = kind("years").startswith("ARRAY") & kind("contributions").startswith("ARRAY")
+    return composite("meta") & composite("summary") & lists
+
+
 def stem(path: Column) -> Column:
     """The file's name without its last extension."""
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from meterglass.functions.names import agent_name, custom_model, default_model, provider_of
 from meterglass.functions.values import millis_of_csv_date, millis_of_rfc3339, money, whole
+from meterglass.operators.reports import cost_to_you
 from meterglass.schema import MESSAGES
 from meterglass.sources.files import PLACES, decoded, messages, roots, stem, texts
 
@@ -66,9 +67,13 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """path, pos, value: a file's lines in their order."""
-    rows = texts(spark, root, pattern)
-    return rows.select("path", "modified", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    """path, pos, value: a file's lines and their places, which grow along the file.
+
+    A large file is read in blocks by many tasks; a place is the block's start and a number that
+    grows within it.
+    """
+    rows = texts(spark, root, pattern, whole=False)
+    return rows.withColumn("pos", F.struct("block", F.monotonically_increasing_id().alias("n")))
 
 
 def usage_deltas(events: DataFrame, file: str = "path", pos: str = "pos") -> DataFrame:
@@ -106,7 +111,9 @@ def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
     """Deltas of token_count events; an event without a usable time has ``as_of_ms``."""
     info = f"struct<model: string, model_name: string, last_token_usage: {USAGE}, total_token_usage: {USAGE}>"
     schema = f"type string, timestamp string, payload struct<type: string, model: string, model_name: string, info: {info}>"
-    rows = decoded(lines(spark, root, PLACES["codex"].pattern), schema).filter("r.payload is not null")
+    # Only these two types of events count; a line without either word is never decoded or ordered.
+    kept = lines(spark, root, PLACES["codex"].pattern).filter("contains(value, 'turn_context') or contains(value, 'event_msg')")
+    rows = decoded(kept, schema).filter("r.payload is not null")
     p = "r.payload."
     named = F.nullif(F.coalesce(p + "model", p + "model_name", p + "info.model", p + "info.model_name"), F.lit(""))
     in_info = F.coalesce(p + "info.model", p + "info.model_name")
@@ -240,7 +247,8 @@ def droid(spark: SparkSession, root: str) -> DataFrame:
     rows = rows.filter(sum(u.values(), F.lit(0)) != 0)
     session = F.replace(stem(F.col("path")), F.lit(".settings"))
     rows = rows.withColumn("log", F.regexp_replace("path", r"\.settings\.json$", ".jsonl"))
-    named = lines(spark, root, "*.jsonl").filter("pos < 500")
+    first = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
+    named = lines(spark, root, "*.jsonl").withColumn("nth", first).filter("nth <= 500").filter("contains(value, 'Model:')")
     model = F.trim(F.regexp_extract("value", r'Model:([^\[\\"]*)', 1))
     named = named.select(F.col("path").alias("log"), "pos", model.alias("named")).filter("named <> ''")
     named = named.groupBy("log").agg(F.min_by("named", "pos").alias("named"))
@@ -263,18 +271,27 @@ def droid(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def csv_rows(spark: SparkSession, root: str) -> DataFrame:
+    """path, head, f: the fields of the first line and of each further line of the files with Date and Model.
+
+    A field may be quoted and hold commas; fields are trimmed, empty lines left out.
+    """
+    rows = lines(spark, root, PLACES["cursor"].pattern)
+    fields = F.transform(F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda f: F.trim(F.replace(F.trim(f), F.lit('"'))))
+    heads = rows.groupBy("path").agg(F.min(F.struct("pos", "value")).alias("h")).select("path", "h.*")
+    heads = heads.filter("contains(value, 'Date') and contains(value, 'Model')").select("path", F.col("pos").alias("at"), fields.alias("head"))
+    rows = rows.filter("trim(value) <> ''").join(heads, "path").filter("pos > at")
+    return rows.select("path", "head", fields.alias("f"))
+
+
 def cursor(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of exported CSV files of either layout; a field may be quoted and hold commas.
+    """Rows of exported CSV files of either layout, by position.
 
     With a Kind column, tokens begin at the fifth field, else at the third. Rows that are short,
     without model or without a usable date are dropped.
     """
-    rows = lines(spark, root, PLACES["cursor"].pattern)
-    heads = rows.filter("pos = 0").filter("contains(value, 'Date') and contains(value, 'Model')")
-    heads = heads.select("path", F.contains("value", F.lit("Kind")).alias("kind"))
-    rows = rows.filter("pos > 0 and trim(value) <> ''").join(heads, "path")
-    fields = F.transform(F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda f: F.trim(F.replace(F.trim(f), F.lit('"'))))
-    rows = rows.withColumn("f", fields)
+    rows = csv_rows(spark, root)
+    rows = rows.withColumn("kind", F.exists("head", lambda h: F.contains(h, F.lit("Kind"))))
     at = F.when(F.col("kind"), 4).otherwise(2)
     rows = rows.filter(F.size("f") > F.when(F.col("kind"), 9).otherwise(7))
     field = lambda i: F.get("f", i)
@@ -296,6 +313,38 @@ def cursor(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def cursor_by_name(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of exported CSV files by the names of their columns, whatever their order and number.
+
+    The cost is what was paid, where that is stated and not 0, else what it would cost. A row without
+    a usable date stays, with time 0; one without date or model is dropped.
+    """
+    rows = csv_rows(spark, root)
+    field = lambda name: F.get("f", (F.array_position("head", name) - 1).cast("int"))
+    number = lambda name: whole(F.regexp_extract(F.coalesce(field(name), F.lit("")), r"^[+-]?\d+", 0))
+    day = F.coalesce(field("Date"), F.lit(""))
+    midnight = F.unix_millis(F.concat(day, F.lit("T00:00:00Z")).try_cast("timestamp"))
+    ms = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), midnight).otherwise(millis_of_csv_date(day))
+    rows = rows.withColumns({"model": field("Model"), "day": day, "ms": F.coalesce(ms, F.lit(0))}).filter("day <> '' and model <> ''")
+    short = F.when(F.col("ms") != 0, F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd")).otherwise(F.substring("day", 1, 10))
+    without = number("Input (w/o Cache Write)")
+    found = messages(
+        rows,
+        source="cursor",
+        model_id=F.col("model"),
+        provider_id=provider_of(F.col("model"), "cursor"),
+        session_id=F.concat(F.lit("cursor-"), short, F.lit("-"), F.col("model")),
+        timestamp_ms=F.col("ms"),
+        input=without,
+        output=number("Output Tokens"),
+        cache_read=number("Cache Read"),
+        cache_write=F.greatest(number("Input (w/ Cache Write)") - without, F.lit(0)),
+        cost=cost_to_you(money(field("Cost to you")), money(F.coalesce(field("Cost"), field("API Cost")))),
+    )
+    stated = F.regexp_extract("session_id", r"^cursor-(\d{4}-\d{2}-\d{2})-", 1).try_cast("date")
+    return found.withColumn("date", F.when(F.col("timestamp_ms") == 0, stated).otherwise(F.col("date")))
+
+
 READERS = {"opencode": opencode, "claude": claude, "codex": codex, "gemini": gemini, "cursor": cursor, "amp": amp, "droid": droid}
 
 

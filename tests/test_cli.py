@@ -41,7 +41,21 @@ def test_reports(spark, home, capsys, monkeypatch):
     assert scan["opencode"] == scan["claude"] == 1 and sum(scan.values()) == 2
     review = run(capsys, home, "review")
     assert review["favouriteModel"] == [{"favourite_model": "gpt-4o"}] and review["topModels"][0]["model_id"] == "gpt-4o"
+    assert review["longestStreak"] == [{"longest_streak": 2}] and review["topAgents"] == [] and len(review["grid"]) > 364
     assert run(capsys, home, "models", "--today")["entries"] == []
+    out = run(capsys, home, "export")
+    assert (out["modelCount"], out["totalCost"], out["stats"]["longest_streak"]) == (2, 1.1, 2)
+    assert [d["date"] for d in out["daily"]] == ["2024-12-02", "2024-12-01"]
+
+
+def test_tables(spark, home, capsys, monkeypatch):
+    monkeypatch.delenv("XDG_DATA_HOME", raising=False)
+    lines = lambda *args: (main([*args, "--home", str(home), "--prices", str(home / "prices.json")]), capsys.readouterr().out.splitlines())[1]
+    wide, narrow = lines("monthly", "--table", "120"), lines("monthly", "--table", "80")
+    assert wide[0].split() == ["Month", "Models", "Input", "Output", "Cache", "Write", "Cache", "Read", "Total", "Cost"]
+    assert wide[1].split() == ["2024-12", "-", "gpt-4o", "1,010", "500", "0", "0", "1,510", "$1.10"] and wide[2].split() == ["-", "o3"]
+    assert wide[3].split() == ["Total", "1,010", "500", "0", "0", "1,510", "$1.10"]
+    assert narrow[0].split() == ["Month", "Models", "Input", "Output", "Cost"] and narrow[-1].split() == ["Total", "1,010", "500", "$1.10"]
 
 
 def test_arguments():

@@ -81,3 +81,23 @@ def test_djb2(spark):
 
     given = ["a", "submission", '{"sources":["claude"]}', "x" * 300]
     assert apply(spark, values.djb2, given) == [expected(x) for x in given]
+
+
+def test_display_names_of_known_models_and_of_others(spark):
+    given = ["grok-3", "grok-3-mini", "grok-3-high", "claude-instant-1", "gpt-3.5-turbo", "o1", "claude-sonnet-4-20250514", "some_NEW-model"]
+    assert apply(spark, names.model_label, given) == ["Grok 3", "Grok 3 Mini", "Grok Code 3 High", "Claude instant 1", "Gpt 3.5 Turbo", "o1", "Claude Sonnet 4", "Some New Model"]
+
+
+def test_names_in_tables(spark):
+    given = ["claude-sonnet-4-20250514", "claude-opus-4-5-20251101", "claude-opus-4-5-high", "gpt-4o", "x/claude-haiku-4-5-20251001-v1"]
+    assert apply(spark, names.table_label, given) == ["sonnet-4", "opus-4-5", "opus-4-5-high", "gpt-4o", "haiku-4-5"]
+    assert apply(spark, names.table_labels, [["o3", "claude-sonnet-4-20250514", "o3"], []], "array<string>") == ["- o3\n- sonnet-4", ""]
+
+
+def test_numbers_and_days_as_texts(spark):
+    assert apply(spark, values.thousands, [0, 999, 1234567], "bigint") == ["0", "999", "1,234,567"]
+    assert apply(spark, values.currency, [0.0, 1.005, 411.645, 999.999, 2.5], "double") == ["$0.00", "$1.00", "$411.64", "$1000.00", "$2.50"]
+    assert apply(spark, lambda c: values.currency(c, kilo=True), [999.0, 1000.0, 12345.678], "double") == ["$999.00", "$1.00K", "$12.35K"]
+    day = lambda f: apply(spark, lambda c: f(c.cast("date")), ["2024-01-05"])
+    assert day(values.day_label) == ["Jan 5, 2024"] and day(lambda c: values.day_label(c, full=True)) == ["January 5, 2024"] and day(values.weekday_label) == ["Friday"]
+    assert day(lambda c: values.days_between(c, F.lit("2023-12-31").cast("date"))) == [5]

@@ -5,8 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from meterglass.operators import community, filters, metrics, reports
-from meterglass.schema import MESSAGES, TOKENS
+from meterglass.operators import community, filters, metrics, pricing, reports
+from meterglass.schema import MESSAGES, PRICES, TOKENS
 from meterglass.streaming.daily import daily_stream, merge_stream, read_messages
 
 
@@ -115,6 +115,22 @@ def test_bands(spark):
     assert {r["band"]: r["model_id"] for r in metrics.band_model(bars, 5).collect()} == {0: "a", 1: "a", 2: "a", 3: "b", 4: "b"}
 
 
+def test_late_messages_are_dropped_once_their_day_is_closed(spark, tmp_path):
+    """In append mode a day is given out once the watermark has passed it; what comes after that is lost to it."""
+    row = lambda ms, n: ("claude", "m", "p", "s", ms, datetime.date(1970, 1, 1), n, 0, 0, 0, 0, 1.0, None)
+    day, folder = 86_400_000, str(tmp_path / "in")
+    stream = lambda: daily_stream(read_messages(spark, folder)).writeStream.outputMode("append").format("memory").queryName("late")
+    spark.createDataFrame([row(1, 5), row(10 * day, 1)], MESSAGES).coalesce(1).write.parquet(folder)
+    q = stream().option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    for rows in ([row(3, 100), row(9 * day + 5, 4), row(20 * day, 2)], [row(2, 1000), row(40 * day, 3)]):
+        spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(folder)
+        q.processAllAvailable()
+    q.stop()
+    got = {str(r["date"]): r["tokens"] for r in spark.table("late").collect()}
+    assert got["1970-01-01"] == 5 and got["1970-01-10"] == 4 and got["1970-01-11"] == 1 and got["1970-01-21"] == 2
+
+
 def test_daily_stream_and_merge(spark, tmp_path):
     row = lambda ms, n: ("claude", "m", "p", "s", ms, datetime.date(1970, 1, 1), n, 0, 0, 0, 0, 1.0, None)
     day = 86_400_000
@@ -139,3 +155,94 @@ def test_daily_stream_and_merge(spark, tmp_path):
     merge = lambda old, new: community.merge_sources(old, new, new).select("user_id", "date", "source", "tokens")
     merge_stream(incoming, base, merge, save, str(tmp_path / "c2")).awaitTermination()
     assert saved == {0: [(1, "d", "amp", 5), (1, "d", "codex", 2)]}
+
+
+def stored(spark, rows):
+    numbers = "tokens: bigint, cost: double, input: bigint, output: bigint, cache_read: bigint, cache_write: bigint, reasoning: bigint, messages: bigint"
+    entry = f"struct<{numbers}, models: map<string, struct<{numbers}>>, model_id: string>"
+    return spark.createDataFrame(rows, f"submission_id int, user_id int, date string, tokens bigint, cost double, input bigint, output bigint, source_breakdown map<string, {entry}>")
+
+
+def entry(numbers, models=None, model_id=None):
+    return (*numbers, models, model_id)
+
+
+def test_stored_maps(spark):
+    """Two models of one source, another source, an older entry without models, missing numbers and no map at all."""
+    sonnet, opus, gpt = (950, 1.0, 500, 300, 100, 50, 0, 1), (1600, 2.0, 800, 500, 200, 100, 0, 1), (375, 0.5, 200, 100, 50, 25, 0, 1)
+    claude = entry((2550, 3.0, 1300, 800, 300, 150, 0, 2), {"sonnet": sonnet, "opus": opus})
+    days = stored(spark, [
+        (1, 1, "2024-01-01", 2925, 3.5, 1500, 900, {"claude": claude, "cursor": entry(gpt, {"gpt-4o": gpt})}),
+        (2, 1, "2024-01-01", 10, 1.0, 10, None, {"cursor": entry((10, None, 10, None, None, None, None, 1), None, "old")}),
+        (1, 1, "2024-01-02", 7, 0.0, 7, 0, None),
+        (2, 1, "2024-01-02", 5, 0.0, 5, 0, {"amp": entry((5, 0.0, 5, 0, 0, 0, 0, 1), {"opus": (5, 0.0, 5, 0, 0, 0, 0, 1)}), "claude": entry((1, None, None, None, None, None, None, None))}),
+    ])
+    totals = {(r["submission_id"], r["date"]): (r["tokens"], r["cost"], r["cache_write"], r["messages"]) for r in community.day_totals_of_maps(days).collect()}
+    assert totals == {(1, "2024-01-01"): (2925, 3.5, 175, 3), (2, "2024-01-01"): (10, 0.0, 0, 1), (1, "2024-01-02"): (0, 0.0, 0, 0), (2, "2024-01-02"): (6, 0.0, 0, 1)}
+    models = community.model_tokens_of_maps(days)
+    assert sorted(map(tuple, models.collect())) == [
+        (1, "2024-01-01", "gpt-4o", 375), (1, "2024-01-01", "old", 10), (1, "2024-01-01", "opus", 1600), (1, "2024-01-01", "sonnet", 950), (1, "2024-01-02", "opus", 5)
+    ]
+    used = community.used_in_maps(days).first()
+    assert used["sources_used"] == ["amp", "claude", "cursor"] and used["models_used"] == ["gpt-4o", "old", "opus", "sonnet"] and used["tokens"] == 2941
+    merged = {r["date"]: r for r in community.profile_days(days).collect()}
+    first, second = merged["2024-01-01"], merged["2024-01-02"]
+    assert (first["tokens"], first["cost"], first["input"], first["output"]) == (2935, 4.5, 1510, 900)
+    assert first["sources"]["cursor"]["tokens"] == 385 and set(first["sources"]["cursor"]["models"]) == {"gpt-4o", "old"}
+    assert first["models"]["opus"].asDict() == {"tokens": 1600, "cost": 2.0} and second["models"]["opus"]["tokens"] == 5
+    assert second["tokens"] == 12 and second["sources"]["claude"]["models"] is None
+    assert community.profile_days(days.filter("false")).count() == 0
+
+
+def test_a_profile_is_one_answer(spark):
+    kind = "id int, user_id int, total_tokens bigint, total_cost double, input_tokens bigint, submit_count int, date_start string, date_end string, created_at int, updated_at int, sources_used array<string>, models_used array<string>"
+    submissions = spark.createDataFrame([
+        (1, 1, 100, 1.0, 60, 2, "2023-01-01", "2023-02-01", 5, 6, ["amp"], ["opus"]), (2, 1, 50, 2.0, 30, 4, "2023-03-01", "2024-01-05", 9, 9, ["claude"], ["o3"]),
+        (3, 2, 500, 9.0, 1, 1, "2023-01-01", "2023-01-01", 1, 1, [], []), (4, 3, 1, 0.0, 0, 1, "2023-01-01", "2023-01-01", 1, 1, [], []),
+    ], kind)
+    one = (5, 1.0, 5, 0, 0, 0, 0, 1)
+    days = stored(spark, [
+        (1, 0, "2024-01-01", 5, 1.0, 5, 0, {"amp": entry(one, {"opus": one})}), (2, 0, "2024-01-01", 5, 3.0, 5, 0, {"amp": entry(one, {" ": one})}),
+        (2, 0, "2022-01-01", 5, 1.0, 5, 0, {"amp": entry(one, {"opus": one})}), (3, 0, "2024-01-01", 9, 9.0, 9, 0, {}),
+    ]).drop("user_id")
+    got = community.profile(submissions, days, 1, "2024-01-05")
+    stats = got["stats"].first()
+    assert (stats["total_tokens"], stats["total_cost"], stats["input_tokens"], stats["submission_count"], stats["rank"]) == (150, 3.0, 90, 4, 2)
+    assert (stats["earliest"], stats["latest"], stats["sources_used"], stats["updated_at"]) == ("2023-01-01", "2024-01-05", ["claude"], 9)
+    assert [(r["date"], r["tokens"], r["intensity"]) for r in got["days"].collect()] == [("2024-01-01", 10, 4)]
+    assert {r["model_id"]: r["tokens"] for r in got["models"].collect()} == {"opus": 5, "unknown": 5}
+    nobody = community.profile(submissions, days, 77, "2024-01-05")
+    stats = nobody["stats"].first()
+    assert (stats["total_tokens"], stats["rank"], stats["sources_used"]) == (0, None, None) and nobody["days"].count() == 0
+
+
+def test_negative_numbers_break_the_schema(spark):
+    meta = spark.createDataFrame([(1, "2024-01-01", "2024-01-02", 10, 1.0, 1)], "submission_id int, start string, end string, total_tokens bigint, total_cost double, active_days int")
+    days = spark.createDataFrame([(1, datetime.date(2024, 1, 1), 10, 1.0, 5)], "submission_id int, date date, tokens bigint, cost double, intensity int")
+    zero = (0, 0, 0, 0)
+    parts = spark.createDataFrame([(1, datetime.date(2024, 1, 1), "amp", 10, *zero, 1.0, 1), (1, datetime.date(2024, 1, 1), "claude", -1, *zero, 1.0, 1), (1, datetime.date(2024, 1, 1), "codex", 1, *zero, -0.5, 1)],
+        "submission_id int, date date, source string, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cost double, messages bigint")
+    years = spark.createDataFrame([], "submission_id int, year int, total_tokens bigint")
+    got = [r["subject"] for r in community.validate(meta, days, parts, years, "2024-02-01").filter("rule = 'V1'").collect()]
+    assert sorted(got) == ["2024-01-01", "2024-01-01 claude", "2024-01-01 codex"]
+
+
+def test_messages_are_read_once_for_all_reports(spark):
+    """Sums, prices and every report on them cost one pass over the messages, and are those of the messages."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("cursor" if n % 2 else "gemini", f"m{n % 3}", "p", "s", n, datetime.date(2024, 1, 1 + n % 5), n % 4, n % 3, n % 2, n % 7, n % 5, float(n), None) for n in range(200)]
+    plain = spark.createDataFrame(rows, MESSAGES)
+    prices = spark.createDataFrame([("m0", 1.0, 2.0, None, 0.5), ("m1", None, None, None, 0.25)], PRICES)
+    sums = pricing.priced_usage(plain.mapInArrow(seen, MESSAGES), prices)
+    each = pricing.with_cost(plain, prices)
+    for report in (reports.day_totals, reports.model_report, reports.monthly_report, reports.daily_contributions, reports.daily_sources):
+        assert sorted(map(str, report(sums).collect())) == sorted(map(str, report(each).collect()))
+    assert reports.with_intensity(reports.day_totals(sums)).count() == 5
+    assert reports.summary(reports.day_totals(sums), sums).first()["total_days"] == 5
+    assert read.value == len(rows)

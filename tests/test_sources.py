@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meterglass.operators import reports
 from meterglass.operators.pricing import with_cost
 from meterglass.sources import sessions
-from meterglass.sources.files import roots, scan_stats
+from meterglass.sources.files import is_graph_document, roots, scan_stats, tagged_listing
 from meterglass.sources.prices import is_fresh, read_prices
 
 CREATED = 1733011200000
@@ -163,3 +164,53 @@ def test_prices_from_json(spark, tmp_path):
     costs = sorted(r["cost"] for r in with_cost(df, prices).collect())
     assert costs == pytest.approx([0, 0.011475], abs=1e-6)
     assert is_fresh(1000, 2000) and not is_fresh(0, 3_600_000)
+
+
+def test_cursor_by_name(spark, tmp_path):
+    """Columns in any order and number; what was paid goes before what it would cost; a bad date stays with time 0."""
+    put(tmp_path, "a.csv", "\n".join([
+        'Model,Date,Cost,Cost to you,"Input (w/ Cache Write)",Input (w/o Cache Write),Cache Read,Output Tokens,Extra',
+        'gpt-4o,2025-06-01,"$1,000.50",$0.25,10,4,3,2', "o3,2025-06-01T10:00:00Z,$0.40,$0.00,1,5,x,7abc,more,fields",
+        "claude-3,2025-06-40 late,0.5,,,,,", ",2025-06-01,1,1,1,1,1,1", "", "o3,,1,1,1,1,1,1",
+    ]))
+    put(tmp_path, "deep/b.csv", "Date,Model,API Cost\n2025-06-02,auto,$3")
+    put(tmp_path, "c.csv", "When,Model\n2025-06-02,auto")
+    got = sessions.cursor_by_name(spark, str(tmp_path))
+    assert rows(got, "model_id", "provider_id", "session_id", "timestamp_ms", "input", "output", "cache_read", "cache_write", "cost") == [
+        ("auto", "cursor", "cursor-2025-06-02-auto", 1748822400000, 0, 0, 0, 0, 3.0),
+        ("claude-3", "anthropic", "cursor-2025-06-40-claude-3", 0, 0, 0, 0, 0, 0.5),
+        ("gpt-4o", "openai", "cursor-2025-06-01-gpt-4o", 1748736000000, 4, 2, 3, 6, 0.25),
+        ("o3", "openai", "cursor-2025-06-01-o3", 1748772000000, 5, 7, 0, 0, 0.4),
+    ]
+    by_model = reports.cursor_by_model(got).collect()
+    assert [(r["model_id"], r["messages"], r["cost"]) for r in by_model][:2] == [("auto", 1, 3.0), ("claude-3", 1, 0.5)]
+
+
+def test_logs_are_read_by_line_in_their_order(spark, tmp_path):
+    """A log of many blocks gives the same as one of a single block."""
+    lines, total = [], 0
+    for n in range(3000):
+        total += n % 7
+        use = {"input_tokens": total, "output_tokens": 0}
+        lines.append(json.dumps({"type": "turn_context", "payload": {"model": f"m{n // 100}"}} if n % 100 == 0 else {"type": "event_msg", "timestamp": "2025-06-01T00:00:00Z", "payload": {"type": "token_count", "info": {"total_token_usage": use} | ({"last_token_usage": use} if n == 1 else {})}}))
+        lines.append('{"type": "other"}')
+    put(tmp_path, "log.jsonl", "\n".join(lines))
+    whole = rows(sessions.codex(spark, str(tmp_path)).groupBy("model_id").agg(F.sum("input").alias("n")), "model_id", "n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        blocks = rows(sessions.codex(spark, str(tmp_path)).groupBy("model_id").agg(F.sum("input").alias("n")), "model_id", "n")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole == blocks and len(whole) == 30 and sum(n for _, n in whole) > 0
+
+
+def test_tagged_listing_and_graph_documents(spark, tmp_path):
+    put(tmp_path, "x/.claude/projects/a.jsonl", "{}")
+    where = roots(str(tmp_path / "x"), ["claude", "amp"], {})
+    assert [(s, p.rsplit("/", 1)[1]) for s, p in rows(tagged_listing(spark, where), "source", "path")] == [("claude", "a.jsonl")]
+    good = {"meta": {}, "summary": {}, "years": [], "contributions": [{}]}
+    cases = [(good, True), ({**good, "meta": None}, True), ({**good, "years": {}}, False), ({k: v for k, v in good.items() if k != "summary"}, False), ({**good, "meta": "x"}, False), ([], False)]
+    texts_ = [json.dumps(c) for c, _ in cases] + ["no json", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, t string")
+    got = [r["ok"] for r in frame.select("i", is_graph_document(F.col("t")).alias("ok")).orderBy("i").collect()]
+    assert got == [ok for _, ok in cases] + [False, False]
