@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.llm.common import cut_lineage, per_text, ship_package, struct_of, whole_text
+from meterglass.llm.common import cut_lineage, per_text, ship_package, whole_text
 
 #: What stays one word behind an apostrophe, and the end-of-word mark.
 CONTRACTED = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -448,11 +448,6 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 131_072) -> tuple[tupl
 MEMO: dict[bytes, list[int]] = {}
 
 
-def encode_slices(texts: pa.Array, vocab: Vocabulary, lex: Lexicon):
-    """Ids and ends of an array of texts, slice by slice."""
-    return (encode_texts(part, vocab, lex, MEMO) for part in slices(texts))
-
-
 def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The ids of each text as little-endian unsigned 32-bit integers."""
     edges = pa.py_buffer((ends * 4).astype(np.int32))
@@ -468,8 +463,24 @@ def spelled(ids: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
 
-def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+def by_slices(docs: DataFrame, returns: str, make) -> DataFrame:
+    """doc_id and the columns that ``make`` has of a list of whole texts, a slice of rows at a time.
+
+    A worker hands each slice's rows on before it takes the next, so it holds one slice's results.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column("text")):
+                columns = [batch.column("doc_id").slice(at, len(texts)), *make(texts)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(texts)
+
+    ship_package(docs.sparkSession)
+    names = ["doc_id", *(c.split()[0] for c in returns.split(", "))]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, {returns}")
 
 
 def encode(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame:
@@ -482,12 +493,10 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame
     """
     names, lexicon_name = build_lexicon(docs, path, lexicon_size)
 
-    @per_text("binary")
-    def run(texts: pa.Array) -> pa.Array:
-        vocab, lex = vocabulary(*names), lexicon(lexicon_name)
-        return joined([packed(*x) for x in encode_slices(texts, vocab, lex)], pa.binary())
+    def make(texts: list[str]) -> list[pa.Array]:
+        return [packed(*encode_texts(texts, vocabulary(*names), lexicon(lexicon_name), MEMO))]
 
-    return docs.select("doc_id", run(whole_text()).alias("ids"))
+    return by_slices(docs, "ids binary", make)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -496,9 +505,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     @per_text("string")
     def run(ids: pa.Array) -> pa.Array:
-        vocab = vocabulary(*names)
-        each = (np.frombuffer(x.as_py(), "<u4") for x in ids)
-        return joined([spelled(x, np.array([0, len(x)]), vocab) for x in each], pa.string())
+        sizes = [len(x.as_py()) // 4 for x in ids]
+        flat = np.frombuffer(b"".join(x.as_py() for x in ids), "<u4")
+        return spelled(flat, np.cumsum([0, *sizes]), vocabulary(*names))
 
     return encoded.withColumn("decoded", run(F.coalesce("ids", F.lit(b""))))
 
@@ -507,13 +516,9 @@ def round_trip(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataF
     """doc_id, ids and decoded in one pass of one worker per task: ``decode`` of ``encode``."""
     names, lexicon_name = build_lexicon(docs, path, lexicon_size)
 
-    @per_text("struct<ids: binary, decoded: string>")
-    def run(texts: pa.Array) -> pa.Array:
-        vocab, lex = vocabulary(*names), lexicon(lexicon_name)
-        ids, decoded = [], []
-        for found in encode_slices(texts, vocab, lex):
-            ids.append(packed(*found))
-            decoded.append(spelled(*found, vocab))
-        return struct_of(["ids", "decoded"], [joined(ids, pa.binary()), joined(decoded, pa.string())])
+    def make(texts: list[str]) -> list[pa.Array]:
+        vocab = vocabulary(*names)
+        found = encode_texts(texts, vocab, lexicon(lexicon_name), MEMO)
+        return [packed(*found), spelled(*found, vocab)]
 
-    return docs.select("doc_id", run(whole_text()).alias("r")).select("doc_id", "r.ids", "r.decoded")
+    return by_slices(docs, "ids binary, decoded string", make)
