@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import meterglass
+from meterglass.session import cut_lineage, write_out
+
+__all__ = ["cut_lineage", "write_out"]
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` splits UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,37 +37,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3) == 1
 
 
-def set_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir.
-
-    Where it names none, a single machine uses a temporary one; a cluster is refused, as its
-    executors could not read each other's files.
-    """
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="meterglass-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The rows survive the loss of any executor, and plans that read them twice do not redo the work.
-    """
-    set_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def write_out(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in a new folder of the shared checkpoint folder, read back from there."""
-    spark = df.sparkSession
-    set_checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per context, wherever they were started."""
     root = Path(meterglass.__file__).parent

@@ -34,6 +34,16 @@ def test_ledger_against_brute_force(spark):
     assert got == sorted(((i, *measured(t)) for i, t, *_ in odd_rows()), key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
 
 
+def test_measures_do_not_depend_on_the_slice(spark):
+    """Words, lines and windows end with their text, wherever slices are cut; upper case is the category Lu."""
+    rng = random.Random(19)
+    texts = ["a b c", "a b c", "", " a b c a b c ", "x\n\nx\n x", "\u2160 \u00c9\u00e9 \u01c5 \U0001d400", "one", *[sentence(rng, rng.randint(1, 90)) for _ in range(60)]]
+    alone = [[int(c[0]) for c in quality_rules.measure([t])] for t in texts]
+    assert [[int(x) for x in row] for row in zip(*quality_rules.measure(texts))] == alone
+    assert [tuple(row[:5]) for row in alone] == [measured(t) for t in texts]
+    assert alone[5][6:] == [4, 2] and alone[3][4] == 6 and alone[4][3] == 1
+
+
 def test_policies_and_ablation(spark):
     book = quality_rules.ledger(odd_documents(spark))
     base, web = quality_rules.POLICIES["base"], quality_rules.POLICIES["web"]
