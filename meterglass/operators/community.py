@@ -340,44 +340,60 @@ def validate(meta: DataFrame, days: DataFrame, parts: DataFrame, years: DataFram
     key = "submission_id"
     meta = meta.select(key, "start", "end", "total_tokens", "total_cost", "active_days")
 
-    def out(rows: DataFrame, rule: str, severity: str, subject: Column) -> DataFrame:
-        return rows.select(key, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
+    def broken(rows: DataFrame, *rules: tuple[str, str, Column, Column | str]) -> DataFrame:
+        """A row for each rule (name, severity, condition, subject) that a row breaks."""
+        subject = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string").alias("subject")
+        each = [F.when(bad, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), subject(x))) for r, s, bad, x in rules]
+        return rows.select(key, F.explode(F.array_compact(F.array(*each))).alias("v")).select(key, "v.*")
+
+    def off(calculated: str, stated: str, part: float, least: float) -> Column:
+        """Whether a sum differs from what is stated by more than a part of that and by more than ``least``."""
+        by = F.abs(F.col(calculated) - F.col(stated))
+        return (by > F.col(stated) * part) & (by > least)
 
-    negative = (F.col("tokens") < 0) | (F.col("cost") < 0) | ~F.col("intensity").between(0, 4) | F.col("date").isNull()
     below = F.lit(False)
     for number in (*TOKENS, "cost", "messages"):
         if number in parts.columns:
             below = below | F.coalesce(F.col(number) < 0, F.lit(False))
+    in_sources = parts.groupBy(key, "date").agg(F.sum(sum((F.col(t) for t in TOKENS[1:]), F.col(TOKENS[0]))).alias("in_sources"))
+    each_day = days.select(key, "date", "tokens", "cost", "intensity").join(in_sources, [key, "date"], "left")
+    uneven = (F.abs(F.col("in_sources") - F.col("tokens")) > F.col("tokens") * 0.05) & (F.col("tokens") > 100)
+    strange = (F.col("tokens") < 0) | (F.col("cost") < 0) | ~F.col("intensity").between(0, 4) | F.col("date").isNull()
     sums = days.groupBy(key).agg(
         F.sum("tokens").alias("tokens"),
         F.sum("cost").alias("cost"),
         F.count_if(F.col("tokens") > 0).alias("active"),
         F.min("date").alias("first"),
         F.max("date").alias("last"),
+        F.count("*").alias("n"),
     )
-    against = meta.join(sums, key)
-    off = lambda calculated, stated: F.abs(F.col(calculated) - F.col(stated))
-    part_sums = parts.groupBy(key, "date").agg(F.sum(sum((F.col(t) for t in TOKENS[1:]), F.col(TOKENS[0]))).alias("in_sources"))
-    uneven = days.join(part_sums, [key, "date"])
     by_year = days.groupBy(key, F.year("date").alias("year")).agg(F.sum("tokens").alias("tokens"))
     stated = years.join(by_year, [key, "year"], "left").fillna({"tokens": 0})
-    token_off, cost_off = off("tokens", "total_tokens"), off("cost", "total_cost")
-    checks = [
-        out(days.filter(negative), "V1", "error", F.col("date")),
-        out(parts.filter(~F.col("source").isin(*SUBMITTABLE)), "V1", "error", F.col("source")),
-        out(parts.filter(below), "V1", "error", F.concat_ws(" ", "date", "source")),
-        out(meta.filter(F.col("end") > today), "V2", "error", F.col("end")),
-        out(days.filter(F.col("date") > today), "V2", "error", F.col("date")),
-        out(against.filter((token_off > F.col("total_tokens") * 0.01) & (token_off > 100)), "V3", "error", F.col("tokens")),
-        out(against.filter((cost_off > F.col("total_cost") * 0.01) & (cost_off > 0.1)), "V4", "warning", F.lit("cost")),
-        out(against.filter("active <> active_days"), "V5", "warning", F.col("active")),
-        out(uneven.filter((off("in_sources", "tokens") > F.col("tokens") * 0.05) & (F.col("tokens") > 100)), "V6", "warning", F.col("date")),
-        out(against.filter(F.col("first") < F.col("start")), "V7", "warning", F.col("first")),
-        out(against.filter(F.col("last") > F.col("end")), "V7", "warning", F.col("last")),
-        out(days.groupBy(key, "date").count().filter("count > 1"), "V8", "error", F.col("date")),
-        out(stated.filter((off("tokens", "total_tokens") > F.col("total_tokens") * 0.01) & (F.col("tokens") > 1000)), "V9", "warning", F.col("year")),
-        out(meta.join(days.select(key).distinct(), key, "left_anti"), "V10", "error", F.lit("no contributions")),
-    ]
+    checks = (
+        broken(
+            each_day,
+            ("V1", "error", strange, "date"),
+            ("V2", "error", F.col("date") > today, "date"),
+            ("V6", "warning", uneven, "date"),
+        ),
+        broken(
+            parts,
+            ("V1", "error", ~F.col("source").isin(*SUBMITTABLE), "source"),
+            ("V1", "error", below, F.concat_ws(" ", "date", "source")),
+        ),
+        broken(
+            meta.join(sums, key, "left"),
+            ("V2", "error", F.col("end") > today, "end"),
+            ("V3", "error", off("tokens", "total_tokens", 0.01, 100), "tokens"),
+            ("V4", "warning", off("cost", "total_cost", 0.01, 0.1), F.lit("cost")),
+            ("V5", "warning", F.col("active") != F.col("active_days"), "active"),
+            ("V7", "warning", F.col("first") < F.col("start"), "first"),
+            ("V7", "warning", F.col("last") > F.col("end"), "last"),
+            ("V10", "error", F.col("n").isNull(), F.lit("no contributions")),
+        ),
+        broken(days.groupBy(key, "date").count(), ("V8", "error", F.col("count") > 1, "date")),
+        broken(stated, ("V9", "warning", (F.abs(F.col("tokens") - F.col("total_tokens")) > F.col("total_tokens") * 0.01) & (F.col("tokens") > 1000), "year")),
+    )
     result = checks[0]
     for c in checks[1:]:
         result = result.unionByName(c)

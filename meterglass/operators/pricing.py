@@ -48,31 +48,36 @@ def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
 
     A null name has no price. Ties within a tier go to the key that is first by bytes.
     """
-    names = models.select("model_id").filter("model_id is not null").distinct()
+    return _answers(models, prices.select("model_key"), ())
+
+
+def _answers(models: DataFrame, prices: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``resolve_models`` with ``columns`` of the list; of rows that repeat a key the least by those counts."""
+    names = small(models.select("model_id").filter("model_id is not null").distinct())
     names = names.withColumn("short", short_name(F.col("model_id")))
-    keys = prices.select("model_key").distinct()
+    keys = prices.select("model_key", F.struct(*columns).alias("own") if columns else F.lit(None).alias("own"))
     exact = [(n, F.concat(F.lit(p), F.col("model_id"))) for n, p in enumerate(PREFIXES)]
     exact += [(n + len(PREFIXES), F.concat(F.lit(p), F.col("short"))) for n, p in enumerate(PREFIXES)]
     tried = F.explode(F.array(*[F.struct(F.lit(n).alias("tier"), c.alias("key")) for n, c in exact]))
     by_string = names.select("model_id", tried.alias("t")).filter("t.key is not null")
-    found = by_string.join(keys, F.col("t.key") == F.col("model_key")).select("model_id", "t.tier", "model_key")
+    found = by_string.join(keys, F.col("t.key") == F.col("model_key")).select("model_id", "t.tier", "model_key", "own")
 
     forms = names.select("model_id", F.explode(F.array_compact(F.array(F.lower("model_id"), F.lower("short")))).alias("form"))
-    lower = keys.select("model_key", F.lower("model_key").alias("key"))
+    lower = keys.select("model_key", "own", F.lower("model_key").alias("key"))
     holding = (
         forms.withColumn("word", _first_word(F.col("form")))
         .join(lower.withColumn("word", F.explode(_words(F.col("key")))), "word")
         .filter(holds(F.col("key"), F.col("form")))
-        .select("model_id", F.lit(HOLDS).alias("tier"), "model_key")
+        .select("model_id", F.lit(HOLDS).alias("tier"), "model_key", "own")
     )
     held = (
         lower.withColumn("word", _first_word(F.col("key")))
         .join(forms.withColumn("word", F.explode(_words(F.col("form")))), "word")
         .filter(holds(F.col("form"), F.col("key")))
-        .select("model_id", F.lit(HELD).alias("tier"), "model_key")
+        .select("model_id", F.lit(HELD).alias("tier"), "model_key", "own")
     )
-    best = found.union(holding).union(held).groupBy("model_id").agg(F.min(F.struct("tier", "model_key")).alias("b"))
-    return best.select("model_id", "b.tier", "b.model_key")
+    best = found.union(holding).union(held).groupBy("model_id").agg(F.min(F.struct("tier", "model_key", "own")).alias("b"))
+    return best.select("model_id", "b.tier", "b.model_key", *[F.col(f"b.own.{c}").alias(c) for c in columns])
 
 
 def cost_of(*prices: Column) -> Column:
@@ -92,8 +97,8 @@ def small(table: DataFrame, limit: int = BROADCAST_MODELS) -> DataFrame:
     Up to ``limit`` rows are fetched, so the plan that made them isn't run again and the messages are
     not shuffled; a longer table is joined by shuffle.
     """
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = table.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return table
     return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
 
@@ -105,8 +110,8 @@ PAID = ("input > 0", "output + reasoning > 0", "cache_read > 0", "cache_write >
 
 
 def _prices_of(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    table = resolve_models(rows, prices).join(prices.dropDuplicates(["model_key"]), "model_key")
-    return rows.join(small(table.select("model_id", *PRICE_COLUMNS)), "model_id", "left")
+    table = _answers(rows, prices, PRICE_COLUMNS).select("model_id", *PRICE_COLUMNS)
+    return rows.join(small(table), "model_id", "left")
 
 
 def _listed() -> Column:

@@ -59,6 +59,8 @@ def texts(spark: SparkSession, root: str, pattern: str, whole: bool = True) -> D
     ``block`` is where the part of the file begins that a line was read with.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    # Files that vanish or can't be read are passed over.
+    reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
     try:
         rows = reader.text(root, wholetext=whole)
     except AnalysisException as e:

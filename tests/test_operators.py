@@ -246,3 +246,19 @@ def test_messages_are_read_once_for_all_reports(spark):
     assert reports.with_intensity(reports.day_totals(sums)).count() == 5
     assert reports.summary(reports.day_totals(sums), sums).first()["total_days"] == 5
     assert read.value == len(rows)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    """Checkpoints in one machine's folder could not be read by the others."""
+    from meterglass import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.set_checkpoint_folder(Session)
