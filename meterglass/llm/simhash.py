@@ -237,14 +237,19 @@ def near_groups(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFra
     component_id is the smallest doc_id that can be reached over links, itself included. A null text
     counts as empty; texts without words have fingerprint zero and link like any other; a null
     doc_id never is a component's name unless all its ids are null. Repeated rows give repeated
-    rows; an empty table gives none.
+    rows; an empty table gives none. A very long text is split into words in one worker.
     """
     own, named = _named(docs, shingle, crowd)
     return own.join(named, "fp").select("doc_id", "fp", F.col("name.doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, shingle: int = 3, crowd: int = 4096) -> DataFrame:
-    """``docs``, all columns, with the one document of each component that it is named after."""
+    """``docs``, all columns, with the one document of each component that it is named after.
+
+    That is the one of the smallest doc_id. Nulls, repeated rows, texts without words and an empty
+    table are treated as by ``near_groups``; of rows that repeat id and text one stays. Texts are
+    fingerprinted where they lie, a very long one in some 100 bytes of memory a word.
+    """
     own, named = _named(docs, shingle, crowd)
     rows = own.groupBy("doc_id", "key", "fp").agg(F.count("*").alias("copies")).join(named, "fp")
     stays = (F.col("key") == F.col("name.key")) & F.col("doc_id").eqNullSafe(F.col("name.doc_id"))

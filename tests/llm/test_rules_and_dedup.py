@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import SCHEMA, collected, empty_documents, odd_documents, odd_rows, sentence
@@ -100,6 +101,25 @@ def test_exact_groups_against_brute_force(spark, monkeypatch, broadcast_rows):
     assert exact_dedup.drop_exact(empty_documents(spark)).count() == 0
 
 
+def test_prefixes_are_read_of_shared_lengths_only(spark, monkeypatch):
+    """A text whose length no other has is never hashed, not even its prefix."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("bigint")
+    def counted(texts: pa.Array) -> pa.Array:
+        read.add(len(texts))
+        return pa.array([hash(t.as_py()[:4]) for t in texts], pa.int64())
+
+    monkeypatch.setattr(exact_dedup, "prefix_of", lambda chars: counted("text"))
+    alone = [(i, "x" * (100 + i)) for i in range(50)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in [*alone, (90, "same"), (91, "same"), (92, "else")]], SCHEMA)
+    rows = exact_dedup.sized(docs)
+    lengths = exact_dedup.shared_lengths(rows)
+    assert [r["n_bytes"] for r in lengths.collect()] == [4]
+    assert exact_dedup.shared_prefixes(rows, lengths, 4).count() == 1 and read.value == 3
+    assert {r["doc_id"] for r in exact_dedup.drop_exact(docs).collect()} == {i for i, _ in alone} | {91, 92}
+
+
 def plain_fingerprint(text):
     folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = WORD.findall(folded)
