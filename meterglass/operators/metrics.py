@@ -100,13 +100,17 @@ def top_agents(stats: DataFrame, pin: bool = True) -> DataFrame:
     return both.orderBy("place", F.desc("messages"), "agent").drop("place")
 
 
+def with_week(days: DataFrame, first: str) -> DataFrame:
+    """``days`` with weekday (0 is Sunday) and week, counted from the Sunday on or before ``first``."""
+    start = F.date_sub(F.lit(first).cast("date"), F.dayofweek(F.lit(first).cast("date")) - 1)
+    week = F.floor(F.datediff("date", start) / 7).cast("int")
+    return days.withColumns({"weekday": F.dayofweek("date") - 1, "week": week})
+
+
 def calendar(spark, first: str, last: str) -> DataFrame:
-    """A row per day from first to last with its week (from Sunday on) and weekday (0 is Sunday)."""
+    """A row per day from first to last with its weekday and week."""
     day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date")
-    days = spark.range(1).select(day)
-    weekday = F.dayofweek("date") - 1
-    start = F.date_sub(F.lit(first).cast("date"), F.dayofweek(F.lit(first).cast("date")) - 1)
-    return days.select("date", weekday.alias("weekday"), F.floor(F.datediff("date", start) / 7).cast("int").alias("week"))
+    return with_week(spark.range(1).select(day), first)
 
 
 def calendar_grid(days: DataFrame, first: str, last: str) -> DataFrame:
