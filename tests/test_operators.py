@@ -1,6 +1,7 @@
 """Operators on cases that the tables do not hold."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,31 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.set_checkpoint_folder(Session)
+
+
+def test_streamed_deltas_are_those_of_the_whole_logs(spark, tmp_path):
+    """Logs cut into batches at any place give what their windows give, models set to none among them."""
+    from meterglass.sources.sessions import usage_deltas
+    from meterglass.streaming.codex import delta_stream
+
+    rng, rows = random.Random(3), []
+    number = lambda: (rng.randint(0, 9), rng.randint(0, 3), rng.randint(0, 2))
+    for path in "abc":
+        total = [0, 0, 0]
+        for pos in range(60):
+            total = [t + n for t, n in zip(total, number())] if rng.random() < 0.9 else [0, 0, 0]
+            sets, usage = rng.random() < 0.15, rng.random() < 0.8
+            rows.append((path, pos, sets, rng.choice(["m1", "m2", None]) if sets else None, usage, number() if usage and rng.random() < 0.3 else None, tuple(total) if rng.random() < 0.7 else None))
+    use = "struct<input: bigint, output: bigint, cached: bigint>"
+    kind = f"path string, pos bigint, sets_model boolean, model string, is_usage boolean, last {use}, total {use}"
+    for n, (lo, hi) in enumerate([(0, 1), (1, 20), (20, 21), (21, 60)]):
+        part = [r for r in rows if lo <= r[1] < hi]
+        rng.shuffle(part)
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = delta_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        del n
+    whole = usage_deltas(spark.createDataFrame(rows, kind)).select("path", "pos", "model_id", "used.input", "used.output", "used.cached")
+    got = spark.read.parquet(str(tmp_path / "out")).select(*whole.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 60
