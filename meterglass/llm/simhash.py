@@ -19,12 +19,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.llm.common import FOLD, anew, cut_lineage, per_text, ship_package, take_out, text_key, whole_text
 from meterglass.llm.components import connected_components
+from meterglass.llm.hashing import PAD, xxh64
 
 THRESHOLD = 2
 SEED = 42
@@ -34,21 +34,48 @@ BLOCK = 23
 RADIUS = 3
 
 
-def fingerprint(words: list[bytes], shingle: int = 3) -> int:
-    """The 64-bit SimHash, as a signed integer, of the shingles of ``words``, repeats included."""
-    if not words:
-        return 0
-    if len(words) < shingle:
-        parts = [b" ".join(words)]
-    else:
-        parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        octets = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+#: Texts and bytes that a worker fingerprints at once; a longer text goes alone.
+TEXTS, SLICE = 1024, 1 << 19
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: The bits of each byte, lowest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def fingerprint_texts(texts: list[bytes], shingle: int = 3) -> np.ndarray:
+    """The 64-bit SimHash of each text, as a signed integer, of its shingles, repeats included; 0 without words.
+
+    A text of fewer words than a shingle has is one shingle.
+    """
+    data = np.frombuffer(b"\n".join(t.translate(FOLD) for t in texts) + b"\n", np.uint8)
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    # Of each run of white space one space stays, so the shingles are slices of what is left.
+    space = SPACE[data]
+    kept = np.flatnonzero(~space | ~np.r_[False, space[:-1]])
+    white = space[kept]
+    text = np.append(np.where(white, 32, data[kept]), np.zeros(PAD)).astype(np.uint8)
+    first = np.flatnonzero(~white & np.r_[True, white[:-1]])
+    last = np.flatnonzero(~white & np.r_[white[1:], True]) + 1
+    words = np.bincount(np.searchsorted(text_ends, kept[first], "right"), minlength=len(texts))
+    n = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
+    owner = np.repeat(np.arange(len(texts)), n)
+    i = np.arange(len(owner)) + np.repeat(np.cumsum(words) - words - (np.cumsum(n) - n), n)
+    hashes = xxh64(text, first[i], last[i + np.minimum(shingle, words[owner]) - 1], SEED)
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    ones = [np.bincount(owner * 256 + octets[:, k], minlength=256 * len(texts)).reshape(-1, 256) @ BITS for k in range(8)]
+    return np.packbits(2 * np.hstack(ones) > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def slices(texts: pa.Array):
+    """Lists of TEXTS texts or of about SLICE bytes together, or of one longer text."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t.as_py())
+        size += len(own[-1])
+        if size >= SLICE or len(own) == TEXTS:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -56,8 +83,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     @per_text("bigint")
     def run(texts: pa.Array) -> pa.Array:
-        words = (t.as_py().translate(FOLD).split() for t in texts.cast(pa.binary()))
-        return pa.array((fingerprint(w, shingle) for w in words), pa.int64())
+        found = [fingerprint_texts(own, shingle) for own in slices(texts.cast(pa.binary()))]
+        return pa.array(np.concatenate(found) if found else [], pa.int64())
 
     return docs.select("doc_id", text_key().alias("key"), run(whole_text()).alias("fp"))
 

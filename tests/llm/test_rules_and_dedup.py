@@ -12,7 +12,7 @@ import xxhash
 from helpers import SCHEMA, collected, empty_documents, odd_documents, odd_rows, sentence
 from pyspark.sql import functions as F
 
-from meterglass.llm import common, components, exact_dedup, quality_rules, simhash, substring_dedup
+from meterglass.llm import common, components, exact_dedup, hashing, quality_rules, simhash, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -128,6 +128,23 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
+def test_hashes_of_slices_are_the_librarys():
+    rng = random.Random(7)
+    raw = bytes(rng.randrange(256) for _ in range(4000))
+    start = np.array([rng.randrange(3000) for _ in range(3000)])
+    end = start + np.array([n % 200 for n in range(3000)])
+    got = hashing.xxh64(np.frombuffer(raw + bytes(hashing.PAD), np.uint8), start, end, 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(start, end)]
+
+
+def test_fingerprints_do_not_depend_on_the_slice():
+    rng = random.Random(8)
+    texts = ["", " ", "A", "one\t\ntwo", " a  B\x0bc\r\n", "\x85 x \u00a0 y z", *[sentence(rng, rng.randint(1, 80)) for _ in range(80)]]
+    signed = [f - (1 << 64) if f >> 63 else f for f in map(plain_fingerprint, texts)]
+    raw = [t.encode() for t in texts]
+    assert simhash.fingerprint_texts(raw).tolist() == signed == [int(simhash.fingerprint_texts([t])[0]) for t in raw]
+
+
 def plain_components(fps):
     root = list(range(len(fps)))
 
