@@ -22,7 +22,7 @@ from meterglass.llm.common import per_text, struct_of, whole_text
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 #: Characters of text that a worker measures at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 #: Rule name -> SQL over the measurements, true where the document fails. The place is the bit.
 RULES = {
