@@ -42,7 +42,7 @@ SUFFIX = "</w>"
 #: The rank of a pair that is never merged.
 NO_MERGE = 1 << 60
 #: Bytes of text that a worker handles at once, of many texts or as a part of one.
-SLICE = 1 << 20
+SLICE = 1 << 19
 OTHER, LETTER, NUMBER, SPACE = range(4)
 CODES = 0x110000
 
