@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, quality_model, substring_dedup
-from meterglass.llm.common import documents
+from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, periodic_runs, quality_model, substring_dedup
+from meterglass.llm.common import WORD, documents, whole_text
 from meterglass.llm.exact_dedup import exact_groups
 from meterglass.llm.oracles import ORACLES
 from meterglass.llm.quality_rules import POLICIES, apply_policy, ledger
@@ -79,6 +79,37 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with a period put into the words of a tenth of them, as the contract of op11 states; a null id counts as ''."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    # An array of one, so that the words are taken once and not for each place.
+    words = F.array(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0)))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.transform(words, planted)[0]).otherwise(whole_text()))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(with_periods(documents(spark, sf_dir)))
+    said = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.withColumn("best", periodic_runs.greatest_run(F.col("runs")))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +123,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_language_id,
         op10_simhash_near_dedup,
+        op11_periodic_runs,
     )
 }
 
