@@ -101,10 +101,32 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'a
 CAST(sum({marks} + length({escaped("role")}) + length({escaped("text")})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
 
 
+def trie_sql() -> str:
+    """Nodes are whole lists of turns, and every node meets all that lie above it; CRC-32 bit by bit."""
+    step = "xor(crc >> 1, (crc & 1) * 3988292384)"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({x}, ''), lambda ch: [ascii(ch)::BIGINT] || [-1::BIGINT, -1, -1, -1, -1, -1, -1]))), lambda crc, b: {y}), 4294967295)"
+    # A byte comes in with its first step, seven steps of -1 follow.
+    one = f"(CASE WHEN b >= 0 THEN {step.replace('crc', 'xor(crc, b)')} ELSE {step} END)"
+    h = crc.format(x="CAST(conv_id AS VARCHAR)", y=one)
+    return rf"""WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(sha256(coalesce(role, '')) || coalesce(text, ''))) AS ts FROM conversations GROUP BY conv_id),
+hs AS (SELECT *, {h} % 9 AS h FROM t),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM hs c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS depth FROM r),
+g AS (SELECT depth, ts[1:depth] AS k, count(*) AS n_convs, min(conv_id) AS conv_id, coalesce(strlen(any_value(ts)[depth].t), 0) AS n_bytes,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(ts)), '')) AS ends_sha256 FROM p GROUP BY depth, k),
+u AS (SELECT a.*, p.conv_id AS parent_conv_id FROM g a LEFT JOIN g p ON p.depth = a.depth - 1 AND p.k = a.k[1:a.depth - 1]),
+kids AS (SELECT depth - 1 AS depth, k[1:depth - 1] AS k, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN kids USING (depth, k)),
+up AS (SELECT depth, k, n_convs, n_bytes, n_children, unnest(range(depth + 1)) AS lvl FROM full_),
+s AS (SELECT lvl AS depth, k[1:lvl] AS k, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * n_bytes) AS BIGINT) AS saved_tokens FROM up GROUP BY ALL)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN s USING (depth, k)"""
+
+
 ORACLES = {
     "op1_quality_rules": quality_rules_sql(),
     "op3_source_mixing": mixing_sql(),
     "op4_license_scan": license_sql(),
     "op6_chat_format": chat_sql(),
     "op7_exact_dedup": EXACT,
+    "op12_prefix_trie": trie_sql(),
 }

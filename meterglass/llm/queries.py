@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, periodic_runs, quality_model, substring_dedup
-from meterglass.llm.common import WORD, documents, whole_text
+from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, periodic_runs, prefix_trie, quality_model, substring_dedup
+from meterglass.llm.common import WORD, cut_lineage, documents, whole_text
 from meterglass.llm.exact_dedup import exact_groups
 from meterglass.llm.oracles import ORACLES
 from meterglass.llm.quality_rules import POLICIES, apply_policy, ledger
@@ -110,6 +110,38 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A rebuilt conversation takes fewer turns than this from another one.
+MOST_TAKEN = 9
+
+
+def rebuilt(turns: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns as the contract of op12 rebuilds them, and the length of every conversation.
+
+    h of a null id is that of ''; it takes turns from none.
+    """
+    h = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % MOST_TAKEN
+    taken = counts.select("conv_id", "n", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"))
+    given = counts.select(F.col("conv_id").alias("b"), F.col("n").alias("n_base"))
+    taken = taken.join(given, F.col("base") == F.col("b"), "left").drop("b")
+    taken = taken.withColumn("n_taken", F.least("h", F.coalesce("n_base", F.lit(0).cast("long"))))
+    heads = turns.filter(F.col("pos") < MOST_TAKEN).withColumnRenamed("conv_id", "b")
+    heads = taken.select("conv_id", "base", "n_taken").join(heads, (F.col("base") == F.col("b")) & (F.col("pos") <= F.col("n_taken")))
+    own = taken.select(F.col("conv_id").alias("c"), "h", "n_taken")
+    own = turns.join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") > F.col("h")))
+    own = own.withColumn("pos", F.col("pos") - F.col("h") + F.col("n_taken"))
+    columns = ("conv_id", "pos", "said", "n_bytes")
+    length = F.col("n_taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0).cast("long"))
+    return heads.select(*columns).union(own.select(*columns)), taken.select("conv_id", length.alias("length"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, counts = prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    trie = prefix_trie.trie_of(*rebuilt(cut_lineage(turns), cut_lineage(counts)))
+    nodes = trie.nodes.join(prefix_trie.listed_digests(trie.ends), "key", "left")
+    none = F.sha2(F.lit(b""), 256)
+    return nodes.drop("key").withColumn("ends_sha256", F.coalesce("ids_sha256", none)).drop("ids_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -124,6 +156,7 @@ QUERIES = {
         op9_language_id,
         op10_simhash_near_dedup,
         op11_periodic_runs,
+        op12_prefix_trie,
     )
 }
 
