@@ -122,6 +122,12 @@ s AS (SELECT lvl AS depth, k[1:lvl] AS k, count(*) FILTER (n_children = 0) AS n_
 SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN s USING (depth, k)"""
 
 
+TOP_K = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.r != c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 5"""
+
+
 ORACLES = {
     "op1_quality_rules": quality_rules_sql(),
     "op3_source_mixing": mixing_sql(),
@@ -129,4 +135,5 @@ ORACLES = {
     "op6_chat_format": chat_sql(),
     "op7_exact_dedup": EXACT,
     "op12_prefix_trie": trie_sql(),
+    "op13_pivot_search": TOP_K,
 }

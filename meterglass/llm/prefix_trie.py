@@ -141,7 +141,7 @@ def _summed_up(nodes: DataFrame, deepest: int) -> DataFrame:
 def trie_of(turns: DataFrame, lengths: DataFrame) -> Trie:
     """The trie of numbered ``turns``; ``lengths`` (conv_id, length) has every conversation, also those without turns."""
     lengths = cut_lineage(lengths.select("conv_id", "length"))
-    longest = lengths.agg(F.max("length")).first()[0] or 0
+    longest, root_conv = lengths.agg(F.coalesce(F.max("length"), F.lit(0)), F.min("conv_id")).first()
     with_length = lengths.select(F.col("conv_id").alias("c"), "length")
     turns = turns.join(with_length, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     rows = cut_lineage(_keyed(turns, longest))
@@ -154,11 +154,10 @@ def trie_of(turns: DataFrame, lengths: DataFrame) -> Trie:
     own = {"leaf": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("n_bytes")}
     nodes = cut_lineage(nodes.withColumns(own))
     sums = _summed_up(nodes, longest)
-    # The root is one row, the parent of as many as there are first turns; the others are met by a join.
+    # The root is the parent of as many as there are first turns, and known; the others are met by a join.
     above = nodes.filter("depth > 0").select(F.concat("key", F.lit(b"")).alias("k"), F.col("conv_id").alias("parent_conv_id"))
-    top = F.broadcast(nodes.filter("depth = 0").select(F.lit(1).cast("long").alias("of"), F.col("conv_id").alias("root_conv_id")))
-    nodes = nodes.join(above, F.when(F.col("depth") > 1, F.col("parent")) == F.col("k"), "left").join(top, F.col("depth") == F.col("of"), "left")
-    nodes = nodes.withColumn("parent_conv_id", F.coalesce("parent_conv_id", "root_conv_id"))
+    nodes = nodes.join(above, F.when(F.col("depth") > 1, F.col("parent")) == F.col("k"), "left")
+    nodes = nodes.withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.lit(root_conv).cast("long")).otherwise(F.col("parent_conv_id")))
     nodes = nodes.join(sums, "key").select("key", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
     ends = rows.filter("depth = length").select("key", "conv_id").union(lengths.filter("length = 0").select(F.lit(ROOT), "conv_id"))
     return Trie(nodes, ends)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, periodic_runs, prefix_trie, quality_model, substring_dedup
+from meterglass.llm import bpe, chat_format, language_id, license_scan, mixing, periodic_runs, pivot_search, prefix_trie, quality_model, substring_dedup
 from meterglass.llm.common import WORD, cut_lineage, documents, whole_text
 from meterglass.llm.exact_dedup import exact_groups
 from meterglass.llm.oracles import ORACLES
@@ -142,6 +142,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.drop("key").withColumn("ends_sha256", F.coalesce("ids_sha256", none)).drop("ids_sha256")
 
 
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(pivot_search.finite(F.col("embedding")))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    rows = rows.select("vec_id", whole.alias("v"))
+    found = pivot_search.top_k(rows.filter("vec_id % 50 = 0"), rows)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -157,6 +165,7 @@ QUERIES = {
         op10_simhash_near_dedup,
         op11_periodic_runs,
         op12_prefix_trie,
+        op13_pivot_search,
     )
 }
 
