@@ -25,6 +25,7 @@ import re
 import tempfile
 import unicodedata
 from functools import cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -200,22 +201,38 @@ class Vocabulary:
             starts[after[after < len(codes)]] = True
 
     def merge(self, word: str) -> list[int]:
-        """The ids of one word: the pair of lowest rank is joined until none is left."""
+        """The ids of one word: the pair of lowest rank, of those the first, is joined until none is left.
+
+        Pairs wait in a heap by rank and place; one that has changed since is passed over. A word of n
+        letters takes n log n steps.
+        """
         if word in self.special:
             return [self.special[word]]
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += SUFFIX
-        ranks = [self.ranks.get(p, NO_MERGE) for p in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) != NO_MERGE:
-            # The first place; others of the same pair follow, as what a merge makes ranks later.
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = self.ranks.get((parts[i - 1], parts[i]), NO_MERGE)
-            if i < len(ranks):
-                ranks[i] = self.ranks.get((parts[i], parts[i + 1]), NO_MERGE)
-        return [self.ids[p] for p in parts]
+        n, rank_of = len(parts), self.ranks.get
+        ranks = [rank_of(p, NO_MERGE) for p in zip(parts, parts[1:])] + [NO_MERGE]
+        waiting = [(r, i) for i, r in enumerate(ranks) if r != NO_MERGE]
+        if waiting:
+            heapify(waiting)
+            after, before = list(range(1, n + 1)), list(range(-1, n))
+        while waiting:
+            rank, i = heappop(waiting)
+            if ranks[i] != rank:
+                continue
+            j = after[i]
+            k = after[i] = after[j]
+            parts[i], parts[j], ranks[j] = parts[i] + parts[j], None, NO_MERGE
+            before[k] = i
+            ranks[i] = rank_of((parts[i], parts[k]), NO_MERGE) if k < n else NO_MERGE
+            if ranks[i] != NO_MERGE:
+                heappush(waiting, (ranks[i], i))
+            h = before[i]
+            if h >= 0:
+                ranks[h] = rank_of((parts[h], parts[i]), NO_MERGE)
+                if ranks[h] != NO_MERGE:
+                    heappush(waiting, (ranks[h], h))
+        return [self.ids[p] for p in parts if p is not None]
 
 
 @cache
@@ -376,7 +393,28 @@ def slices(texts: pa.Array):
         yield own
 
 
-def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+class Memo(dict):
+    """Words that a worker has merged, with their ids; emptied where both would be more than ``most`` bytes and ids."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.held = most, 0
+
+    def keep(self, word: bytes, ids: list[int]) -> None:
+        cost = len(word) + len(ids)
+        if cost > self.most // 64:
+            return
+        if self.held + cost > self.most:
+            self.clear()
+            self.held = 0
+        self[word] = ids
+        self.held += cost
+
+
+#: Kept from batch to batch.
+MEMO = Memo()
+
+
+def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after the other, and where each text's end, from 0 on."""
     words, counts = vocab.words(texts)
     flat = words.dictionary_encode()
@@ -388,12 +426,12 @@ def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[b
     extra: list[int] = []
     for i in np.flatnonzero(~known):
         word = distinct[i].as_py()
-        if word not in memo:
-            if len(memo) >= 1 << 17:
-                memo.clear()
-            memo[word] = vocab.merge(word.decode())
-        size[i] = len(memo[word])
-        extra += memo[word]
+        own = memo.get(word)
+        if own is None:
+            own = vocab.merge(word.decode())
+            memo.keep(word, own)
+        size[i] = len(own)
+        extra += own
     # The slice's own words and their ids only: the lexicon's pages stay where they are mapped.
     start = np.zeros(len(number), np.int64)
     held = np.cumsum(size[known])
@@ -404,6 +442,10 @@ def encode_texts(texts: list[str], vocab: Vocabulary, lex: Lexicon, memo: dict[b
     return ids, np.r_[0, np.cumsum(size[at])][np.cumsum(np.r_[0, counts])]
 
 
+#: Bytes of a word of the lexicon at most, so that what comes to the driver is bounded; longer ones are merged.
+LONGEST = 256
+
+
 def frequent_words(docs: DataFrame, names: tuple[str, str], size: int) -> list[str]:
     """The most frequent words of all whole texts: whole classes of counts, ``size`` words at most."""
 
@@ -416,7 +458,8 @@ def frequent_words(docs: DataFrame, names: tuple[str, str], size: int) -> list[s
 
     ship_package(docs.sparkSession)
     words = docs.select(whole_text().alias("text")).mapInArrow(count, "word string, n long")
-    words = cut_lineage(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    words = words.filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    words = cut_lineage(words.filter("n > 1"))
     # Words fall into classes by the logarithm of their count, at most some hundreds; the rarest
     # class that still fits whole is the last one taken.
     grade = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
@@ -444,9 +487,6 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 131_072) -> tuple[tupl
     return names, ship_bytes(spark, data, "lexicon")
 
 
-#: Words that a worker has merged, kept from batch to batch.
-MEMO: dict[bytes, list[int]] = {}
-
 
 def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The ids of each text as little-endian unsigned 32-bit integers."""

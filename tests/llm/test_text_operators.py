@@ -5,6 +5,7 @@ import io
 import json
 import math
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -188,20 +189,34 @@ def test_every_code_point_is_encoded_as_the_library_does(tmp_path):
     texts += ["'s't 'S's!'s '' ''s don'tx we'll'll 're'RE've 'l 'll", "'", "x'", "<|endoftext|>'s<|startoftext|>'", "\U00011935\U00011930 \U00011938"]
     for i in range(0, len(texts), 32):
         part = texts[i : i + 32]
-        ids, ends = bpe.encode_texts(part, vocab, bpe.Lexicon(str(path)), {})
+        ids, ends = bpe.encode_texts(part, vocab, bpe.Lexicon(str(path)), bpe.Memo())
         for n, own in enumerate(reference.encode_batch(part, add_special_tokens=False)):
             assert ids[ends[n] : ends[n + 1]].tolist() == own.ids, i + n
 
 
 def test_a_very_long_text_and_a_word_without_end(spark):
     rng = random.Random(21)
-    texts = [sentence(rng, 300_000), "x" * 20_000, "\u4e2d" * 5_000]
+    texts = [sentence(rng, 300_000), "x" * 20_000, "\u4e2d" * 5_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))]
     reference = Tokenizer.from_file(VOCABULARY)
     got = bpe.encode(odd_documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), VOCABULARY).collect()
     for r in got:
         assert np.frombuffer(r["ids"], "<u4").tolist() == reference.encode(texts[r["doc_id"]], add_special_tokens=False).ids
 
 
+def test_merging_takes_time_in_proportion_and_the_memo_is_bounded():
+    vocab = bpe.Vocabulary(VOCABULARY, io.BytesIO(bpe.library_tables(VOCABULARY)))
+    rng = random.Random(2)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.process_time()
+    assert len(vocab.merge(word)) > 200_000 and time.process_time() - began < 20
+    memo = bpe.Memo(most=6400)
+    for i in range(3000):
+        memo.keep(f"word{i}".encode(), [1, 2, 3])
+        assert memo.held == sum(len(w) + len(x) for w, x in memo.items()) <= 6400
+    memo.keep(b"x" * 101, [1])
+    assert b"x" * 101 not in memo and memo.get(b"word2999") == [1, 2, 3]
+
+
 def test_encoding_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = bpe.encode(docs, VOCABULARY)
