@@ -1,9 +1,9 @@
 """Chat records of any known layout as one training text each, in DataFrame operations only.
 
-A layout is known by its nested field paths. Those of a frame (from its schema) or of a JSON record
-(probed row by row) select a declarative mapping to canonical turns: role and text, in order. A frame
-is known by its paths' fingerprint, a record by the layout that needs most of what it fills. Fields
-that no layout uses don't count, so further columns and keys of any name do no harm.
+A layout is known by its nested field paths. Their fingerprint, that of a frame's schema or of a JSON
+record, selects a declarative mapping to canonical turns: role and text, in order. A record's
+fingerprint also says which of its paths hold a value, and selects the layout that needs most of what
+is filled. Fields that no layout uses don't count, so further columns and keys of any name do no harm.
 
 The template marks where a turn starts, where its text starts and where it ends. Inside roles and
 texts a backslash is doubled and put after the first character of every control string, those of
@@ -110,8 +110,11 @@ def layout_of(paths: set[str]) -> Layout:
     """The layout whose fingerprint the known ones of ``paths`` have.
 
     Where they are of no layout, it is that of most paths, all of which are there: other fields of
-    known names do no harm. The first of equals is taken.
+    known names do no harm. The first of equals is taken. A table of turns is one whatever else it has.
     """
+    for x in LAYOUTS:
+        if x.at and set(x.paths) <= paths:
+            return x
     by = {fingerprint(x.paths): x for x in reversed(LAYOUTS)}
     exact = by.get(fingerprint(paths & KNOWN))
     inside = [x for x in LAYOUTS if set(x.paths) <= paths]
@@ -140,63 +143,66 @@ def _clean(role: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c.split(".")[-1]) for c in (role, text)]
 
 
-def _paths(v: Column) -> tuple[Column, Column]:
-    """The paths of layouts that a JSON value has, over all elements of its arrays, and those of them with a value."""
-    none = F.array().cast("array<variant>")
+def _quoted(names) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in names) + ")"
 
-    def named(name: str):
-        keys = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
-        return lambda x: F.coalesce(F.array_contains(keys(x), name), F.lit(False))
 
-    def valued(name: str):
-        return lambda x: F.try_variant_get(x, f"$.{name}", "string").isNotNull()
+def _paths(v: str) -> tuple[str, str]:
+    """SQL for the paths of layouts that a JSON value has, over all elements of its arrays, and for those with a value."""
+    known = sorted({p for x in RECORDS for p in x.paths})
+    out = []
+    for keys in ("map_keys({})", "map_keys(map_filter({}, (k, y) -> NOT is_variant_null(y)))"):
+        named = keys.format("coalesce(try_variant_get({}, '$', 'map<string,variant>'), cast(map() AS map<string,variant>))")
+        found = [named.format(v)]
+        for field in sorted({p.partition("[].")[0] for p in known if "[]." in p}):
+            items = f"coalesce(try_variant_get({v}, '$.{field}', 'array<variant>'), cast(array() AS array<variant>))"
+            own = f"array_distinct(flatten(transform({items}, x -> {named.format('x')})))"
+            found.append(f"transform({own}, p -> concat('{field}[].', p))")
+        out.append(f"array_sort(array_intersect(concat({', '.join(found)}), {_quoted(known)}))")
+    return tuple(out)
 
-    has, filled = [], []
-    for path in sorted({p for x in RECORDS for p in x.paths}):
-        field, _, own = path.partition("[].")
-        items = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), none) if own else F.array(v)
-        has.append(F.when(F.exists(items, named(own or field)), path))
-        filled.append(F.when(F.exists(items, valued(own or field)), path))
-    return tuple(F.array_compact(F.array(*x)) for x in (has, filled))
 
+def _layouts(rows: DataFrame) -> DataFrame:
+    """fp, layout of every distinct fingerprint of ``rows`` (has, filled, fp): three to the number of known paths at most."""
+    ranks = []
+    for n, x in enumerate(RECORDS):
+        need, size = _quoted(x.paths), len(x.paths)
+        rank = f"named_struct('given', -size(array_intersect(filled, {need})), 'need', {size}, 'n', {n})"
+        ranks.append(f"CASE WHEN size(array_intersect(has, {need})) = {size} THEN {rank} END")
+    kinds = rows.groupBy("fp").agg(F.first("has").alias("has"), F.first("filled").alias("filled"))
+    return kinds.selectExpr("fp", f"array_min(array_compact(array({', '.join(ranks)}))).n AS layout")
 
-def _text_of(field: Column, kind: str) -> Column:
-    """An array of turns with its contents as text; any other field as it is."""
-    if "variant" not in kind:
-        return field
-    role, text = kind.removeprefix("array<struct<").split(":")[0].strip("`"), kind.split(",")[1].split(":")[0]
-
-    def turn(x: Column) -> Column:
-        listed = F.coalesce(F.schema_of_variant(x[text]).startswith("ARRAY"), F.lit(False))
-        whole = F.try_variant_get(x[text], "$", "string")
-        return F.struct(x[role].alias(role), F.when(listed, _parts(x[text])).otherwise(whole).alias(text))
-
-    return F.transform(field, turn)
 
+def _field(name: str, kind: str) -> str:
+    """SQL for a probed field of ``v``, null unless the layout has it; contents of an array's turns as text.
 
-def _parts(content: Column) -> Column:
-    """The texts of a content's parts one after the other; a part without text stays as its JSON."""
-    parts = F.try_variant_get(content, "$", "array<variant>")
-    own = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"), F.lit(""))
-    return F.array_join(F.transform(parts, own), "")
+    Of a content that is a list of parts the texts follow each other; a part without text stays as its JSON.
+    """
+    users = [str(n) for n, x in enumerate(RECORDS) if any(p.partition("[].")[0] == name for p in x.paths)]
+    value = f"try_variant_get(v, '$.{name}', '{kind}')"
+    if "variant" in kind:
+        role, text = (x.partition(":")[0] for x in kind.removeprefix("array<struct<").removesuffix(">>").split(","))
+        part = "coalesce(try_variant_get(p, '$.text', 'string'), try_variant_get(p, '$', 'string'), '')"
+        listed = f"array_join(transform(try_variant_get(x.{text}, '$', 'array<variant>'), p -> {part}), '')"
+        whole = f"CASE WHEN startswith(schema_of_variant(x.{text}), 'ARRAY') THEN {listed} ELSE try_variant_get(x.{text}, '$', 'string') END"
+        value = f"transform({value}, x -> named_struct('{role.strip('`')}', x.{role}, '{text}', {whole}))"
+    return f"CASE WHEN layout IN ({', '.join(users)}) THEN {value} END AS {name}"
 
 
 def _mapped(df: DataFrame, record: str, id_column: str) -> DataFrame:
-    """conv_id, v, turns of every record; turns are null where no layout's paths are all there."""
+    """conv_id, v, turns of every record; turns are null where no layout's paths are all there.
+
+    The hash of a record's paths, and of those that hold a value, is its fingerprint. Each distinct one
+    selects a layout once; records meet that small table, and only their layout's fields are read.
+    """
     rows = df.select(F.col(id_column).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
-    has, filled = _paths(F.col("v"))
-    fields = {k: _text_of(F.try_variant_get("v", f"$.{k}", kind), kind) for k, kind in FIELDS.items()}
-    rows = rows.select("conv_id", "v", has.alias("has"), filled.alias("filled"), *[c.alias(k) for k, c in fields.items()])
-    ranks, turns = [], F.lit(None).cast("array<struct<role:string,text:string>>")
-    for n, x in enumerate(RECORDS):
-        need = F.array(*map(F.lit, x.paths))
-        given = F.size(F.array_intersect("filled", need))
-        rank = F.struct((-given).alias("given"), F.lit(len(x.paths)).alias("need"), F.lit(n).alias("n"))
-        ranks.append(F.when(F.size(F.array_intersect("has", need)) == len(x.paths), rank))
-    rows = rows.withColumn("layout", F.array_min(F.array_compact(F.array(*ranks)))["n"])
-    for n, x in enumerate(RECORDS):
-        turns = F.when(F.col("layout") == n, F.expr(x.turns)).otherwise(turns)
-    return rows.select("conv_id", "v", turns.alias("turns"))
+    has, filled = _paths("v")
+    shown = rows.selectExpr("conv_id", "v", f"{has} AS has", f"{filled} AS filled")
+    shown = shown.withColumn("fp", F.xxhash64("has", F.lit("|"), "filled"))
+    rows = shown.select("conv_id", "v", "fp").join(F.broadcast(_layouts(shown.select("fp", "has", "filled"))), "fp")
+    rows = rows.selectExpr("conv_id", "v", "layout", *[_field(k, kind) for k, kind in FIELDS.items()])
+    cases = " ".join(f"WHEN {n} THEN {x.turns}" for n, x in enumerate(RECORDS))
+    return rows.selectExpr("conv_id", "v", f"CASE layout {cases} END AS turns")
 
 
 def turns_of_records(df: DataFrame, record: str = "record", id_column: str = "conv_id") -> DataFrame:

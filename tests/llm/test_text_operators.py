@@ -534,3 +534,25 @@ def test_vectors_are_sums_of_bound_trigrams():
     expected = bound("_ab") + bound("ab_") + bound("_c_")
     got = language_id.vectors(["1 Ab, c!", "", "??"])
     assert np.array_equal(got[0], expected) and not got[1:].any()
+
+
+def test_a_table_of_turns_keeps_its_turns_whatever_else_it_has(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string")
+    df = df.withColumns({c: F.lit(c[0]) for c in ("instruction", "input", "output", "system", "prompt", "completion", "layout", "fp", "v")})
+    got = collected(chat_format.turns_of_frame(df), "conv_id", "turn", "role", "text")
+    assert got == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+
+
+def test_records_meet_a_small_plan_and_take_long_texts_and_no_rows(spark):
+    """The fingerprint is worked out once per record: the plan stays small; clashing columns are left alone."""
+    long = "word </s> " * 100_000
+    rows = [(1, json.dumps({"prompt": long, "completion": None})), (2, json.dumps({"messages": [{"role": "user", "content": long}]})), (3, "{"), (4, None), (5, "[1]"), (6, "{}")]
+    df = spark.createDataFrame(rows, "conv_id bigint, record string").withColumns({c: F.lit(7) for c in ("fp", "layout", "has", "filled", "v", "turns", "messages")})
+    turns = chat_format.turns_of_records(df)
+    assert len(turns._jdf.queryExecution().executedPlan().toString()) < 150_000
+    assert collected(turns) == [(1, 0, "user", long), (1, 1, "assistant", ""), (2, 0, "user", long)]
+    back = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_turns(turns)).collect()}
+    assert back[2]["turns"][0]["text"] == long and back[1]["loss_text"] == ""
+    assert {(r["conv_id"], r["reason"]) for r in chat_format.unmatched_records(df).collect()} == {(3, "no json"), (4, "no json"), (5, "no layout"), (6, "no layout")}
+    assert chat_format.turns_of_records(df.filter("false")).count() == 0
+    assert chat_format.format_turns(turns.filter("false")).count() == 0 and chat_format.unmatched_records(df.filter("false")).count() == 0
