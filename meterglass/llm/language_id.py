@@ -10,7 +10,7 @@ partial sums are aggregated by language and dimension. Profiles are few and broa
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ SEED = 20_240_611
 MAX_ROWS = 20_000
 #: Texts and characters that are turned into vectors together.
 TEXTS, CHARS = 64, 1 << 20
+#: Counts of a trigram in a text that are held at once; texts of wider alphabets are taken in smaller parts.
+COUNTS = 1 << 21
 
 
 @cache
@@ -32,7 +34,7 @@ def letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-@cache
+@lru_cache(1 << 16)
 def letter(code: int) -> np.ndarray:
     return np.random.default_rng((SEED, code)).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
 
@@ -63,6 +65,9 @@ def vectors(texts: list[str]) -> np.ndarray:
         at = place[grams]
     else:
         distinct, at = np.unique(grams, return_inverse=True)
+    if len(texts) > 1 and len(texts) * len(distinct) > COUNTS:
+        half = len(texts) // 2
+        return np.concatenate([vectors(texts[:half]), vectors(texts[half:])])
     counts = np.bincount(owner * len(distinct) + at, minlength=len(texts) * len(distinct))
     counts = counts.reshape(len(texts), -1).astype(np.float32)
     own = np.array([letter(int(c)) for c in present])

@@ -556,3 +556,17 @@ def test_records_meet_a_small_plan_and_take_long_texts_and_no_rows(spark):
     assert {(r["conv_id"], r["reason"]) for r in chat_format.unmatched_records(df).collect()} == {(3, "no json"), (4, "no json"), (5, "no layout"), (6, "no layout")}
     assert chat_format.turns_of_records(df.filter("false")).count() == 0
     assert chat_format.format_turns(turns.filter("false")).count() == 0 and chat_format.unmatched_records(df.filter("false")).count() == 0
+
+
+def test_vectors_of_wide_alphabets_take_bounded_memory():
+    """64 texts of random characters of a large alphabet: what each text has does not depend on the others, nor memory."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = ["".join(map(chr, rng.choices(range(0x4E00, 0x9FA0), k=4000))) for _ in range(64)]
+    tracemalloc.start()
+    got = language_id.vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert (got[[0, 31, 63]] == np.concatenate([language_id.vectors([texts[i]]) for i in (0, 31, 63)])).all()
