@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,32 +94,59 @@ DISPLAY_NAMES = {
     "grok-3": "Grok 3",
     "grok-3-mini": "Grok 3 Mini",
 }
-#: What a name of a family is shown as; a pattern's groups go into the template.
-FAMILIES = (
-    (r"claude[-_]?(opus|sonnet|haiku)[-_]?4[-_.]?5", "Claude $1 4.5"),
-    (r"claude[-_]?4[-_]?(opus|sonnet|haiku)", "Claude 4 $1"),
-    (r"claude[-_]?(opus|sonnet|haiku)[-_]?4", "Claude $1 4"),
-    (r"claude[-_]?3[-_.]?([57])[-_]?(sonnet)", "Claude 3.$1 $2"),
-    (r"claude[-_]?3[-_.]?5[-_]?haiku", "Claude 3.5 Haiku"),
-    (r"claude[-_]?3[-_]?(opus|sonnet|haiku)", "Claude 3 $1"),
-    (r"gpt[-_]?5[-_.]?1", "GPT-5.1"),
-    (r"gpt[-_]?5", "GPT-5"),
-    (r"gpt[-_]?4[-_]?o[-_]?mini", "GPT-4o Mini"),
-    (r"gpt[-_]?4[-_]?o", "GPT-4o"),
-    (r"gpt[-_]?4[-_]?turbo", "GPT-4 Turbo"),
-    (r"gpt[-_]?4", "GPT-4"),
-    (r"^o1[-_]?mini", "o1 Mini"),
-    (r"^o1[-_]?preview", "o1 Preview"),
-    (r"^o3[-_]?mini", "o3 Mini"),
-    (r"^o([13])$", "o$1"),
-    (r"gemini[-_]?3[-_]?(pro|flash)", "Gemini 3 $1"),
-    (r"gemini[-_]?([12])[-_.]?([05])[-_]?(pro|flash)", "Gemini $1.$2 $3"),
-    (r"grok[-_]?3[-_]?mini", "Grok Code 3 Mini"),
-    (r"grok[-_]?3", "Grok Code 3"),
-    (r"grok", "Grok Code"),
-    (r"deepseek[-_]?(v3|r1)", "DeepSeek $1"),
-    (r"deepseek", "DeepSeek"),
-)
+#: Fixed values, the first that a name holds counts: forms of a name and what they are shown as. Where a form has
+#: a space a name may have a dash or an underscore, where it has a point also a point; "^" and "$" are a name's ends.
+FAMILIES = {
+    "claude opus 4.5": "Claude Opus 4.5",
+    "claude 4 opus": "Claude 4 Opus",
+    "claude opus 4": "Claude Opus 4",
+    "claude sonnet 4.5": "Claude Sonnet 4.5",
+    "claude 4 sonnet": "Claude 4 Sonnet",
+    "claude sonnet 4": "Claude Sonnet 4",
+    "claude haiku 4.5": "Claude Haiku 4.5",
+    "claude 4 haiku": "Claude 4 Haiku",
+    "claude haiku 4": "Claude Haiku 4",
+    "claude 3.7 sonnet": "Claude 3.7 Sonnet",
+    "claude 3.5 sonnet": "Claude 3.5 Sonnet",
+    "claude 3.5 haiku": "Claude 3.5 Haiku",
+    "claude 3 opus": "Claude 3 Opus",
+    "claude 3 sonnet": "Claude 3 Sonnet",
+    "claude 3 haiku": "Claude 3 Haiku",
+    "gpt 5.1": "GPT-5.1",
+    "gpt 5": "GPT-5",
+    "gpt 4 o mini": "GPT-4o Mini",
+    "gpt 4 o": "GPT-4o",
+    "gpt 4 turbo": "GPT-4 Turbo",
+    "gpt 4": "GPT-4",
+    "^o1 mini": "o1 Mini",
+    "^o1 preview": "o1 Preview",
+    "^o3 mini": "o3 Mini",
+    "^o1$": "o1",
+    "^o3$": "o3",
+    "gemini 3 pro": "Gemini 3 Pro",
+    "gemini 3 flash": "Gemini 3 Flash",
+    "gemini 2.5 pro": "Gemini 2.5 Pro",
+    "gemini 2.5 flash": "Gemini 2.5 Flash",
+    "gemini 2.0 flash": "Gemini 2.0 Flash",
+    "gemini 1.5 pro": "Gemini 1.5 Pro",
+    "gemini 1.5 flash": "Gemini 1.5 Flash",
+    "grok 3 mini": "Grok Code 3 Mini",
+    "grok 3": "Grok Code 3",
+    "grok": "Grok Code",
+    "deepseek v3": "DeepSeek V3",
+    "deepseek r1": "DeepSeek R1",
+    "deepseek": "DeepSeek",
+}
+#: What may follow a model's own name, from left to right: how it thinks, with what effort, a tag, dates.
+TAIL = r"(?i)([-_]thinking)?([-_](high|medium|low))?(:[-\w]+)?(-\d{8})?(-20\d{6,8}(-\d+)?)?$"
+EFFORT = r"(?i)[-_](high|medium|low)$"
+#: Vendors whose name takes the next part of a model's name with it, which stays in lower case.
+GLUED = r"(?i)^(claude|gemini)[-_]"
+
+
+def form_pattern(form: str) -> str:
+    """The regular expression of a form of FAMILIES."""
+    return "(?i)" + form.replace(".", "[-_.]?").replace(" ", "[-_]?")
 
 
 def first_of(rules: list[tuple[Column, object]], otherwise: object = None) -> Column:
@@ -179,30 +204,27 @@ def source_label(source: Column) -> Column:
     return first_of([(source == k, v) for k, v in SOURCE_LABELS.items()], other)
 
 
+def _capital(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
+
+
 def model_label(model: Column) -> Column:
-    """A display name: known names as they are listed, else without date, tag and effort by family or part by part.
+    """A display name: a known name's, else that of the first form it holds, else its parts, each with a capital.
 
-    A part, what stands between dashes or underscores, begins with a capital and goes on in lower case.
+    The tail does not count, but an effort at the very end is shown.
     """
-    effort = F.lower(F.regexp_extract(model, r"(?i)[-_](high|medium|low)$", 1))
-    suffix = F.when(effort == "", "").otherwise(F.concat(F.lit(" "), F.initcap(effort)))
-    bare = model
-    for pattern in (r"-20\d{6,8}(-\d+)?$", r"-\d{8}$", r":[-\w]+$", r"(?i)[-_](high|medium|low)$", r"(?i)[-_]thinking$"):
-        bare = F.regexp_replace(bare, pattern, "")
-    named = []
-    for pattern, template in FAMILIES:
-        found = F.regexp_extract(bare, "(?i)" + pattern, 0)
-        label = F.regexp_replace(F.lower(found), "(?i)" + pattern, template)
-        label = reduce(lambda c, w: F.replace(c, F.lit(w), F.lit(w.title())), ("opus", "sonnet", "haiku", "pro", "flash", "v3", "r1"), label)
-        named.append((bare.rlike("(?i)" + pattern), label))
-    plain = bare
-    for head, label in (("claude", "Claude "), ("gpt", "GPT-"), ("gemini", "Gemini "), ("grok", "Grok Code ")):
-        plain = F.regexp_replace(plain, f"(?i)^{head}[-_]", label)
-    parts = F.filter(F.split(plain, "[-_]"), lambda w: w != "")
-    part = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
-    plain = F.trim(F.array_join(F.transform(parts, part), " "))
-    known = [(model == name, label) for name, label in DISPLAY_NAMES.items()]
-    return first_of(known, F.concat(first_of(named, plain), suffix))
+    bare = F.regexp_replace(model, TAIL, "")
+    effort = F.regexp_extract(model, EFFORT, 1)
+    shown = F.when(effort == "", "").otherwise(F.concat(F.lit(" "), _capital(effort)))
+    vendor = F.regexp_extract(bare, GLUED, 1)
+    rest = F.when(vendor == "", bare).otherwise(F.substring(bare, F.length(vendor) + 2, F.length(bare)))
+    first = F.when(vendor == "", F.lit("")).otherwise(F.regexp_extract(rest, "^[^-_]*", 0))
+    glued = F.when(vendor != "", F.concat(_capital(vendor), F.lit(" "), F.lower(first)))
+    others = F.filter(F.split(F.substring(rest, F.length(first) + 1, F.length(rest)), "[-_]"), lambda w: w != "")
+    parts = F.array_compact(F.concat(F.array(glued), F.transform(others, _capital)))
+    families = [(bare.rlike(form_pattern(form)), F.lit(label)) for form, label in FAMILIES.items()]
+    known = [(model == name, F.lit(label)) for name, label in DISPLAY_NAMES.items()]
+    return first_of(known, F.concat(first_of(families, F.trim(F.array_join(parts, " "))), shown))
 
 
 def table_label(model: Column) -> Column:

@@ -46,11 +46,23 @@ def whole(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def compact(n: Column, digits: int = 1) -> Column:
-    """1.2K, 3.4M, 5.6B; smaller numbers as they are."""
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many digits, rounded by its exact binary value from 1 on: 411.645 lies below that and is 411.64.
+
+    The part after the point is exact when the whole is taken away, and shows on which side it lies.
+    """
+    whole_, unit = F.floor(x), 10**digits
+    parts = F.replace(F.format_string(f"%.{digits}f", x - whole_), F.lit("."), F.lit("")).cast("bigint") + whole_ * unit
+    apart = F.concat(F.floor(parts / unit).cast("bigint").cast("string"), F.lit("."), F.lpad((parts % unit).cast("string"), digits, "0"))
+    return F.when((x >= 1) & (x < 1e12), apart).otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def compact(n: Column, digits: int = 1, large: int | None = None) -> Column:
+    """1.2K, 3.4M, 5.6B; smaller numbers as they are. ``large`` is the number of digits of M and B, where it differs."""
     scaled = F.lit(None).cast("string")
     for limit, mark in ((10**9, "B"), (10**6, "M"), (10**3, "K")):
-        scaled = F.coalesce(scaled, F.when(n >= limit, F.concat(F.format_string(f"%.{digits}f", n.cast("double") / limit), F.lit(mark))))
+        shown = digits if large is None or mark == "K" else large
+        scaled = F.coalesce(scaled, F.when(n >= limit, F.concat(fixed(n.cast("double") / limit, shown), F.lit(mark))))
     return F.coalesce(scaled, n.cast("string"))
 
 
@@ -65,24 +77,13 @@ def thousands(n: Column) -> Column:
     return F.format_number(n.cast("bigint"), 0)
 
 
-def two_digits(x: Column) -> Column:
-    """A double with two digits, rounded by its exact binary value from 1 on: 411.645 lies below that and is 411.64.
-
-    The part after the point is exact when the whole is taken away, and shows on which side it lies.
-    """
-    whole_ = F.floor(x)
-    cents = F.replace(F.format_string("%.2f", x - whole_), F.lit("."), F.lit("")).cast("bigint") + whole_ * 100
-    apart = F.concat((F.floor(cents / 100)).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when((x >= 1) & (x < 1e12), apart).otherwise(F.format_string("%.2f", x))
-
-
 def currency(cost: Column, kilo: bool = False) -> Column:
     """$1234.50; with ``kilo`` $1.23K from a thousand on."""
     cost = cost.cast("double")
-    plain = F.concat(F.lit("$"), two_digits(cost))
+    plain = F.concat(F.lit("$"), fixed(cost, 2))
     if not kilo:
         return plain
-    return F.when(cost >= 1000, F.concat(F.lit("$"), two_digits(cost / 1000), F.lit("K"))).otherwise(plain)
+    return F.when(cost >= 1000, F.concat(F.lit("$"), fixed(cost / 1000, 2), F.lit("K"))).otherwise(plain)
 
 
 def day_label(day: Column, full: bool = False) -> Column:

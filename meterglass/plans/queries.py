@@ -696,6 +696,48 @@ def filtered_by_source_resummary(spark, sf_dir):
     return community.refilter(parts(spark, sf_dir).withColumns(zeros), sources=["claude", "codex"])
 
 
+#: Models' names are made of these, by the number of a part; and what follows them.
+HEADS = """claude-opus-4-5 claude_opus_4.5 claude4opus Claude-Opus-4 claude-sonnet-45 claude-4-sonnet claude-sonnet-4 claude-haiku-4.5 claude-4_haiku claude-haiku-4 claude-3-7-sonnet
+claude3.5sonnet claude-3-5-haiku claude-3-opus claude_3_sonnet claude-3-haiku claude-instant-1 claude--x claude-2.1 gpt-5.1-codex gpt-5-1 GPT-5 gpt-4-o-mini gpt4o gpt-4-turbo gpt-4.1 gpt-3.5-turbo
+o1-mini o1_preview o3mini o1 o3 o1-pro pro-o1-mini gemini-3-pro gemini-3_flash gemini-2.5-pro gemini-2-5-flash gemini-2.0-flash gemini-2.0-pro-exp gemini-1.5-pro gemini_1_5_flash gemini-1.0-pro-vision
+gemini-1-0-flash grok-3-mini grok-3 grok-4-fast deepseek-v3 deepseek_r1 deepseek-coder some_NEW-model kimi-k2 glm.4 x/claude-opus-4""".split()
+TAILS = ("", "-high", "_Medium", "-thinking", "-thinking-low", "-20250514", "-20241022-2", "-12345678", ":free", "-high:beta", "-20250101:x", "-low-thinking", "-2024")
+MADE_NAMES = f"""SELECT DISTINCT ({"[" + ", ".join(f"'{h}'" for h in HEADS) + "]"})[1 + p_partkey % {len(HEADS)}] || ({list(TAILS)})[1 + (p_partkey // {len(HEADS)}) % {len(TAILS)}] AS model_id FROM part"""
+
+
+def _label_sql() -> str:
+    """The label of ``model_id``, whose name without tail is ``bare``."""
+    known = " ".join(f"WHEN model_id = '{k}' THEN '{v}'" for k, v in names.DISPLAY_NAMES.items())
+    families = " ".join(f"WHEN regexp_matches(bare, '{names.form_pattern(k)}') THEN '{v}'" for k, v in names.FAMILIES.items())
+    capital = lambda w: f"(upper({w}[1]) || lower({w}[2:]))"
+    # The vendor and what it takes with it are one word.
+    word = f"string_split_regex(CASE WHEN regexp_matches(bare, '{names.GLUED}') THEN regexp_replace(bare, '{names.GLUED}', '\\1 ') ELSE bare END, '[-_]')"
+    plain = f"trim(array_to_string(list_transform(list_filter({word}, lambda w: w != ''), lambda w: {capital('w')}), ' '))"
+    effort = f"regexp_extract(model_id, '{names.EFFORT}', 1)"
+    return f"CASE {known} ELSE (CASE {families} ELSE {plain} END) || CASE WHEN {effort} = '' THEN '' ELSE ' ' || {capital(effort)} END END"
+
+
+@query(f"""WITH n AS ({MADE_NAMES}), b AS (SELECT model_id, regexp_replace(model_id, '{names.TAIL}', '') AS bare FROM n)
+SELECT model_id, {_label_sql()} AS label FROM b""")
+def model_labels(spark, sf_dir):
+    """Display names of models' names of every form and tail."""
+    key = F.col("p_partkey")
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (1 + key % len(HEADS)).cast("int"))
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (1 + F.floor(key / len(HEADS)) % len(TAILS)).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.concat(head, tail).alias("model_id")).distinct()
+    return rows.select("model_id", names.model_label(F.col("model_id")).alias("label"))
+
+
+#: DuckDB rounds halves that a double can hold to the even digit: those are lifted first.
+@query("""WITH t AS (SELECT DISTINCT CAST(p_size AS BIGINT) * 37 * p_partkey AS n FROM part),
+x AS (SELECT n, n / 1e3 + CASE WHEN n % 500 = 250 THEN 0.01 ELSE 0 END AS k, n / 1e6 + CASE WHEN n % 250000 = 125000 THEN 0.001 ELSE 0 END AS m FROM t)
+SELECT n, CASE WHEN n >= 1000000 THEN printf('%.2fM', m) WHEN n >= 1000 THEN printf('%.1fK', k) ELSE CAST(n AS VARCHAR) END AS label FROM x""")
+def review_tokens(spark, sf_dir):
+    """Token counts as the review shows them: one digit for K, two for M and B."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_size").cast("bigint") * 37 * F.col("p_partkey")).alias("n")).distinct()
+    return rows.select("n", values.compact(F.col("n"), large=2).alias("label"))
+
+
 #: A fault for each rule that the tables don't break by themselves, by the last digit of the submission:
 #: V1 1 (intensity) and 2 (source), V3 and V6 3, V2 4 (end), V4 5, V5 6, V8 7, V9 8, V10 submission 9.
 FAULTS = f"""WITH {PARTS}, r AS (SELECT user_id AS id, date, CASE WHEN user_id % 10 = 2 AND source = 'gemini' THEN 'droid' ELSE source END AS source, tokens * CASE WHEN user_id % 10 = 8 THEN 100 ELSE 1 END AS tokens, cost FROM parts),

@@ -88,6 +88,32 @@ def test_display_names_of_known_models_and_of_others(spark):
     assert apply(spark, names.model_label, given) == ["Grok 3", "Grok 3 Mini", "Grok Code 3 High", "Claude instant 1", "Gpt 3.5 Turbo", "o1", "Claude Sonnet 4", "Some New Model"]
 
 
+LABELS = {
+    "claude-opus-4-5-20251101": "Claude Opus 4.5", "claude_opus_4.5": "Claude Opus 4.5", "claude-opus-45": "Claude Opus 4.5", "claude-4-opus": "Claude 4 Opus", "claude-opus-4": "Claude Opus 4",
+    "claude-opus-4-1": "Claude Opus 4", "claude-sonnet-4-5-high": "Claude Sonnet 4.5 High", "Claude-4_Sonnet": "Claude 4 Sonnet", "claude-sonnet-4-thinking": "Claude Sonnet 4",
+    "claude-haiku-4-5": "Claude Haiku 4.5", "claude4haiku": "Claude 4 Haiku", "claude-haiku-4": "Claude Haiku 4", "claude-3-7-sonnet": "Claude 3.7 Sonnet", "claude-3.5-sonnet": "Claude 3.5 Sonnet",
+    "claude-3-5-haiku": "Claude 3.5 Haiku", "claude-3-opus": "Claude 3 Opus", "claude-3-sonnet": "Claude 3 Sonnet", "claude3haiku": "Claude 3 Haiku", "claude-4.5-opus": "Claude 4.5 Opus",
+    "claude--opus-4": "Claude  Opus 4", "claude-": "Claude", "claude-instant-1": "Claude instant 1", "claude-3.opus": "Claude 3.opus", "gpt-5-1": "GPT-5.1", "gpt-5-mini": "GPT-5",
+    "gpt-4-o-mini": "GPT-4o Mini", "gpt-4o-2024-08-06": "GPT-4o", "gpt4turbo": "GPT-4 Turbo", "gpt-4.1": "GPT-4", "gpt-3.5-turbo": "Gpt 3.5 Turbo", "o1-mini-x": "o1 Mini", "o1_preview-2": "o1 Preview",
+    "o3mini": "o3 Mini", "O1": "o1", "o3-high": "o3 High", "o1-pro": "O1 Pro", "x-o1-mini": "X O1 Mini", "-o1-mini": "O1 Mini", "gemini-3-pro-preview": "Gemini 3 Pro", "gemini_3_flash": "Gemini 3 Flash",
+    "gemini-2-5-pro": "Gemini 2.5 Pro", "gemini-25-flash": "Gemini 2.5 Flash", "gemini-2.0-flash-lite": "Gemini 2.0 Flash", "gemini-1.5-pro-002": "Gemini 1.5 Pro", "gemini-1_5_flash": "Gemini 1.5 Flash",
+    "gemini-1.0-pro-vision": "Gemini 1.0 Pro Vision", "gemini-2.0-pro-exp": "Gemini 2.0 Pro Exp", "gemini-1-0-flash": "Gemini 1 0 Flash", "grok-3": "Grok 3", "grok-3-mini-low": "Grok Code 3 Mini Low",
+    "grok-3-beta": "Grok Code 3", "x-ai/grok-4": "Grok Code", "deepseek-v3.1": "DeepSeek V3", "deepseek_r1": "DeepSeek R1", "deepseek-chat": "DeepSeek", "kimi-k2-20250711-1": "Kimi K2", "kimi-k2-20250711-1:free": "Kimi K2 20250711 1",
+    "kimi-k2-12345678": "Kimi K2", "kimi-k2-12345678-20250101": "Kimi K2", "kimi-20250101:x": "Kimi 20250101", "kimi-high-thinking": "Kimi High", "kimi-thinking-high": "Kimi High", "kimi-high:x": "Kimi",
+    "kimi-2024": "Kimi 2024", "_a__b-": "A B",
+}
+
+
+def test_display_names_of_every_family_and_tail(spark):
+    got = dict(zip(LABELS, apply(spark, names.model_label, list(LABELS))))
+    assert got == LABELS
+
+
+def test_tokens_as_the_review_shows_them(spark):
+    given = [999, 1500, 2_500_000, 3_000_000_000]
+    assert apply(spark, lambda c: values.compact(c, large=2), given, "bigint") == ["999", "1.5K", "2.50M", "3.00B"]
+
+
 def test_names_in_tables(spark):
     given = ["claude-sonnet-4-20250514", "claude-opus-4-5-20251101", "claude-opus-4-5-high", "gpt-4o", "x/claude-haiku-4-5-20251001-v1"]
     assert apply(spark, names.table_label, given) == ["sonnet-4", "opus-4-5", "opus-4-5-high", "gpt-4o", "haiku-4-5"]
