@@ -337,7 +337,7 @@ def codex_delta(spark, sf_dir):
         F.when(~context & (F.col("k") % 3 != 0), usage_of(F.col("k"))).alias("last"),
         F.when(~context & (F.col("k") % 4 != 0), usage_of(F.col("event_id") * 10)).alias("total"),
     )
-    deltas = sessions.usage_deltas(events, "user_id", "pos")
+    deltas = sessions.usage_deltas(events, "user_id", "pos", block=F.floor(F.col("pos") / 4096))
     return deltas.groupBy("user_id", "model_id").agg(F.count("*").alias("messages"), F.sum("used.input").alias("used"))
 
 

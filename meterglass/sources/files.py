@@ -54,9 +54,9 @@ def _missing(e: AnalysisException) -> bool:
 
 
 def texts(spark: SparkSession, root: str, pattern: str, whole: bool = True) -> DataFrame:
-    """path, modified (epoch ms), block and value: a row per file, or per line; none if the root is missing.
+    """path, modified (epoch ms), block, split and value: a row per file, or per line; none if the root is missing.
 
-    ``block`` is where the part of the file begins that a line was read with.
+    ``block`` is where the part of the file begins that a line was read with; ``split`` says that it is not all of it.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     # Files that vanish or can't be read are passed over.
@@ -66,10 +66,11 @@ def texts(spark: SparkSession, root: str, pattern: str, whole: bool = True) -> D
     except AnalysisException as e:
         if not _missing(e):
             raise
-        return spark.createDataFrame([], "path string, modified bigint, block bigint, value string")
+        return spark.createDataFrame([], "path string, modified bigint, block bigint, split boolean, value string")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     modified = F.unix_millis("_metadata.file_modification_time").alias("modified")
-    return rows.select(path.alias("path"), modified, F.col("_metadata.file_block_start").alias("block"), "value")
+    split = F.col("_metadata.file_block_length") < F.col("_metadata.file_size")
+    return rows.select(path.alias("path"), modified, F.col("_metadata.file_block_start").alias("block"), split.alias("split"), "value")
 
 
 def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:

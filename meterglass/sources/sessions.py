@@ -67,35 +67,56 @@ def claude(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """path, pos, value: a file's lines and their places, which grow along the file.
+    """path, pos, value, split: a file's lines and their places, which grow along the file.
 
-    A large file is read in blocks by many tasks; a place is the block's start and a number that
-    grows within it.
+    A large file is read in blocks by many tasks, which ``split`` tells; a place is the block's start and
+    a number that grows within it.
     """
     rows = texts(spark, root, pattern, whole=False)
     return rows.withColumn("pos", F.struct("block", F.monotonically_increasing_id().alias("n")))
 
 
-def usage_deltas(events: DataFrame, file: str = "path", pos: str = "pos") -> DataFrame:
+def usage_deltas(events: DataFrame, file: str = "path", pos: str = "pos", block: Column | None = None, split: Column | None = None) -> DataFrame:
     """What each event of a running log used, from its own usage or from running totals.
 
     ``events`` has, per file and position: sets_model (bool), model, is_usage (bool), last and total,
     structs of input, output and cached. The model is that of the last event that set one, also to
     none. An event's use is ``last``, else the growth of ``total`` over the latest total known, which
     counts only once an event with both has been seen; without either it is dropped, as are uses of
-    nothing. All of it is windows over one file.
+    nothing.
+
+    A log is one task's work, unless ``block`` says in which part of it an event lies; parts follow each
+    other as their events do. What a part leaves behind, the model set last, the latest total and whether
+    both were seen, is summed up first; those few rows are scanned along each log; then every part is
+    worked on by itself from what comes to it. ``split`` tells logs of more than one part, all if None:
+    the others are summed up for nothing.
     """
-    order = Window.partitionBy(file).orderBy(pos)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     usage = F.col("is_usage")
+    set_ = F.when(F.col("sets_model"), F.struct("model"))
     total = F.when(usage, F.col("total"))
-    armed = F.max(F.when(usage & F.col("last").isNotNull() & F.col("total").isNotNull(), 1)).over(before) == 1
-    rows = events.withColumns(
+    both = F.when(usage & F.col("last").isNotNull() & F.col("total").isNotNull(), 1)
+    keys = [file]
+    came = {"came_model": F.lit(None).cast("struct<model: string>"), "came_total": F.lit(None).cast(events.schema["total"].dataType), "came_armed": F.lit(None).cast("int")}
+    if block is None:
+        rows = events.withColumns(came)
+    else:
+        keys = [file, "part"]
+        rows = events.withColumn("part", block)
+        whole = rows if split is None else rows.filter(split)
+        latest = lambda v: F.max(F.when(v.isNotNull(), F.struct(F.col(pos).alias("at"), v.alias("v"))))
+        left = whole.groupBy(*keys).agg(latest(set_).alias("m"), latest(total).alias("t"), F.max(both).alias("b"))
+        along = Window.partitionBy(file).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = lambda c: F.last(F.col(c), ignorenulls=True).over(along)
+        left = left.select(F.col(file).alias("f"), F.col("part").alias("p"), carried("m")["v"].alias("came_model"), carried("t")["v"].alias("came_total"), F.max("b").over(along).alias("came_armed"))
+        rows = rows.join(left, F.col(file).eqNullSafe(F.col("f")) & F.col("part").eqNullSafe(F.col("p")), "left").drop("f", "p")
+    order = Window.partitionBy(*keys).orderBy(pos)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns(
         {
-            "current": F.last(F.when(F.col("sets_model"), F.struct("model")), ignorenulls=True).over(upto),
-            "known": F.last(total, ignorenulls=True).over(before),
-            "armed": F.coalesce(armed, F.lit(False)),
+            "current": F.coalesce(F.last(set_, ignorenulls=True).over(upto), F.col("came_model")),
+            "known": F.coalesce(F.last(total, ignorenulls=True).over(before), F.col("came_total")),
+            "armed": F.coalesce(F.max(both).over(before), F.col("came_armed"), F.lit(0)) == 1,
         }
     ).filter(usage)
     grown = F.when(
@@ -104,15 +125,18 @@ def usage_deltas(events: DataFrame, file: str = "path", pos: str = "pos") -> Dat
     )
     rows = rows.withColumn("used", F.coalesce("last", grown)).filter("used is not null")
     rows = rows.filter("used.input <> 0 or used.output <> 0 or used.cached <> 0")
-    return rows.withColumn("model_id", F.coalesce("current.model", F.lit("unknown")))
+    return rows.drop(*came, *keys[1:]).withColumn("model_id", F.coalesce("current.model", F.lit("unknown")))
 
 
-def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
-    """Deltas of token_count events; an event without a usable time has ``as_of_ms``."""
+def codex_events(kept: DataFrame) -> DataFrame:
+    """Lines (path, pos, value) as events that ``usage_deltas`` takes, with their timestamp; further columns go along.
+
+    Only two types of events count; a line without either word is never decoded or ordered.
+    """
     info = f"struct<model: string, model_name: string, last_token_usage: {USAGE}, total_token_usage: {USAGE}>"
     schema = f"type string, timestamp string, payload struct<type: string, model: string, model_name: string, info: {info}>"
-    # Only these two types of events count; a line without either word is never decoded or ordered.
-    kept = lines(spark, root, PLACES["codex"].pattern).filter("contains(value, 'turn_context') or contains(value, 'event_msg')")
+    others = [c for c in kept.columns if c not in ("path", "pos", "value", "block", "modified")]
+    kept = kept.filter("contains(value, 'turn_context') or contains(value, 'event_msg')")
     rows = decoded(kept, schema).filter("r.payload is not null")
     p = "r.payload."
     named = F.nullif(F.coalesce(p + "model", p + "model_name", p + "info.model", p + "info.model_name"), F.lit(""))
@@ -130,9 +154,10 @@ def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
         )
         return F.when(F.col(u[:-1]).isNotNull(), whole_)
 
-    events = rows.filter(F.coalesce(context | counted, F.lit(False))).select(
+    return rows.filter(F.coalesce(context | counted, F.lit(False))).select(
         "path",
         "pos",
+        *others,
         F.col("r.timestamp").alias("timestamp"),
         F.coalesce(context | in_info.isNotNull() | named.isNotNull(), F.lit(False)).alias("sets_model"),
         F.when(context, named).otherwise(F.coalesce(in_info, named)).alias("model"),
@@ -140,7 +165,10 @@ def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
         struct("last_token_usage").alias("last"),
         struct("total_token_usage").alias("total"),
     )
-    deltas = usage_deltas(events)
+
+
+def codex_messages(deltas: DataFrame, as_of_ms: int = 0) -> DataFrame:
+    """Messages of deltas (path, timestamp, model_id, used); one without a usable time has ``as_of_ms``."""
     return messages(
         deltas,
         source="codex",
@@ -154,6 +182,13 @@ def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
     )
 
 
+def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
+    """Deltas of token_count events. A log that is read in several blocks is worked on by block."""
+    kept = lines(spark, root, PLACES["codex"].pattern)
+    deltas = usage_deltas(codex_events(kept), block=F.col("pos.block"), split=F.col("split"))
+    return codex_messages(deltas, as_of_ms)
+
+
 def gemini(spark: SparkSession, root: str) -> DataFrame:
     """Messages of type gemini with tokens, model and time, of documents that decode as a whole."""
     tokens = "struct<input: bigint, output: bigint, cached: bigint, thoughts: bigint, tool: bigint, total: bigint>"
