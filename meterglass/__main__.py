@@ -1,4 +1,7 @@
-"""python -m meterglass models|monthly|graph|scan|review|export --home DIR [--prices FILE] [filters]: JSON on stdout."""
+"""python -m meterglass models|monthly|graph|scan|review|export|submit --home DIR [--prices FILE] [filters]: JSON on stdout.
+
+submit merges the days into the store in --store as those of --user.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,8 @@ from datetime import UTC, date, datetime
 from pyspark.sql import functions as F
 
 from meterglass import export
-from meterglass.operators import filters, metrics, pricing, reports
+from meterglass import __version__
+from meterglass.operators import filters, metrics, pricing, reports, submissions
 from meterglass.schema import PRICES, SOURCES
 from meterglass.session import session
 from meterglass.sources.files import roots, scan_stats
@@ -19,10 +23,12 @@ from meterglass.sources.sessions import load_usage
 
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="meterglass", description=__doc__)
-    parser.add_argument("command", choices=("models", "monthly", "graph", "scan", "review", "export"))
+    parser.add_argument("command", choices=("models", "monthly", "graph", "scan", "review", "export", "submit"))
     parser.add_argument("--home", required=True)
     parser.add_argument("--prices")
     parser.add_argument("--table", type=int, metavar="WIDTH", help="models and monthly as a table of this width")
+    parser.add_argument("--store", help="submit: the folder of the store")
+    parser.add_argument("--user", type=int, help="submit: whose days they are")
     parser.add_argument("--master", default="local[*]")
     parser.add_argument("--as-of", type=date.fromisoformat, default=datetime.now(UTC).date())
     for source in SOURCES:
@@ -34,6 +40,17 @@ def arguments() -> argparse.ArgumentParser:
     return parser
 
 
+def submitted(args: argparse.Namespace, spark, priced) -> dict:
+    """Merge what was used into the store; what it says of the user then."""
+    store = submissions.submission_store(spark, args.store)
+    done = submissions.submit(store, submissions.rows_of_usage(priced, args.user), str(args.as_of), cli_version=__version__)
+    found = export.rows_document(done.found.orderBy("severity", "rule", "subject"), "violations")
+    if any(v["severity"] == "error" for v in found["violations"]):
+        return {"accepted": False, **found}
+    own = store.read("submissions").filter(F.col("user_id") == args.user)
+    return {"accepted": True, "version": done.version, **found, **export.rows_document(own, "submission")}
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = session(master=args.master)
@@ -46,6 +63,11 @@ def main(argv: list[str] | None = None) -> None:
     prices = read_prices(spark, args.prices) if args.prices else spark.createDataFrame([], PRICES)
     messages, rows = rows, pricing.priced_usage(rows, prices)
     now = datetime.now(UTC).isoformat()
+    if args.command == "submit":
+        if args.store is None or args.user is None:
+            raise SystemExit("submit needs --store and --user")
+        print(json.dumps(submitted(args, spark, rows)))
+        return
     if args.table and args.command in ("models", "monthly"):
         report = reports.monthly_report(rows) if args.command == "monthly" else reports.model_report(rows)
         first = {"monthly": ("month", "Month"), "models": ("model_id", "Model")}[args.command]
