@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,29 +10,19 @@ from pyspark.sql import functions as F
 
 from meterglass.functions import names, values
 from meterglass.operators import community, filters, metrics, pricing, reports
+from meterglass.plans import decoders  # noqa: F401 (registers its queries)
 from meterglass.plans.adapter import AS_OF, COSTED, PART_KEYS, PART_MODELS, prices, resolver_sql, sql_sums, table, usage, with_sql
+from meterglass.plans.registry import ORACLES, QUERIES, query
 from meterglass.schema import TOKENS
 from meterglass.sources import sessions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
+
 SUMS = sql_sums()
 FOUR = sql_sums(*TOKENS[:4])
 COST = "CAST(sum(cost) AS BIGINT) AS cost"
 
 
-def query(sql: str | None = None):
-    """Register a function as a query by its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced sums, for which events are read once; reports take them in place of messages."""
     return pricing.priced_usage(usage(spark, sf_dir), prices(spark))

@@ -16,13 +16,17 @@ USAGE = "struct<input_tokens: bigint, output_tokens: bigint, cached_input_tokens
 
 
 def opencode(spark: SparkSession, root: str) -> DataFrame:
+    return opencode_messages(texts(spark, root, PLACES["opencode"].pattern))
+
+
+def opencode_messages(files: DataFrame) -> DataFrame:
     """One message per file: assistant's, with model and tokens. It states its own cost."""
     schema = (
         "id string, sessionID string, role string, modelID string, providerID string, cost double, agent string, mode string,"
         " tokens struct<input: bigint, output: bigint, reasoning: bigint, cache: struct<read: bigint, write: bigint>>,"
         " time struct<created: double, completed: double>"
     )
-    rows = decoded(texts(spark, root, PLACES["opencode"].pattern), schema).select("r.*")
+    rows = decoded(files, schema).select("r.*")
     required = ("id", "sessionID", "modelID", "time.created", "tokens.input", "tokens.output", "tokens.cache.read", "tokens.cache.write")
     rows = rows.filter("role = 'assistant'")
     for c in required:
@@ -45,10 +49,14 @@ def opencode(spark: SparkSession, root: str) -> DataFrame:
 
 
 def claude(spark: SparkSession, root: str) -> DataFrame:
+    return claude_messages(texts(spark, root, PLACES["claude"].pattern, whole=False))
+
+
+def claude_messages(rows: DataFrame) -> DataFrame:
     """A message per assistant line with model, usage and a time; lines that repeat count again."""
     usage = "struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>"
     schema = f"type string, timestamp string, message struct<model: string, usage: {usage}>"
-    rows = decoded(texts(spark, root, PLACES["claude"].pattern, whole=False), schema)
+    rows = decoded(rows, schema)
     rows = rows.withColumn("ms", millis_of_rfc3339(F.col("r.timestamp")))
     rows = rows.filter("r.type = 'assistant' and r.message.model is not null and r.message.usage is not null and ms <> 0")
     used = "r.message.usage."
@@ -190,13 +198,16 @@ def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
 
 
 def gemini(spark: SparkSession, root: str) -> DataFrame:
+    return gemini_messages(texts(spark, root, PLACES["gemini"].pattern))
+
+
+def gemini_messages(rows: DataFrame) -> DataFrame:
     """Messages of type gemini with tokens, model and time, of documents that decode as a whole."""
     tokens = "struct<input: bigint, output: bigint, cached: bigint, thoughts: bigint, tool: bigint, total: bigint>"
     schema = (
         "sessionId string, projectHash string, startTime string, lastUpdated string,"
         f" messages array<struct<id: string, type: string, timestamp: string, content: string, model: string, tokens: {tokens}>>"
     )
-    rows = texts(spark, root, PLACES["gemini"].pattern)
     content = F.try_variant_get(F.try_parse_json("value"), "$.messages", "array<struct<content: variant>>")
     strange = F.exists(content, lambda m: ~F.schema_of_variant(m["content"]).isin("STRING", "VOID"))
     rows = decoded(rows.filter(~F.coalesce(strange, F.lit(False))), schema)
@@ -227,6 +238,10 @@ def first_kind(preferred: DataFrame, fallback: DataFrame, key: str) -> DataFrame
 
 
 def amp(spark: SparkSession, root: str) -> DataFrame:
+    return amp_messages(texts(spark, root, PLACES["amp"].pattern))
+
+
+def amp_messages(files: DataFrame) -> DataFrame:
     """A thread's ledger events; the usage of its messages only where the ledger has no usable event."""
     tokens = "struct<input: bigint, output: bigint, cacheReadInputTokens: bigint, cacheCreationInputTokens: bigint>"
     usage = "struct<model: string, inputTokens: bigint, outputTokens: bigint, cacheReadInputTokens: bigint, cacheCreationInputTokens: bigint, credits: double>"
@@ -235,7 +250,7 @@ def amp(spark: SparkSession, root: str) -> DataFrame:
         f" usageLedger struct<events: array<struct<timestamp: string, model: string, credits: double, tokens: {tokens}>>>,"
         f" messages array<struct<role: string, messageId: bigint, usage: {usage}>>"
     )
-    rows = decoded(texts(spark, root, PLACES["amp"].pattern), schema)
+    rows = decoded(files, schema)
     rows = rows.select("path", F.coalesce("r.id", stem(F.col("path"))).alias("thread"), "r.created", "r.usageLedger", "r.messages")
     events = rows.select("path", "thread", F.explode("usageLedger.events").alias("e"))
     events = events.withColumn("ms", millis_of_rfc3339(F.col("e.timestamp"))).filter("e.model is not null and ms <> 0")
@@ -269,6 +284,29 @@ def amp(spark: SparkSession, root: str) -> DataFrame:
 
 
 def droid(spark: SparkSession, root: str) -> DataFrame:
+    return droid_messages(texts(spark, root, PLACES["droid"].pattern), lines(spark, root, "*.jsonl"))
+
+
+#: A log names the session's model in so many of its first lines, or not at all.
+FIRST_LINES = 500
+
+
+def first_named(logs: DataFrame) -> DataFrame:
+    """path, named: the model that a log (path, pos, value) names first, in its first lines.
+
+    Lines are counted block by block, and only those that name a model are looked at: none is put in order.
+    """
+    counts = logs.groupBy("path", F.col("pos.block").alias("block")).agg(F.min("pos.n").alias("least"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("skip") < FIRST_LINES)
+    model = F.trim(F.regexp_extract("value", r'Model:([^\[\\"]*)', 1))
+    named = logs.filter("contains(value, 'Model:')").select("path", F.col("pos.block").alias("block"), "pos.n", model.alias("named")).filter("named <> ''")
+    named = named.join(counts.select("path", "block", "least", "skip"), ["path", "block"])
+    nth = F.col("n") - F.col("least") + F.col("skip")
+    return named.withColumn("nth", nth).filter(F.col("nth") < FIRST_LINES).groupBy("path").agg(F.min_by("named", "nth").alias("named"))
+
+
+def droid_messages(files: DataFrame, logs: DataFrame) -> DataFrame:
     """One message per settings file that used any token.
 
     Without a model in the settings it is the one that the session's own log names first, in its
@@ -276,18 +314,13 @@ def droid(spark: SparkSession, root: str) -> DataFrame:
     """
     tokens = "struct<inputTokens: bigint, outputTokens: bigint, cacheCreationTokens: bigint, cacheReadTokens: bigint, thinkingTokens: bigint>"
     schema = f"model string, providerLock string, providerLockTimestamp string, tokenUsage {tokens}"
-    rows = decoded(texts(spark, root, PLACES["droid"].pattern), schema).filter("r.tokenUsage is not null")
+    rows = decoded(files, schema).filter("r.tokenUsage is not null")
     kinds = ("inputTokens", "outputTokens", "cacheCreationTokens", "cacheReadTokens", "thinkingTokens")
     u = {k: F.coalesce(f"r.tokenUsage.{k}", F.lit(0)) for k in kinds}
     rows = rows.filter(sum(u.values(), F.lit(0)) != 0)
     session = F.replace(stem(F.col("path")), F.lit(".settings"))
     rows = rows.withColumn("log", F.regexp_replace("path", r"\.settings\.json$", ".jsonl"))
-    first = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
-    named = lines(spark, root, "*.jsonl").withColumn("nth", first).filter("nth <= 500").filter("contains(value, 'Model:')")
-    model = F.trim(F.regexp_extract("value", r'Model:([^\[\\"]*)', 1))
-    named = named.select(F.col("path").alias("log"), "pos", model.alias("named")).filter("named <> ''")
-    named = named.groupBy("log").agg(F.min_by("named", "pos").alias("named"))
-    rows = rows.join(named, "log", "left")
+    rows = rows.join(first_named(logs).withColumnRenamed("path", "log"), "log", "left")
     provider = F.coalesce("r.providerLock", provider_of(F.col("r.model"), "droid"))
     ms = F.coalesce(millis_of_rfc3339(F.col("r.providerLockTimestamp")), F.col("modified"))
     rows = rows.withColumns({"provider": provider, "ms": ms}).filter("ms <> 0")
@@ -306,12 +339,11 @@ def droid(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def csv_rows(spark: SparkSession, root: str) -> DataFrame:
+def csv_rows(rows: DataFrame) -> DataFrame:
     """path, head, f: the fields of the first line and of each further line of the files with Date and Model.
 
     A field may be quoted and hold commas; fields are trimmed, empty lines left out.
     """
-    rows = lines(spark, root, PLACES["cursor"].pattern)
     fields = F.transform(F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda f: F.trim(F.replace(F.trim(f), F.lit('"'))))
     heads = rows.groupBy("path").agg(F.min(F.struct("pos", "value")).alias("h")).select("path", "h.*")
     heads = heads.filter("contains(value, 'Date') and contains(value, 'Model')").select("path", F.col("pos").alias("at"), fields.alias("head"))
@@ -320,12 +352,16 @@ def csv_rows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cursor(spark: SparkSession, root: str) -> DataFrame:
+    return cursor_messages(lines(spark, root, PLACES["cursor"].pattern))
+
+
+def cursor_messages(rows: DataFrame) -> DataFrame:
     """Rows of exported CSV files of either layout, by position.
 
     With a Kind column, tokens begin at the fifth field, else at the third. Rows that are short,
     without model or without a usable date are dropped.
     """
-    rows = csv_rows(spark, root)
+    rows = csv_rows(rows)
     rows = rows.withColumn("kind", F.exists("head", lambda h: F.contains(h, F.lit("Kind"))))
     at = F.when(F.col("kind"), 4).otherwise(2)
     rows = rows.filter(F.size("f") > F.when(F.col("kind"), 9).otherwise(7))
@@ -349,12 +385,16 @@ def cursor(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cursor_by_name(spark: SparkSession, root: str) -> DataFrame:
+    return cursor_messages_by_name(lines(spark, root, PLACES["cursor"].pattern))
+
+
+def cursor_messages_by_name(rows: DataFrame) -> DataFrame:
     """Rows of exported CSV files by the names of their columns, whatever their order and number.
 
     The cost is what was paid, where that is stated and not 0, else what it would cost. A row without
     a usable date stays, with time 0; one without date or model is dropped.
     """
-    rows = csv_rows(spark, root)
+    rows = csv_rows(rows)
     field = lambda name: F.get("f", (F.array_position("head", name) - 1).cast("int"))
     number = lambda name: whole(F.regexp_extract(F.coalesce(field(name), F.lit("")), r"^[+-]?\d+", 0))
     day = F.coalesce(field("Date"), F.lit(""))
