@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterglass.functions.values import djb2
-from meterglass.operators.reports import total_tokens, with_intensity
+from meterglass.operators.reports import exact_sum, with_intensity
 from meterglass.schema import SUBMITTABLE, TOKENS
 
 
@@ -324,7 +324,7 @@ def refilter(parts: DataFrame, sources: list[str] | None = None, models: list[st
     if models is not None:
         own = own.filter(F.col("model_id").isin(models))
     days = own.groupBy("date").agg(
-        F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"), F.sum("messages").alias("messages")
+        exact_sum(*TOKENS).alias("tokens"), F.sum("cost").alias("cost"), F.sum("messages").alias("messages")
     )
     return with_intensity(days, measure="tokens")
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from meterglass.functions.names import PINNED_AGENTS, agent_name, source_label
 from meterglass.functions.values import hour_label, span_label
+from meterglass.operators.pricing import small
+from meterglass.session import cut_lineage
 
 
 def streaks(days: DataFrame, entity: str, max_gap: int = 1) -> DataFrame:
@@ -158,15 +160,72 @@ def band_model(bars: DataFrame, rows: int) -> DataFrame:
     return cells.groupBy("date", "band").agg(best["model_id"].alias("model_id"))
 
 
+#: Values of a group that are put in order at once; bits of a value that one pass decides.
+FEW, DIGIT = 4096, 11
+
+
+def ordered_bits(x: Column) -> Column:
+    """A double as a bigint of the same order: its bits, those of a negative one turned round; NaN is the largest."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x.cast("double") + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def of_ordered_bits(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(key)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def exact_quantile(rows: DataFrame, key: str, value: str, share: float = 0.5, name: str = "median", few: int = FEW) -> DataFrame:
+    """``key`` and the value that ``share`` of a group's values lie below, between the two next to it; nulls don't count.
+
+    The place is found digit by digit: a pass counts, for each group, the values that share the digits
+    found so far by their next DIGIT bits, and keeps the digit that the place falls into. Counts are
+    partial before the shuffle and at most two thousand a group, whatever its size. Once no more than
+    ``few`` values are left around each place, those are put in order.
+    """
+    own = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("g"), ordered_bits(F.col(value)).alias("v"))
+    at = (F.col("n") - 1) * F.lit(float(share))
+    ranks = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    wanted = own.groupBy("g").agg(F.count("*").alias("n")).withColumn("part", at - F.floor(at)).withColumn("rank", F.explode(ranks))
+    # What is left: the values whose bits above ``shift`` are ``head``; ``skip`` of the group's lie below them.
+    wanted = cut_lineage(wanted.select("g", "rank", "part", F.lit(0).cast("bigint").alias("head"), F.lit(0).cast("bigint").alias("skip"), F.col("n").alias("left")))
+    shift = 64
+    while shift > 0 and wanted.filter(F.col("left") > few).limit(1).count():
+        lower = max(0, shift - DIGIT)
+        met = _among(own, wanted.select("g", "rank", "head", "skip", "part"), shift)
+        bins = met.groupBy("g", "rank", "part", "skip", F.shiftright("v", lower).alias("head")).agg(F.count("*").alias("left"))
+        order = Window.partitionBy("g", "rank").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("skip", F.col("skip") + F.coalesce(F.sum("left").over(order), F.lit(0)))
+        inside = (F.col("skip") <= F.col("rank")) & (F.col("rank") < F.col("skip") + F.col("left"))
+        wanted = cut_lineage(bins.filter(inside).select("g", "rank", "part", "head", "skip", "left"))
+        shift = lower
+    if shift == 0:
+        found = wanted.select("g", "rank", "part", F.col("head").alias("v"))
+    else:
+        rest = _among(own, wanted.select("g", "rank", "part", "head", "skip"), shift).groupBy("g", "rank", "part", "skip")
+        rest = rest.agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        found = rest.select("g", "rank", "part", F.get("vs", (F.col("rank") - F.col("skip")).cast("int")).alias("v"))
+    ends = found.groupBy("g").agg(F.min_by("v", "rank").alias("lo"), F.max_by("v", "rank").alias("hi"), F.max("part").alias("part"))
+    lo, hi = of_ordered_bits(F.col("lo")), of_ordered_bits(F.col("hi"))
+    between = F.when(F.col("lo") == F.col("hi"), lo).otherwise(lo * (1 - F.col("part")) + hi * F.col("part"))
+    return ends.select(F.col("g").alias(key), between.alias(name))
+
+
+def _among(own: DataFrame, wanted: DataFrame, shift: int) -> DataFrame:
+    """The values that a group still has to look at: those that share the bits above ``shift``."""
+    other = small(wanted.withColumnRenamed("g", "h"))
+    met = F.col("g").eqNullSafe(F.col("h"))
+    if shift < 64:
+        met = met & (F.shiftright("v", shift) == F.col("head"))
+    return own.join(other, met).drop("h", "head")
+
+
 def bench_stats(runs: DataFrame, key: str, value: str) -> DataFrame:
     """min, max, median (the mean of the middle two), mean and population deviation per key."""
-    return runs.groupBy(key).agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.percentile(value, 0.5).alias("median"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std_dev"),
-    )
+    sums = runs.groupBy(key).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std_dev"))
+    middle = exact_quantile(runs, key, value).withColumnRenamed(key, "of")
+    rows = sums.join(middle, F.col(key).eqNullSafe(F.col("of")), "left").drop("of")
+    return rows.select(key, "min", "max", "median", "mean", "std_dev")
 
 
 def best_day(days: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterglass.functions.names import short_name
+from meterglass.operators.reports import exact_sum
 from meterglass.schema import PRICE_COLUMNS, TOKENS
 from meterglass.session import cut_lineage
 
@@ -85,7 +86,8 @@ def cost_of(*prices: Column) -> Column:
     per_input, per_output, per_read, per_write = (F.coalesce(p, F.lit(0)) for p in prices)
     return (
         F.col("input") * per_input
-        + (F.col("output") + F.col("reasoning")) * per_output
+        + F.col("output") * per_output
+        + F.col("reasoning") * per_output
         + F.col("cache_read") * per_read
         + F.col("cache_write") * per_write
     )
@@ -106,7 +108,7 @@ def small(table: DataFrame, limit: int = BROADCAST_MODELS) -> DataFrame:
 #: Sources that keep the cost that they state where the price list gives none.
 STATING = ("cursor", "amp")
 #: What a price may be paid for, in the order of PRICE_COLUMNS.
-PAID = ("input > 0", "output + reasoning > 0", "cache_read > 0", "cache_write > 0")
+PAID = ("input > 0", "output > 0 or reasoning > 0", "cache_read > 0", "cache_write > 0")
 
 
 def _prices_of(rows: DataFrame, prices: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def usage_sums(messages: DataFrame) -> DataFrame:
     bits = sum((F.when(F.expr(paid), 1 << n).otherwise(0) for n, paid in enumerate(PAID)), F.lit(0))
     kinds = F.when(F.col("source").isin(*STATING), bits).otherwise(0).alias("kinds")
     sums = messages.groupBy("date", "source", "provider_id", "model_id", kinds).agg(
-        *[F.sum(t).alias(t) for t in TOKENS], F.count("*").alias("messages"), F.sum(F.coalesce("cost", F.lit(0))).alias("cost")
+        *[exact_sum(t).alias(t) for t in TOKENS], F.count("*").alias("messages"), F.sum(F.coalesce("cost", F.lit(0))).alias("cost")
     )
     return cut_lineage(sums)
 

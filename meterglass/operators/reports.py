@@ -14,8 +14,32 @@ from pyspark.sql import functions as F
 from meterglass.schema import TOKENS
 
 
-def total_tokens() -> Column:
-    return sum((F.col(t) for t in TOKENS[1:]), F.col(TOKENS[0]))
+def _limbs(columns: tuple[str, ...]) -> tuple[Column, Column]:
+    """The upper and the lower 32 bits of bigint columns, added up apart."""
+    parts = [(F.shiftright(F.col(c), 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) for c in columns]
+    return tuple(sum((p[n] for p in parts[1:]), parts[0][n]) for n in range(2))
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """One bigint of both, held at the largest or smallest one where they don't fit."""
+    upper = high + F.shiftright(low, 32)
+    whole = F.shiftleft(upper, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.when(upper >= 1 << 31, F.lit((1 << 63) - 1)).when(upper < -(1 << 31), F.lit(-(1 << 63))).otherwise(whole)
+
+
+def exact_sum(*columns: str) -> Column:
+    """The sum of bigint columns over a group, held at the largest or smallest bigint instead of failing.
+
+    Upper and lower 32 bits are summed apart, which two thousand million rows can't overflow, and joined
+    once. For numbers not below 0, sums of such sums are the same in any order.
+    """
+    high, low = _limbs(columns)
+    return _joined(F.sum(high), F.sum(low))
+
+
+def all_tokens() -> Column:
+    """All kinds of tokens of a row, held as by ``exact_sum``."""
+    return _joined(*_limbs(TOKENS))
 
 
 def n_messages(rows: DataFrame) -> Column:
@@ -23,7 +47,7 @@ def n_messages(rows: DataFrame) -> Column:
 
 
 def _sums(rows: DataFrame, tokens=TOKENS) -> list[Column]:
-    return [*[F.sum(t).alias(t) for t in tokens], n_messages(rows), F.sum("cost").alias("cost")]
+    return [*[exact_sum(t).alias(t) for t in tokens], n_messages(rows), F.sum("cost").alias("cost")]
 
 
 def by_cost() -> list[Column]:
@@ -40,7 +64,8 @@ def model_report(messages: DataFrame) -> DataFrame:
 
 def model_totals(report: DataFrame) -> DataFrame:
     """One row over the model report; reasoning is not among its totals."""
-    return report.agg(*[F.sum(c).alias(f"total_{c}") for c in (*TOKENS[:4], "messages", "cost")])
+    sums = {**{c: exact_sum(c) for c in TOKENS[:4]}, **{c: F.sum(c) for c in ("messages", "cost")}}
+    return report.agg(*[x.alias(f"total_{c}") for c, x in sums.items()])
 
 
 def monthly_report(messages: DataFrame) -> DataFrame:
@@ -56,14 +81,9 @@ def monthly_with_total(messages: DataFrame) -> DataFrame:
     return rows.rollup("month").agg(*_sums(messages, TOKENS[:4]))
 
 
-def daily(messages: DataFrame, saturate: bool = False) -> DataFrame:
-    """Sums per day; saturating ones stay at the largest bigint instead of failing."""
-    sums = _sums(messages)
-    if saturate:
-        top = F.lit(2**63 - 1).cast("decimal(38,0)")
-        wide = lambda t: F.least(F.sum(F.col(t).cast("decimal(28,0)")).cast("decimal(38,0)"), top)
-        sums = [*[wide(t).cast("bigint").alias(t) for t in TOKENS], *sums[len(TOKENS) :]]
-    return messages.groupBy("date").agg(*sums)
+def daily(messages: DataFrame) -> DataFrame:
+    """Sums per day."""
+    return messages.groupBy("date").agg(*_sums(messages))
 
 
 def daily_sources(messages: DataFrame) -> DataFrame:
@@ -82,10 +102,10 @@ def daily_contributions(messages: DataFrame, intensity: str = "at_least", order:
     breakdown = F.struct(*TOKENS).alias("tokens")
     source = F.struct("source", "model_id", "provider_id", breakdown, "cost", "messages")
     days = parts.groupBy("date").agg(
-        F.sum(total_tokens()).alias("tokens"),
+        exact_sum(*TOKENS).alias("tokens"),
         F.sum("cost").alias("cost"),
         F.sum("messages").alias("messages"),
-        F.struct(*[F.sum(t).alias(t) for t in TOKENS]).alias("token_breakdown"),
+        F.struct(*[exact_sum(t).alias(t) for t in TOKENS]).alias("token_breakdown"),
         _ordered(F.collect_list(source), order).alias("sources"),
     )
     return with_intensity(days, intensity).orderBy("date")
@@ -101,7 +121,7 @@ def _ordered(parts: Column, order: str) -> Column:
 
 def sorted_by(report: DataFrame, by: str = "cost", name: str = "model_id", descending: bool = True) -> DataFrame:
     """A report by cost, by all tokens of a row or by name; equals by name."""
-    tokens = F.col("tokens") if "tokens" in report.columns else total_tokens()
+    tokens = F.col("tokens") if "tokens" in report.columns else all_tokens()
     key = {"cost": F.col("cost"), "tokens": tokens, "name": F.col(name)}[by]
     return report.orderBy(key.desc() if descending else key.asc(), name)
 
@@ -158,7 +178,7 @@ def years(days: DataFrame) -> DataFrame:
 def day_totals(messages: DataFrame) -> DataFrame:
     """date, tokens (all kinds), cost, messages."""
     return messages.groupBy("date").agg(
-        F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"), n_messages(messages)
+        exact_sum(*TOKENS).alias("tokens"), F.sum("cost").alias("cost"), n_messages(messages)
     )
 
 

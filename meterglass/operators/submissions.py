@@ -36,7 +36,7 @@ def submission_store(spark: SparkSession, root: str, buckets: int = 64) -> Store
 def rows_of_usage(priced: DataFrame, user_id: int) -> DataFrame:
     """What a user submits of priced sums: a row per day, source and model, of sources that may be submitted."""
     rows = reports.daily_sources(priced.filter(F.col("source").isin(*SUBMITTABLE)))
-    return rows.withColumns({"user_id": F.lit(user_id).cast("long"), "tokens": reports.total_tokens()})
+    return rows.withColumns({"user_id": F.lit(user_id).cast("long"), "tokens": reports.all_tokens()})
 
 
 def violations(rows: DataFrame, as_of: str) -> DataFrame:

@@ -48,7 +48,7 @@ def usage_daily_sources(spark, sf_dir):
 
 @query(with_sql(*COSTED, body=f"SELECT date, {SUMS}, count(*) AS messages, {COST} FROM costed GROUP BY date"))
 def daily_saturating(spark, sf_dir):
-    return reports.daily(costed_messages(spark, sf_dir), saturate=True)
+    return reports.daily(costed(spark, sf_dir))
 
 
 ALL_SUMS = " || ':' || ".join([*TOKENS, "cost", "messages"])

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterglass.operators.reports import total_tokens
-from meterglass.schema import MESSAGES
+from meterglass.operators.reports import exact_sum
+from meterglass.schema import MESSAGES, TOKENS
 
 
 def read_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def daily_stream(messages: DataFrame, delay: str = "2 days") -> DataFrame:
     """Totals per UTC day; a day is final, and its state dropped, once the watermark has passed it."""
     timed = messages.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", delay)
     days = timed.groupBy(F.window("ts", "1 day"), "source").agg(
-        F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("messages")
+        exact_sum(*TOKENS).alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("messages")
     )
     return days.select(F.col("window.start").cast("date").alias("date"), "source", "tokens", "cost", "messages")
 

@@ -34,8 +34,49 @@ def test_intensity_rules(spark, rule, expected):
 def test_saturating_sums(spark):
     row = ("claude", "m", "p", "s", 0, datetime.date(2024, 1, 1), 2**63 - 1, 1, 1, 1, 1, 0.0, None)
     df = spark.createDataFrame([row, row], MESSAGES)
-    assert reports.daily(df, saturate=True).first()["input"] == 2**63 - 1
-    assert reports.daily(df, saturate=True).first()["output"] == 2
+    assert reports.daily(df).first()["input"] == 2**63 - 1
+    assert reports.daily(df).first()["output"] == 2
+
+
+def test_sums_that_pass_the_largest_number_on_the_way(spark):
+    """Three messages of 2^62+5 give the same clamped numbers on every way to a report; negative numbers sum exactly."""
+    big, top = 2**62 + 5, 2**63 - 1
+    rows = [("claude", "m", "p", str(n), n, datetime.date(2024, 1, 1), big, big, 3, 0, big, 0.0, None) for n in range(3)]
+    messages = spark.createDataFrame(rows, MESSAGES)
+    none = spark.createDataFrame([], PRICES)
+    for facts in (messages, pricing.priced_usage(messages, none)):
+        for report in (reports.daily(facts), reports.daily_sources(facts), reports.model_report(facts), reports.monthly_report(facts)):
+            row = report.first()
+            assert (row["input"], row["output"], row["cache_read"], row["messages"]) == (top, top, 9, 3)
+        day = reports.daily_contributions(facts).first()
+        assert day["tokens"] == day["token_breakdown"]["input"] == day["sources"][0]["tokens"]["reasoning"] == top and day["token_breakdown"]["cache_write"] == 0
+        assert reports.day_totals(facts).first()["tokens"] == top and reports.model_totals(reports.model_report(facts)).first()["total_input"] == top
+    values = [-5, 3, -(2**40), 2**50, -1]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    assert df.agg(reports.exact_sum("v")).first()[0] == sum(values)
+    assert spark.createDataFrame([(-(2**63),)] * 3, "v bigint").agg(reports.exact_sum("v")).first()[0] == -(2**63)
+    assert df.filter("false").agg(reports.exact_sum("v")).first()[0] is None
+
+
+@pytest.mark.parametrize("share", [0.5, 0.25, 0.99, 0.0, 1.0])
+def test_exact_quantiles_of_any_group(spark, share):
+    """Signs, very small and large numbers, infinities, many equal values, one value, nulls and a null key; few values at once."""
+    rng = random.Random(17)
+    rows = [("a", rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300)) for _ in range(3000)] + [("b", float(rng.randint(0, 3))) for _ in range(2000)] + [("c", 7.25)]
+    rows += [(None, float(n)) for n in range(101)] + [("d", None), ("d", 2.0), ("d", -0.0)] + [("e", x) for x in (float("-inf"), 1e308, 5e-324, -5e-324)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("x", share).alias("q")).collect()}
+    for few in (1, 40, 10**6):
+        got = {r["k"]: r["q"] for r in metrics.exact_quantile(df, "k", "x", share, "q", few).collect()}
+        assert got == want
+    assert metrics.exact_quantile(df.filter("false"), "k", "x").count() == 0
+
+
+def test_ordered_bits_keep_order_and_come_back(spark):
+    values = [float("-inf"), -1e300, -1.5, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", metrics.ordered_bits(F.col("x")).alias("b"))
+    rows = df.withColumn("y", metrics.of_ordered_bits(F.col("b"))).orderBy("b").collect()
+    assert [r["x"] for r in rows] == [r["y"] for r in rows] == values
 
 
 def test_order_by_cost_puts_nan_last(spark):
