@@ -400,8 +400,27 @@ def validate(meta: DataFrame, days: DataFrame, parts: DataFrame, years: DataFram
     return result
 
 
-def recalculated(totals: DataFrame, breakdown: DataFrame) -> DataFrame:
-    """``totals`` with total_tokens replaced by the sum over the rows of its submission, a data fix."""
-    sums = breakdown.groupBy("user_id").agg(F.sum("tokens").alias("fixed"))
-    fixed = totals.join(sums, "user_id", "left")
-    return fixed.withColumn("total_tokens", F.coalesce("fixed", "total_tokens")).drop("fixed")
+def fixed_maps(days: DataFrame, column: str = "source_breakdown") -> DataFrame:
+    """``days`` with each source's tokens made anew from its kinds of tokens, and the day's from its sources'.
+
+    Reasoning is not held in older maps and doesn't count. A day without a map stays as it is.
+    """
+    held = days.schema[column].dataType.valueType.names
+    kinds = [k for k in ("input", "output", "cache_read", "cache_write") if k in held]
+    tokens = lambda v: sum((F.coalesce(v[k], F.lit(0)) for k in kinds[1:]), F.coalesce(v[kinds[0]], F.lit(0))).cast("long")
+    fixed = F.transform_values(column, lambda _, v: v.withField("tokens", tokens(v)))
+    whole = F.aggregate(F.map_values(fixed), F.lit(0).cast("long"), lambda total, v: total + v["tokens"])
+    return days.withColumns({column: fixed, "tokens": F.coalesce(whole, "tokens")})
+
+
+def fixed_totals(submissions: DataFrame, days: DataFrame) -> DataFrame:
+    """``submissions`` with total_tokens as the sum over the days of each (submission_id), 0 without any."""
+    sums = days.groupBy(F.col("submission_id").alias("of")).agg(exact_sum("tokens").alias("fixed"))
+    rows = submissions.drop("total_tokens").join(sums, F.col("id") == F.col("of"), "left")
+    return rows.withColumn("total_tokens", F.coalesce("fixed", F.lit(0).cast("long"))).select(submissions.columns)
+
+
+def fix_tokens(submissions: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The data fix in its three steps: sources in the stored maps, then days, then the submissions of those."""
+    fixed = fixed_maps(days)
+    return fixed_totals(submissions, fixed), fixed

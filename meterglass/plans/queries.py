@@ -663,13 +663,33 @@ def profile_days(spark, sf_dir):
     return merged.withColumns({"sources": _flat_map("sources"), "models": models})
 
 
-@query(f"""WITH {PARTS}, {SUBMISSIONS}, o AS (SELECT id, user_id, total_tokens FROM submissions WHERE id < 100), s AS (SELECT l_orderkey % 100 AS id, CAST(sum(tokens) AS BIGINT) AS fixed FROM parts WHERE l_orderkey % 100 <> 13 GROUP BY 1)
-SELECT id AS user_id, coalesce(fixed, total_tokens) AS total_tokens FROM o LEFT JOIN s USING (id)""")
+#: Maps whose tokens were written without what caches took.
+UNFIXED = f"""{PARTS}, r AS (SELECT l_orderkey AS id, date, source, input, output, input * 2 AS cache_read, l_suppkey % 3 AS cache_write FROM parts)"""
+
+
+def unfixed_days(spark, sf_dir):
+    """Stored days of every order, as of its submission."""
+    caches = {"cache_read": F.col("input") * 2, "cache_write": F.col("l_suppkey") % 3, "user_id": F.col("l_orderkey")}
+    days = community.source_map(parts(spark, sf_dir).withColumns(caches)).withColumnRenamed("user_id", "submission_id")
+    return days.withColumn("tokens", F.lit(0).cast("long"))
+
+
+@query(f"""WITH {UNFIXED}, s AS (SELECT id, date, source, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS t FROM r GROUP BY id, date, source)
+SELECT id AS submission_id, date, CAST(sum(t) AS BIGINT) AS tokens, string_agg(source || ':' || t, ',' ORDER BY source) AS sources FROM s GROUP BY id, date""")
+def fixed_days(spark, sf_dir):
+    """The first two steps of the data fix: tokens of the sources in the maps, and of the days."""
+    days = community.fixed_maps(unfixed_days(spark, sf_dir))
+    each = F.transform(F.map_entries("source_breakdown"), lambda e: F.concat_ws(":", e["key"], e["value"]["tokens"].cast("string")))
+    return days.select("submission_id", "date", "tokens", F.array_join(F.array_sort(each), ",").alias("sources"))
+
+
+@query(f"""WITH {UNFIXED}, {SUBMISSIONS} SELECT submissions.id AS user_id, CAST(coalesce(sum(input + output + cache_read + cache_write), 0) AS BIGINT) AS total_tokens
+FROM submissions LEFT JOIN r ON r.id = submissions.id AND r.id % 13 <> 5 GROUP BY submissions.id""")
 def recalculated_totals(spark, sf_dir):
-    """A data fix: totals from the rows below, the old one where there are none."""
-    totals = submissions(spark, sf_dir).filter("id < 100").select(F.col("id").alias("user_id"), "total_tokens")
-    rows = parts(spark, sf_dir).withColumn("user_id", F.col("l_orderkey") % 100).filter("user_id <> 13")
-    return community.recalculated(totals, rows)
+    """All three steps: every submission's total from its days, none of which some have."""
+    days = unfixed_days(spark, sf_dir).filter("submission_id % 13 <> 5")
+    totals, _ = community.fix_tokens(submissions(spark, sf_dir), days)
+    return totals.select(F.col("id").alias("user_id"), "total_tokens")
 
 
 @query(f"""WITH {PARTS} SELECT user_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used, string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS models_used FROM parts GROUP BY user_id""")
