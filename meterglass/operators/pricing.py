@@ -136,7 +136,12 @@ def with_cost(messages: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def usage_sums(messages: DataFrame) -> DataFrame:
-    """Sums per date, source, provider and model, with their number of messages, written out.
+    """``summed_usage`` written out."""
+    return cut_lineage(summed_usage(messages))
+
+
+def summed_usage(messages: DataFrame, *also: str) -> DataFrame:
+    """Sums per date, source, provider and model, with their number of messages, and per further columns.
 
     It is the one read of the messages that all reports need, and grows with days and models only.
     ``kinds`` are bits of what is above 0 in a message of a source that states costs, as those
@@ -144,10 +149,10 @@ def usage_sums(messages: DataFrame) -> DataFrame:
     """
     bits = sum((F.when(F.expr(paid), 1 << n).otherwise(0) for n, paid in enumerate(PAID)), F.lit(0))
     kinds = F.when(F.col("source").isin(*STATING), bits).otherwise(0).alias("kinds")
-    sums = messages.groupBy("date", "source", "provider_id", "model_id", kinds).agg(
+    sums = messages.groupBy(*also, "date", "source", "provider_id", "model_id", kinds).agg(
         *[exact_sum(t).alias(t) for t in TOKENS], F.count("*").alias("messages"), F.sum(F.coalesce("cost", F.lit(0))).alias("cost")
     )
-    return cut_lineage(sums)
+    return sums
 
 
 def priced_sums(sums: DataFrame, prices: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ folders below a root (a name beginning with . or _) are not read.
 
 from __future__ import annotations
 
+import fnmatch
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -53,35 +55,47 @@ def _missing(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e)
 
 
-def texts(spark: SparkSession, root: str, pattern: str, whole: bool = True) -> DataFrame:
-    """path, modified (epoch ms), block, split and value: a row per file, or per line; none if the root is missing.
+def texts(spark: SparkSession, root: str | list[str], pattern: str, whole: bool = True) -> DataFrame:
+    """Of a folder, or of the files of a list that have the pattern's names:
+    path, modified (epoch ms), block, split and value: a row per file, or per line; none if the root is missing.
 
     ``block`` is where the part of the file begins that a line was read with; ``split`` says that it is not all of it.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     # Files that vanish or can't be read are passed over.
     reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    if isinstance(root, list):
+        # Names are names, whatever characters of a pattern are in them.
+        root = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in root if fnmatch.fnmatch(p.rpartition("/")[2], pattern)]
     try:
-        rows = reader.text(root, wholetext=whole)
+        rows = reader.text(root, wholetext=whole) if root else None
     except AnalysisException as e:
         if not _missing(e):
             raise
+        rows = None
+    if rows is None:
         return spark.createDataFrame([], "path string, modified bigint, block bigint, split boolean, value string")
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = plain_path(F.col("_metadata.file_path"))
     modified = F.unix_millis("_metadata.file_modification_time").alias("modified")
     split = F.col("_metadata.file_block_length") < F.col("_metadata.file_size")
     return rows.select(path.alias("path"), modified, F.col("_metadata.file_block_start").alias("block"), split.alias("split"), "value")
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path as it is named, not as a URI has it."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """path of every file; contents are not read."""
+    """path, size and modified (epoch ms) of every file; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     try:
-        return reader.load(root).select("path")
+        found = reader.load(root)
     except AnalysisException as e:
         if not _missing(e):
             raise
-        return spark.createDataFrame([], "path string")
+        return spark.createDataFrame([], "path string, size bigint, modified bigint")
+    return found.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"))
 
 
 def scan_stats(spark: SparkSession, where: dict[str, str]) -> DataFrame:
@@ -128,8 +142,8 @@ def decoded(rows: DataFrame, schema: str, value: str = "value") -> DataFrame:
 
 
 def messages(rows: DataFrame, **columns: Column | str | None) -> DataFrame:
-    """The relation of messages from named columns; what isn't named is 0 or null."""
-    out = []
+    """The relation of messages from named columns; what isn't named is 0 or null. The path of ``rows`` goes along."""
+    out = [F.col("path")] if "path" in rows.columns else []
     for c in COLUMNS:
         kind = {"timestamp_ms": "bigint", "date": "date", "cost": "double"}.get(c, "string")
         if c in ("input", "output", "cache_read", "cache_write", "reasoning"):

@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 from meterglass.functions.names import agent_name, custom_model, default_model, provider_of
 from meterglass.functions.values import millis_of_csv_date, millis_of_rfc3339, money, whole
 from meterglass.operators.reports import cost_to_you
-from meterglass.schema import MESSAGES
+from meterglass.schema import COLUMNS, MESSAGES
 from meterglass.sources.files import PLACES, decoded, messages, roots, stem, texts
 
 USAGE = "struct<input_tokens: bigint, output_tokens: bigint, cached_input_tokens: bigint, cache_read_input_tokens: bigint>"
 
 
-def opencode(spark: SparkSession, root: str) -> DataFrame:
-    return opencode_messages(texts(spark, root, PLACES["opencode"].pattern))
+def opencode(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    return opencode_messages(texts(spark, root, PLACES["opencode"].pattern)).select(*COLUMNS)
 
 
 def opencode_messages(files: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def opencode_messages(files: DataFrame) -> DataFrame:
         " tokens struct<input: bigint, output: bigint, reasoning: bigint, cache: struct<read: bigint, write: bigint>>,"
         " time struct<created: double, completed: double>"
     )
-    rows = decoded(files, schema).select("r.*")
+    rows = decoded(files, schema).select("path", "r.*")
     required = ("id", "sessionID", "modelID", "time.created", "tokens.input", "tokens.output", "tokens.cache.read", "tokens.cache.write")
     rows = rows.filter("role = 'assistant'")
     for c in required:
@@ -48,8 +48,8 @@ def opencode_messages(files: DataFrame) -> DataFrame:
     )
 
 
-def claude(spark: SparkSession, root: str) -> DataFrame:
-    return claude_messages(texts(spark, root, PLACES["claude"].pattern, whole=False))
+def claude(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    return claude_messages(texts(spark, root, PLACES["claude"].pattern, whole=False)).select(*COLUMNS)
 
 
 def claude_messages(rows: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def claude_messages(rows: DataFrame) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def lines(spark: SparkSession, root: str | list[str], pattern: str) -> DataFrame:
     """path, pos, value, split: a file's lines and their places, which grow along the file.
 
     A large file is read in blocks by many tasks, which ``split`` tells; a place is the block's start and
@@ -192,13 +192,16 @@ def codex_messages(deltas: DataFrame, as_of_ms: int = 0) -> DataFrame:
 
 def codex(spark: SparkSession, root: str, as_of_ms: int = 0) -> DataFrame:
     """Deltas of token_count events. A log that is read in several blocks is worked on by block."""
-    kept = lines(spark, root, PLACES["codex"].pattern)
-    deltas = usage_deltas(codex_events(kept), block=F.col("pos.block"), split=F.col("split"))
+    return codex_of_lines(lines(spark, root, PLACES["codex"].pattern), as_of_ms).select(*COLUMNS)
+
+
+def codex_of_lines(rows: DataFrame, as_of_ms: int = 0) -> DataFrame:
+    deltas = usage_deltas(codex_events(rows), block=F.col("pos.block"), split=F.col("split"))
     return codex_messages(deltas, as_of_ms)
 
 
-def gemini(spark: SparkSession, root: str) -> DataFrame:
-    return gemini_messages(texts(spark, root, PLACES["gemini"].pattern))
+def gemini(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    return gemini_messages(texts(spark, root, PLACES["gemini"].pattern)).select(*COLUMNS)
 
 
 def gemini_messages(rows: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def gemini_messages(rows: DataFrame) -> DataFrame:
         "r.sessionId is not null and r.projectHash is not null and r.startTime is not null and r.lastUpdated is not null"
         " and r.messages is not null and not exists(r.messages, m -> m.id is null or m.type is null)"
     )
-    rows = rows.select("r.sessionId", F.explode("r.messages").alias("m"))
+    rows = rows.select("path", "r.sessionId", F.explode("r.messages").alias("m"))
     rows = rows.withColumn("ms", millis_of_rfc3339(F.col("m.timestamp")))
     rows = rows.filter("m.type = 'gemini' and m.tokens is not null and m.model is not null and ms <> 0")
     return messages(
@@ -237,8 +240,8 @@ def first_kind(preferred: DataFrame, fallback: DataFrame, key: str) -> DataFrame
     return preferred.unionByName(fallback.join(preferred.select(key).distinct(), key, "left_anti").select(preferred.columns))
 
 
-def amp(spark: SparkSession, root: str) -> DataFrame:
-    return amp_messages(texts(spark, root, PLACES["amp"].pattern))
+def amp(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    return amp_messages(texts(spark, root, PLACES["amp"].pattern)).select(*COLUMNS)
 
 
 def amp_messages(files: DataFrame) -> DataFrame:
@@ -283,8 +286,8 @@ def amp_messages(files: DataFrame) -> DataFrame:
     )
 
 
-def droid(spark: SparkSession, root: str) -> DataFrame:
-    return droid_messages(texts(spark, root, PLACES["droid"].pattern), lines(spark, root, "*.jsonl"))
+def droid(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    return droid_messages(texts(spark, root, PLACES["droid"].pattern), lines(spark, root, "*.jsonl")).select(*COLUMNS)
 
 
 #: A log names the session's model in so many of its first lines, or not at all.
@@ -351,8 +354,8 @@ def csv_rows(rows: DataFrame) -> DataFrame:
     return rows.select("path", "head", fields.alias("f"))
 
 
-def cursor(spark: SparkSession, root: str) -> DataFrame:
-    return cursor_messages(lines(spark, root, PLACES["cursor"].pattern))
+def cursor(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    return cursor_messages(lines(spark, root, PLACES["cursor"].pattern)).select(*COLUMNS)
 
 
 def cursor_messages(rows: DataFrame) -> DataFrame:
@@ -385,7 +388,7 @@ def cursor_messages(rows: DataFrame) -> DataFrame:
 
 
 def cursor_by_name(spark: SparkSession, root: str) -> DataFrame:
-    return cursor_messages_by_name(lines(spark, root, PLACES["cursor"].pattern))
+    return cursor_messages_by_name(lines(spark, root, PLACES["cursor"].pattern)).select(*COLUMNS)
 
 
 def cursor_messages_by_name(rows: DataFrame) -> DataFrame:
@@ -420,6 +423,18 @@ def cursor_messages_by_name(rows: DataFrame) -> DataFrame:
     return found.withColumn("date", F.when(F.col("timestamp_ms") == 0, stated).otherwise(F.col("date")))
 
 
+def by_file(spark: SparkSession, source: str, files: list[str]) -> DataFrame:
+    """The messages of some files of a source, with their path; of droid also the sessions' logs are read."""
+    pattern = PLACES[source].pattern
+    if source == "droid":
+        logs = [p.removesuffix(".settings.json") + ".jsonl" for p in files if p.endswith(".settings.json")]
+        return droid_messages(texts(spark, files, pattern), lines(spark, logs, "*.jsonl"))
+    if source in ("codex", "cursor"):
+        return {"codex": codex_of_lines, "cursor": cursor_messages}[source](lines(spark, files, pattern))
+    decode = {"opencode": opencode_messages, "claude": claude_messages, "gemini": gemini_messages, "amp": amp_messages}[source]
+    return decode(texts(spark, files, pattern, whole=source != "claude"))
+
+
 READERS = {"opencode": opencode, "claude": claude, "codex": codex, "gemini": gemini, "cursor": cursor, "amp": amp, "droid": droid}
 
 

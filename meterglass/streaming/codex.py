@@ -110,4 +110,4 @@ def delta_stream(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
 def codex_stream(spark: SparkSession, root: str, keep_ms: int | None = None, block: int = BLOCK) -> DataFrame:
     """The messages of the running logs below ``root`` as lines are appended to them: ``codex`` as a stream."""
     deltas = delta_stream(codex_events(log_stream(spark, root, PLACES["codex"].pattern, block)), keep_ms)
-    return codex_messages(deltas.withColumn("used", F.struct(*KINDS)))
+    return codex_messages(deltas.withColumn("used", F.struct(*KINDS))).drop("path")
