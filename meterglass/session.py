@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,20 @@ def session(app: str = "meterglass", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per context, wherever they were started."""
+    root = Path(__file__).parent
+    files = sorted(p for p in root.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+    name = f"{root.name}-{digest}.zip"
+    if not any(Path(f).name == name for f in spark.sparkContext.listFiles):
+        target = Path(tempfile.mkdtemp(prefix="meterglass-")) / name
+        with zipfile.ZipFile(target, "w") as z:
+            for p in files:
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+
+
 def set_checkpoint_folder(spark: SparkSession) -> None:
     """Use the folder that the session names in spark.checkpoint.dir.
 

@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from meterglass.session import ship_package
+
 SCHEMA = "path string, pos bigint, value string"
 #: Bytes of a file that one task reads, and that are read at once.
 BLOCK, PIECE = 32 << 20, 1 << 20
@@ -146,5 +148,6 @@ class GrowingLogs(DataSource):
 
 def log_stream(spark: SparkSession, root: str, pattern: str = "*.jsonl", block: int = BLOCK) -> DataFrame:
     """The lines of all logs below ``root`` as they are finished, each once, also over restarts from a checkpoint."""
+    ship_package(spark)
     spark.dataSource.register(GrowingLogs)
     return spark.readStream.format("growing_logs").option("pattern", pattern).option("block", str(block)).load(root)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from meterglass.session import ship_package
 from meterglass.sources.files import PLACES
 from meterglass.sources.logs import BLOCK, log_stream
 from meterglass.sources.sessions import codex_events, codex_messages
@@ -97,6 +98,7 @@ def delta_stream(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     new log, so its first total only says where it stands. That needs RocksDB as the session's store of
     states (STORE).
     """
+    ship_package(events.sparkSession)
     stamp = "timestamp" if "timestamp" in events.columns else "cast(null AS string) AS timestamp"
     flat = events.selectExpr(
         "path", "pos", stamp, "coalesce(sets_model, false) AS sets_model", "model", "coalesce(is_usage, false) AS is_usage",
