@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
-import zipfile
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import meterglass
-from meterglass.session import cut_lineage, write_out
+from meterglass.session import cut_lineage, ship_package, write_out
 
-__all__ = ["cut_lineage", "write_out"]
+__all__ = ["cut_lineage", "ship_package", "write_out"]
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` splits UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,20 +31,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3) == 1
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per context, wherever they were started."""
-    root = Path(meterglass.__file__).parent
-    files = sorted(p for p in root.rglob("*.py"))
-    digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
-    name = f"{root.name}-{digest}.zip"
-    if not any(Path(f).name == name for f in spark.sparkContext.listFiles):
-        target = Path(tempfile.mkdtemp(prefix="meterglass-")) / name
-        with zipfile.ZipFile(target, "w") as z:
-            for p in files:
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(target))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
