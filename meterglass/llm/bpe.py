@@ -42,6 +42,8 @@ CONTRACTED = ("s", "t", "m", "d", "re", "ve", "ll")
 SUFFIX = "</w>"
 #: The rank of a pair that is never merged.
 NO_MERGE = 1 << 60
+#: Letters of a word that is merged without a heap.
+SHORT = 40
 #: Bytes of text that a worker handles at once, of many texts or as a part of one.
 SLICE = 1 << 19
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -201,15 +203,29 @@ class Vocabulary:
             starts[after[after < len(codes)]] = True
 
     def merge(self, word: str) -> list[int]:
-        """The ids of one word: the pair of lowest rank, of those the first, is joined until none is left.
-
-        Pairs wait in a heap by rank and place; one that has changed since is passed over. A word of n
-        letters takes n log n steps.
-        """
+        """The ids of one word: the pair of lowest rank, of those the first, is joined until none is left."""
         if word in self.special:
             return [self.special[word]]
         parts = [self.letters[b] for b in word.encode()]
         parts[-1] += SUFFIX
+        return [self.ids[p] for p in (self._merged_short if len(parts) <= SHORT else self._merged)(parts)]
+
+    def _merged_short(self, parts: list[str]) -> list[str]:
+        """By looking at all pairs for each merge, which is quickest for a word of a few letters."""
+        rank_of = self.ranks.get
+        ranks = [rank_of(p, NO_MERGE) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NO_MERGE:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = rank_of((parts[i], parts[i + 1]), NO_MERGE)
+        return parts
+
+    def _merged(self, parts: list[str]) -> list[str]:
+        """Pairs wait in a heap by rank and place; one that has changed since is passed over. n letters take n log n steps."""
         n, rank_of = len(parts), self.ranks.get
         ranks = [rank_of(p, NO_MERGE) for p in zip(parts, parts[1:])] + [NO_MERGE]
         waiting = [(r, i) for i, r in enumerate(ranks) if r != NO_MERGE]
@@ -232,7 +248,7 @@ class Vocabulary:
                 ranks[h] = rank_of((parts[h], parts[i]), NO_MERGE)
                 if ranks[h] != NO_MERGE:
                     heappush(waiting, (ranks[h], h))
-        return [self.ids[p] for p in parts if p is not None]
+        return [p for p in parts if p is not None]
 
 
 @cache

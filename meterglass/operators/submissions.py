@@ -59,18 +59,24 @@ class Submitted:
 
 
 def _summed(days: DataFrame, users: DataFrame, payload: DataFrame, before: DataFrame, cli_version: str) -> DataFrame:
-    """The submissions of ``users`` from all their days."""
-    mine = days.join(users, "user_id", "left_semi")
-    costs = mine.groupBy("user_id", "date").agg(F.sum("cost").cast("decimal(18,4)").alias("day")).groupBy("user_id").agg(F.sum("day").cast("decimal(18,4)").alias("total_cost"))
-    sums = mine.groupBy("user_id").agg(*[F.sum(c).alias(n) for n, c in SUMS.items()])
-    totals = community.submission_totals(mine).drop("total_cost")
+    """The submissions of ``users`` from all their days: sums of days, whose costs are rounded first, and what they name."""
+    mine = days.join(users, "user_id", "left_semi").groupBy("user_id", "date")
+    sums = {"total_tokens": "tokens", **SUMS}
+    each = mine.agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], F.sum("cost").cast("decimal(18,4)").alias("total_cost"),
+        F.collect_set("source").alias("sources_used"), F.collect_set("model_id").alias("models_used"),
+    )
+    # A user has a day's names for each of their days, which the calendar bounds.
+    named = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    totals = each.groupBy("user_id").agg(
+        *[F.sum(c).alias(c) for c in sums], F.sum("total_cost").cast("decimal(18,4)").alias("total_cost"), F.min("date").alias("date_start"), F.max("date").alias("date_end"),
+        F.count_if(F.col("total_tokens") > 0).alias("active_days"), F.count("*").alias("row_count"), named("sources_used"), named("models_used"),
+    )
     dated = payload.groupBy("user_id").agg(F.collect_set("source").alias("sources"), F.min("date").alias("start"), F.max("date").alias("end"), F.collect_set(F.col("date").cast("string")).alias("days"))
     hashes = community.submission_hash(dated).select("user_id", "submission_hash")
     sent = before.select("user_id", F.col("submit_count").alias("sent"))
-    out = users
-    for part in (totals, costs, sums, community.used(mine), hashes, sent):
-        out = out.join(part, "user_id", "left")
-    numbers = {c: F.coalesce(c, F.lit(0)) for c in ("total_tokens", "total_cost", *SUMS, "active_days", "row_count")}
+    out = users.join(totals, "user_id", "left").join(hashes, "user_id", "left").join(sent, "user_id", "left")
+    numbers = {c: F.coalesce(c, F.lit(0)) for c in ("total_cost", *sums, "active_days", "row_count")}
     lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("sources_used", "models_used")}
     return out.withColumns(numbers | lists | {"cli_version": F.lit(cli_version), "submit_count": F.coalesce("sent", F.lit(0)) + 1})
 

@@ -209,6 +209,10 @@ def test_merging_takes_time_in_proportion_and_the_memo_is_bounded():
     word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
     began = time.process_time()
     assert len(vocab.merge(word)) > 200_000 and time.process_time() - began < 20
+    for n in range(1, 90):  # with a heap and without
+        some = "".join(rng.choices("abcdeinorst", k=n))
+        parts = [vocab.letters[b] for b in some.encode()]
+        assert vocab._merged(parts.copy()) == vocab._merged_short(parts.copy())
     memo = bpe.Memo(most=6400)
     for i in range(3000):
         memo.keep(f"word{i}".encode(), [1, 2, 3])
