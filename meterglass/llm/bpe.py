@@ -556,7 +556,10 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the column decoded, the text that ``ids`` give; null ids give an empty one."""
+    """``encoded`` with the column decoded, the text that ``ids`` give; null ids give an empty one.
+
+    Row by row, so repeated rows repeat and an empty table stays empty; a very long text is one row's work.
+    """
     names = ship_vocabulary(encoded.sparkSession, path)
 
     @per_text("string")
@@ -569,7 +572,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, lexicon_size: int = 131_072) -> DataFrame:
-    """doc_id, ids and decoded in one pass of one worker per task: ``decode`` of ``encode``."""
+    """doc_id, ids and decoded in one pass of one worker per task: ``decode`` of ``encode``.
+
+    Nulls, empty and very long texts, repeated rows and an empty table are treated as by ``encode``.
+    """
     names, lexicon_name = build_lexicon(docs, path, lexicon_size)
 
     def make(texts: list[str]) -> list[pa.Array]:

@@ -220,7 +220,10 @@ def turns_of_records(df: DataFrame, record: str = "record", id_column: str = "co
 
 
 def unmatched_records(df: DataFrame, record: str = "record", id_column: str = "conv_id") -> DataFrame:
-    """conv_id, reason, records: how many records of an id ``turns_of_records`` has no turns of, and why."""
+    """conv_id, reason, records: how many records of an id ``turns_of_records`` has no turns of, and why.
+
+    A null record is no JSON; repeated rows count again, a null id is an id, an empty table gives no rows.
+    """
     rows = _mapped(df, record, id_column).filter(F.coalesce(F.size("turns"), F.lit(0)) <= 0)
     reason = F.when(F.col("v").isNull(), "no json").when(F.col("turns").isNull(), "no layout").otherwise("no turns")
     return rows.groupBy("conv_id", reason.alias("reason")).agg(F.count("*").alias("records"))
@@ -244,7 +247,7 @@ def format_turns(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
     turn's part, start and end in the whole text. Turns are ordered by turn, then role and text;
     null turns come first, null roles and texts are empty, null conv_ids are one conversation.
     Repeated rows are repeated turns; an empty table gives no rows. A conversation is one text, so
-    its turns meet in one task, and only they.
+    its turns meet in one task, and only they; very long texts are held whole there.
     """
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
     parts = turns.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
@@ -275,7 +278,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text), loss_text, formatted_chars, from ``formatted`` and ``loss`` alone.
 
     One row for each of ``formatted``, null ids and repeated rows as they are; without turns to learn
-    from, loss_text is empty. An empty table gives no rows.
+    from, loss_text is empty. An empty table gives no rows; a very long text is one row's work.
     """
     end = END.replace("|", r"\|")
     rows = formatted.withColumn("parts", F.split("formatted", end))

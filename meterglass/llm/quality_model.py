@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataF
 
     Null texts are empty ones; null ids, and qualities other than 0 and 1, are not learned from.
     Repeated rows count once, an id of two texts or labels as two rows. A shard is one task's work,
-    ``max_rows`` / ``shards`` rows, however many documents there are.
+    ``max_rows`` / ``shards`` rows, however many documents there are; a very long text is learned from
+    whole, as one row.
     """
 
     def shards_of(batches):
