@@ -58,8 +58,9 @@ POLICIES = {
     p.name: p
     for p in (
         Policy("base", 1, BASE),
-        Policy("web", 2, (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters", "too_many_words")),
-        # What the pipeline applies: length alone is no fault, and stays a bit in the ledger.
+        # Length alone is no fault: it is measured, and its bit stays in the ledger for policies that ask for it.
+        Policy("web", 3, (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters")),
+        # What the pipeline applies.
         Policy("corpus", 1, (*BASE, "word_length", "symbols", "duplicate_lines", "capitals", "few_letters")),
     )
 }
