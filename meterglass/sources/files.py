@@ -1,7 +1,8 @@
 """Where tools keep their session files, and reading those files with their paths.
 
-Roots are listed by Spark's readers, so they may be on any file system that Spark can open. Hidden
-folders below a root (a name beginning with . or _) are not read.
+Roots are read by Spark's readers, so they may be on any file system that Spark can open; those pass over
+hidden folders below a root (a name beginning with . or _). A scan lists folders as Spark jobs, hidden ones
+too, and counts those that can't be read.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ import os
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterglass.schema import COLUMNS, SOURCES
+from meterglass.session import cut_lineage, ship_package
+from meterglass.sources.logs import opened
 
 
 @dataclass(frozen=True)
@@ -98,22 +103,59 @@ def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"))
 
 
+def walk(spark: SparkSession, where: dict[str, str]) -> DataFrame:
+    """source, path, size, modified of every session file below the roots, and a row without size per folder that can't be read.
+
+    Folders are listed level by level, those of a level by many tasks, hidden ones too; links to folders are
+    not followed. A root that is missing has no files. Roots are local paths or URIs that Arrow can open.
+    """
+    patterns = {source: PLACES[source].pattern for source in where}
+
+    def listed(batches):
+        for batch in batches:
+            out = []
+            for source, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, inside = opened(folder)
+                scheme = folder.removesuffix(inside) if "://" in folder else ""
+                local = isinstance(system, fs.LocalFileSystem)
+                try:
+                    found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+                except OSError:
+                    out.append((source, folder, None, None, False))
+                    continue
+                for info in found:
+                    if info.type == fs.FileType.Directory and not (local and os.path.islink(info.path)):
+                        out.append((source, scheme + info.path, None, None, True))
+                    elif info.type == fs.FileType.File and fnmatch.fnmatchcase(info.base_name, patterns[source]):
+                        when = info.mtime_ns // 1_000_000 if info.mtime_ns is not None else 0
+                        out.append((source, scheme + info.path if scheme else f"file://{info.path}", info.size, when, False))
+            columns = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "path", "size", "modified", "folder"])
+
+    ship_package(spark)
+    level = spark.createDataFrame(list(where.items()), "source string, path string")
+    found, tasks = None, spark.sparkContext.defaultParallelism
+    while True:
+        level = cut_lineage(level.repartition(tasks, "source", "path").mapInArrow(listed, "source string, path string, size bigint, modified bigint, folder boolean"))
+        files = level.filter("not folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        level = level.filter("folder").select("source", "path")
+        if level.isEmpty():
+            return found
+
+
 def scan_stats(spark: SparkSession, where: dict[str, str]) -> DataFrame:
-    """source, files for each root, zero where there are none."""
-    found = None
-    for source, root in where.items():
-        one = listing(spark, root, PLACES[source].pattern).agg(F.count("*").alias("files"))
-        one = one.select(F.lit(source).alias("source"), "files")
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else spark.createDataFrame([], "source string, files bigint")
+    """source, files, unreadable (folders that could not be listed) for each root, zero where there are none."""
+    counts = walk(spark, where).groupBy("source").agg(F.count("size").alias("files"), F.count_if(F.col("size").isNull()).alias("unreadable"))
+    places = spark.createDataFrame([(s,) for s in where], "source string")
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("files", "unreadable")}
+    return places.join(counts, "source", "left").withColumns(zero).select("source", "files", "unreadable")
 
 
 def tagged_listing(spark: SparkSession, where: dict[str, str]) -> DataFrame:
     """source, path of every file of all roots."""
-    found = spark.createDataFrame([], "source string, path string")
-    for source, root in where.items():
-        found = found.unionByName(listing(spark, root, PLACES[source].pattern).select(F.lit(source).alias("source"), "path"))
-    return found
+    return walk(spark, where).filter("size is not null").select("source", "path")
 
 
 def is_graph_document(document: Column) -> Column:

@@ -214,3 +214,21 @@ def test_tagged_listing_and_graph_documents(spark, tmp_path):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, t string")
     got = [r["ok"] for r in frame.select("i", is_graph_document(F.col("t")).alias("ok")).orderBy("i").collect()]
     assert got == [ok for _, ok in cases] + [False, False]
+
+
+def test_scans_list_hidden_folders_and_count_unreadable_ones(spark, tmp_path):
+    """Folders at any depth, hidden ones too; links are not followed; a root that is no folder can't be read, a missing one is empty."""
+    root = tmp_path / "home"
+    for folder in (".x", "_y/deep/er", "plain", "with space"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "a.jsonl").write_text("x" * 5)
+        (root / folder / "b.txt").write_text("")
+    (root / "plain" / "link").symlink_to(root)
+    (root / "A.JSONL").write_text("")
+    (tmp_path / "file").write_text("")
+    where = {"claude": str(root), "codex": f"file://{root}/_y", "amp": str(tmp_path / "missing"), "cursor": str(tmp_path / "file")}
+    assert sorted(rows(scan_stats(spark, where), "source", "files", "unreadable")) == [("amp", 0, 0), ("claude", 4, 0), ("codex", 1, 0), ("cursor", 0, 1)]
+    found = rows(tagged_listing(spark, where), "source", "path")
+    assert sorted(p.removeprefix(f"file://{root}/") for s, p in found if s == "claude") == [".x/a.jsonl", "_y/deep/er/a.jsonl", "plain/a.jsonl", "with space/a.jsonl"]
+    assert [p for s, p in found if s == "codex"] == [f"file://{root}/_y/deep/er/a.jsonl"]
+    assert scan_stats(spark, {}).count() == 0
