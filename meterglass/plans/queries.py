@@ -705,6 +705,16 @@ def filtered_by_source_resummary(spark, sf_dir):
     return community.refilter(parts(spark, sf_dir).withColumns(zeros), sources=["claude", "codex"])
 
 
+@query("""SELECT model_id, count(*) AS parts, CAST(sum(p_size) AS BIGINT) AS size FROM (SELECT p_size, coalesce(nullif(trim(CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   '
+  WHEN 3 THEN '  ' || p_brand || ' ' ELSE p_brand END), ''), 'unknown') AS model_id FROM part) GROUP BY model_id""")
+def submitted_models(spark, sf_dir):
+    """Names of submitted models, missing, empty and blank ones among them."""
+    brand = F.col("p_brand")
+    given = F.array(F.lit(None), F.lit(""), F.lit("   "), F.concat(F.lit("  "), brand, F.lit(" ")), brand)
+    rows = table(spark, sf_dir, "part").withColumn("model_id", community.clean_model(F.get(given, (F.col("p_partkey") % 5).cast("int"))))
+    return rows.groupBy("model_id").agg(F.count("*").alias("parts"), F.sum("p_size").alias("size"))
+
+
 #: Models' names are made of these, by the number of a part; and what follows them.
 HEADS = """claude-opus-4-5 claude_opus_4.5 claude4opus Claude-Opus-4 claude-sonnet-45 claude-4-sonnet claude-sonnet-4 claude-haiku-4.5 claude-4_haiku claude-haiku-4 claude-3-7-sonnet
 claude3.5sonnet claude-3-5-haiku claude-3-opus claude_3_sonnet claude-3-haiku claude-instant-1 claude--x claude-2.1 gpt-5.1-codex gpt-5-1 GPT-5 gpt-4-o-mini gpt4o gpt-4-turbo gpt-4.1 gpt-3.5-turbo
