@@ -47,20 +47,27 @@ def whole(text: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A double with so many digits, rounded by its exact binary value from 1 on: 411.645 lies below that and is 411.64.
+    """A double with so many digits, rounded by its exact binary value: 411.645 lies below that and is 411.64.
 
-    The part after the point is exact when the whole is taken away, and shows on which side it lies.
+    ``format_number`` does that, but takes halves that a double can hold to the even digit: those are lifted first, away from zero.
     """
-    whole_, unit = F.floor(x), 10**digits
-    parts = F.replace(F.format_string(f"%.{digits}f", x - whole_), F.lit("."), F.lit("")).cast("bigint") + whole_ * unit
-    apart = F.concat(F.floor(parts / unit).cast("bigint").cast("string"), F.lit("."), F.lpad((parts % unit).cast("string"), digits, "0"))
-    return F.when((x >= 1) & (x < 1e12), apart).otherwise(F.format_string(f"%.{digits}f", x))
+    half = F.abs(x * 2 ** (digits + 1)) % 2 == 1
+    lifted = F.when(half, x + F.signum(x) * 10.0 ** -(digits + 1)).otherwise(x)
+    return F.when(x >= 1e12, F.format_string(f"%.{digits}f", x)).otherwise(F.replace(F.format_number(lifted, digits), F.lit(",")))
 
 
-def compact(n: Column, digits: int = 1, large: int | None = None) -> Column:
-    """1.2K, 3.4M, 5.6B; smaller numbers as they are. ``large`` is the number of digits of M and B, where it differs."""
+MARKS = {"B": 10**9, "M": 10**6, "K": 10**3}
+
+
+def compact(n: Column, digits: int = 1, large: int | None = None, top: str = "B") -> Column:
+    """1.2K, 3.4M, 5.6B; smaller numbers as they are. ``large`` is the number of digits of M and B, where it differs.
+
+    ``top`` is the largest mark: with M, 5.6B is 5600.0M.
+    """
     scaled = F.lit(None).cast("string")
-    for limit, mark in ((10**9, "B"), (10**6, "M"), (10**3, "K")):
+    for mark, limit in MARKS.items():
+        if limit > MARKS[top]:
+            continue
         shown = digits if large is None or mark == "K" else large
         scaled = F.coalesce(scaled, F.when(n >= limit, F.concat(fixed(n.cast("double") / limit, shown), F.lit(mark))))
     return F.coalesce(scaled, n.cast("string"))

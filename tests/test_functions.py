@@ -1,5 +1,7 @@
 """Column functions on stated cases."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,20 @@ def test_tokens_as_the_review_shows_them(spark):
     assert apply(spark, lambda c: values.compact(c, large=2), given, "bigint") == ["999", "1.5K", "2.50M", "3.00B"]
 
 
+def test_tokens_up_to_the_largest_mark(spark):
+    given = [None, 999, 1500, 999_999_999, 1_000_000_000, 3_000_125_000]
+    assert apply(spark, lambda c: values.compact(c, large=2, top="M"), given, "bigint") == [None, "999", "1.5K", "1000.00M", "1000.00M", "3000.13M"]
+    assert apply(spark, lambda c: values.compact(c, top="K"), given[1:], "bigint") == ["999", "1.5K", "1000000.0K", "1000000.0K", "3000125.0K"]
+
+
+def test_digits_are_rounded_by_the_exact_value(spark):
+    """7.585 and 0.145 lie below a half as doubles, also when their whole is taken away; 0.125 is one and goes up."""
+    given = [None, 7.585, 0.145, 1.005, 0.125, 1.375, -1.125, -0.145, 1234567.875, 1e11 + 0.125, 1e13, *[n / 1000 for n in range(5, 20000, 10)], *[n / 8 for n in range(-99, 99)]]
+    exact = lambda x, digits: x if x is None else f"{Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP):f}"
+    for digits in (1, 2):
+        assert apply(spark, lambda c: values.fixed(c, digits), given, "double") == [exact(x, digits) for x in given]
+
+
 def test_names_in_tables(spark):
     given = ["claude-sonnet-4-20250514", "claude-opus-4-5-20251101", "claude-opus-4-5-high", "gpt-4o", "x/claude-haiku-4-5-20251001-v1"]
     assert apply(spark, names.table_label, given) == ["sonnet-4", "opus-4-5", "opus-4-5-high", "gpt-4o", "haiku-4-5"]

@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 from oracle import DATA, assert_same
 
@@ -20,6 +21,15 @@ def test_query_against_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, str(DATA)), queries.ORACLES[name])
 
 
+def test_review_tokens_of_many_parts(spark, tmp_path):
+    """Keys as large as those of 60 times the largest tables, with halves of both marks; their counts pass a billion."""
+    keys = "SELECT 1199000 + i AS p_partkey, CAST(1 + i % 50 AS INTEGER) AS p_size FROM range(1000) t(i) UNION ALL SELECT 125000 * i, 1 + i % 50 FROM range(1000) t(i) UNION ALL SELECT 10 * i, 25 FROM range(1000) t(i)"
+    duckdb.sql(f"COPY ({keys}) TO '{tmp_path}/part.parquet'")
+    rows = queries.QUERIES["review_tokens"](spark, str(tmp_path))
+    assert rows.agg({"n": "max"}).first()[0] >= 10**9
+    assert_same(rows, queries.ORACLES["review_tokens"], tmp_path)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
