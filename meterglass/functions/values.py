@@ -46,13 +46,14 @@ def whole(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def fixed(x: Column, digits: int) -> Column:
+def fixed(x: Column, digits: int, even: bool = False) -> Column:
     """A double with so many digits, rounded by its exact binary value: 411.645 lies below that and is 411.64.
 
-    ``format_number`` does that, but takes halves that a double can hold to the even digit: those are lifted first, away from zero.
+    ``format_number`` does that, but takes halves that a double can hold to the even digit. Unless ``even`` is set, those are
+    lifted first, away from zero.
     """
     half = F.abs(x * 2 ** (digits + 1)) % 2 == 1
-    lifted = F.when(half, x + F.signum(x) * 10.0 ** -(digits + 1)).otherwise(x)
+    lifted = x if even else F.when(half, x + F.signum(x) * 10.0 ** -(digits + 1)).otherwise(x)
     return F.when(x >= 1e12, F.format_string(f"%.{digits}f", x)).otherwise(F.replace(F.format_number(lifted, digits), F.lit(",")))
 
 
@@ -84,13 +85,13 @@ def thousands(n: Column) -> Column:
     return F.format_number(n.cast("bigint"), 0)
 
 
-def currency(cost: Column, kilo: bool = False) -> Column:
-    """$1234.50; with ``kilo`` $1.23K from a thousand on."""
+def currency(cost: Column, kilo: bool = False, even: bool = False) -> Column:
+    """$1234.50; with ``kilo`` $1.23K from a thousand on. Halves go up: 1125 is $1.13K, with ``even`` $1.12K."""
     cost = cost.cast("double")
-    plain = F.concat(F.lit("$"), fixed(cost, 2))
+    plain = F.concat(F.lit("$"), fixed(cost, 2, even))
     if not kilo:
         return plain
-    return F.when(cost >= 1000, F.concat(F.lit("$"), fixed(cost / 1000, 2), F.lit("K"))).otherwise(plain)
+    return F.when(cost >= 1000, F.concat(F.lit("$"), fixed(cost / 1000, 2, even), F.lit("K"))).otherwise(plain)
 
 
 def day_label(day: Column, full: bool = False) -> Column:

@@ -130,6 +130,14 @@ def test_digits_are_rounded_by_the_exact_value(spark):
         assert apply(spark, lambda c: values.fixed(c, digits), given, "double") == [exact(x, digits) for x in given]
 
 
+def test_halves_of_prices_go_up_or_to_the_even_digit(spark):
+    given = [None, 0.125, 0.145, 1.375, 1125.0, 1375.0, 256125.0, 256124.99]
+    up = [None, "$0.13", "$0.14", "$1.38", "$1.13K", "$1.38K", "$256.13K", "$256.12K"]
+    even = [None, "$0.12", "$0.14", "$1.38", "$1.12K", "$1.38K", "$256.12K", "$256.12K"]
+    assert apply(spark, lambda c: values.currency(c, kilo=True), given, "double") == up
+    assert apply(spark, lambda c: values.currency(c, kilo=True, even=True), given, "double") == even
+
+
 def test_names_in_tables(spark):
     given = ["claude-sonnet-4-20250514", "claude-opus-4-5-20251101", "claude-opus-4-5-high", "gpt-4o", "x/claude-haiku-4-5-20251001-v1"]
     assert apply(spark, names.table_label, given) == ["sonnet-4", "opus-4-5", "opus-4-5-high", "gpt-4o", "haiku-4-5"]

@@ -30,6 +30,14 @@ def test_review_tokens_of_many_parts(spark, tmp_path):
     assert_same(rows, queries.ORACLES["review_tokens"], tmp_path)
 
 
+def test_number_formats_of_halves(spark, tmp_path):
+    """Every price whose thousands or cents are a half or next to one, none, less than one and below zero."""
+    prices = "SELECT 125.0 * i FROM range(4000) t(i) UNION ALL SELECT 125.0 * i - 0.01 FROM range(1, 4000) t(i) UNION ALL SELECT i / 8 FROM range(-100, 9000) t(i) UNION ALL SELECT i / 1000 FROM range(5, 3000, 10) t(i) UNION ALL SELECT NULL"
+    orders = f"SELECT row_number() OVER () AS o_orderkey, CAST(p AS DOUBLE) AS o_totalprice, TIMESTAMP '1997-12-30' + to_days(CAST(row_number() OVER () % 900 AS INTEGER)) AS o_orderdate FROM ({prices}) t(p)"
+    duckdb.sql(f"COPY ({orders}) TO '{tmp_path}/orders.parquet'")
+    assert_same(queries.QUERIES["number_and_date_formats"](spark, str(tmp_path)), queries.ORACLES["number_and_date_formats"], tmp_path)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
